@@ -14,7 +14,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]").appName("quire-tests")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
