@@ -14,6 +14,7 @@ operator of the library therefore goes through ``scan``:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,13 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new, unused path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/quire-{label}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage on reliable storage, so that a lost executor costs no replay."""
-    context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Cut the lineage with a table in the shared folder; a lost executor costs no replay.
+
+    A written table rather than ``checkpoint``: the next step gets true sizes to plan with,
+    reads only the columns it needs, and does not carry the constraints of all earlier rounds.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exceeds_group_limit(df: DataFrame, keys: list[str]) -> bool:

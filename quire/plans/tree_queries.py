@@ -262,13 +262,13 @@ def reachable(spark, sf_dir):
     return nodes.select("node").join(reached, "node", "left").select("node", F.coalesce("reached", F.lit(False)).alias("reached"))
 
 
-@query("resolve_aliases", statement(fx.FX8, """walk(name, at, steps) AS (
+@query("resolve_aliases", statement(fx.FX8, """walk(name, spot, steps) AS (
   SELECT node, node // 3, 1 FROM fx8 WHERE p_size > 10
   UNION ALL
-  SELECT w.name, w.at // 3, w.steps + 1 FROM walk w JOIN fx8 f ON f.node = w.at WHERE f.p_size > 10 AND w.steps < 64),
-last AS (SELECT name, arg_max(at, steps) AS at, max(steps) AS steps FROM walk GROUP BY name)""", recursive=True, body="""
-SELECT name, CASE WHEN steps < 64 THEN at END AS terminal,
-       CASE WHEN steps >= 64 THEN 'cycle' WHEN at % 2 = 0 THEN 'ok' ELSE 'not_standard' END AS status FROM last"""))
+  SELECT w.name, w.spot // 3, w.steps + 1 FROM walk w JOIN fx8 f ON f.node = w.spot WHERE f.p_size > 10 AND w.steps < 64),
+last AS (SELECT name, arg_max(spot, steps) AS spot, max(steps) AS steps FROM walk GROUP BY name)""", recursive=True, body="""
+SELECT name, CASE WHEN steps < 64 THEN spot END AS terminal,
+       CASE WHEN steps >= 64 THEN 'cycle' WHEN spot % 2 = 0 THEN 'ok' ELSE 'not_standard' END AS status FROM last"""))
 def resolve_aliases(spark, sf_dir):
     """Alias chains down to a terminal part; only even keys count as standard names."""
     nodes, _, aliases = fx.part_graph(spark, sf_dir)
