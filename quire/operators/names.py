@@ -127,7 +127,10 @@ def composed(values: pd.Series) -> pd.Series:
 
 # Code points without a visible form: all format characters and the default-ignorable ones
 # outside that category (fixed values).
-IGNORABLE = r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠍᠏ㅤ︀-️ﾠ\x{E0100}-\x{E01EF}]"
+IGNORABLE = (
+    r"[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180D}\x{180F}\x{2065}\x{3164}"
+    r"\x{FE00}-\x{FE0F}\x{FFA0}\x{FFF0}-\x{FFF8}\x{E0000}-\x{E0FFF}]"
+)
 
 
 def portable_key(path: Column) -> Column:
