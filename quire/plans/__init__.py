@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["layout_queries", "tree_queries", "finding_queries", "admission_queries", "source_queries"]
+MODULES = ["layout_queries", "tree_queries", "finding_queries", "admission_queries", "source_queries", "store_queries"]
 
 
 def load_queries() -> None:
