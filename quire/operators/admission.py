@@ -148,6 +148,10 @@ PROBLEM_CLASSES = [
 ]
 
 
+# Anything outside the common accepted blocks: a cheap test that sends few texts to the exact one.
+SUSPECT = r"[^\n\x20-\x7E\xA0-\xAC\xAE-\u024F\u0391-\u03A1\u03A3-\u03C9\u0410-\u044F\u2010-\u2027]"
+
+
 def text_problem_runs(texts: DataFrame, column: str = "text", cap: int = fixed.PROBLEM_RUNS) -> DataFrame:
     """Runs of unsupported characters with offset, length and reason; the first ``cap`` per text.
 
@@ -155,10 +159,14 @@ def text_problem_runs(texts: DataFrame, column: str = "text", cap: int = fixed.P
     piece and nothing is exploded per character or shuffled.  Offsets count code points of
     the text with normalised line ends.
     """
-    text = F.regexp_replace(F.regexp_replace(F.col(column), "\r\n", "\n"), "\r", "\n")
-    anything = "|".join(f"[{chars}]" for _, chars in PROBLEM_CLASSES)
+    raw, lf = F.col(column), F.lit("\n")
+    unified = F.replace(F.replace(raw, F.lit("\r\n"), lf), F.lit("\r"), lf)
+    text = F.when(F.contains(raw, F.lit("\r")), unified).otherwise(raw)
+    suspects = texts.withColumn("_text", text).filter(F.col("_text").rlike(SUSPECT))
     edges = "|".join(f"(?<=[{c}])(?=[^{c}])|(?<=[^{c}])(?=[{c}])" if not c.startswith("^") else f"(?<=[{c}])(?=[{c[1:]}])|(?<=[{c[1:]}])(?=[{c}])" for _, c in PROBLEM_CLASSES)
-    pieces = F.when(text.rlike(anything), F.split(text, edges))
+    # cut out the suspicious stretches first, then look closely at those alone
+    stretches = F.split("_text", f"(?<={SUSPECT})(?!{SUSPECT})|(?<!{SUSPECT})(?={SUSPECT})")
+    pieces = F.flatten(F.transform(stretches, lambda p: F.when(p.rlike("^" + SUSPECT), F.split(p, edges)).otherwise(F.array(p))))
     reason = lambda piece: F.coalesce(*[F.when(piece.rlike(f"^[{chars}]"), F.lit(name)) for name, chars in PROBLEM_CLASSES])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,run:int,reason:string>>").alias("runs"))
 
@@ -170,6 +178,6 @@ def text_problem_runs(texts: DataFrame, column: str = "text", cap: int = fixed.P
 
     runs = F.aggregate(pieces, start, step)["runs"]
     kept = [c for c in texts.columns if c != column]
-    return texts.select(*kept, F.explode(runs).alias("r")).select(
+    return suspects.select(*kept, F.explode(runs).alias("r")).select(
         *kept, F.col("r.offset").cast("bigint").alias("offset"), F.col("r.run").cast("bigint").alias("run"), F.col("r.reason").alias("reason")
     )

@@ -41,12 +41,13 @@ def finding_key(findings: DataFrame) -> DataFrame:
     return findings.withColumn("finding_key", key)
 
 
-def merge_findings(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_findings(findings: DataFrame, split: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Merge warnings equal in code, file, identity and location: (findings, items).
 
     Errors, findings without file or identity, and findings that blame a setting stay alone.
     Items come back as rows, ``ordinal`` in first-seen order, because a merged group may name
-    any number of them.  Duplicates are combined before the shuffle.
+    any number of them.  Duplicates are combined before the shuffle.  A merged group lies inside
+    a packet, so a ``split`` measured on packets holds for it too.
     """
     keyed = finding_key(with_codes(findings))
     mergeable = (
@@ -64,7 +65,7 @@ def merge_findings(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("packet_id", "_group", "item")
         .agg(F.min(F.struct("seq", "_at")).alias("_first"))
     )
-    placed = with_positions(seen, ["packet_id", "_group"], ["_first"], "ordinal")
+    placed = with_positions(seen, ["packet_id", "_group"], ["_first"], "ordinal", split)
     items = placed.join(merged.select("packet_id", "_group", "first_seq"), ["packet_id", "_group"]).select(
         "packet_id", F.col("first_seq").alias("seq"), "ordinal", "item"
     )

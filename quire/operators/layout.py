@@ -296,23 +296,28 @@ def _paginate_by_doubling(rows: DataFrame, usable: int, gap: int) -> DataFrame:
     return paged.select("packet_id", "pos", F.col("height").cast("bigint").alias("height"), F.col("page").cast("bigint").alias("page"))
 
 
-def page_map(parts: DataFrame, spans: DataFrame) -> DataFrame:
+def page_map(parts: DataFrame) -> DataFrame:
     """The trace table: one row per output page with its part, source page and label.
 
-    Everything is joined while parts are compact; pages appear in the last step only.
+    ``parts`` are placed, labelled and carry their ``ranges`` (null = the whole source).  The
+    ranges are unnested inside the packet's partition and pages appear in the last step only,
+    so the one shuffle by packet is followed by nothing but the spread of compact spans.
     """
     from quire.operators.ranges import expand_spans
 
-    joined = parts.join(spans.drop("path"), ["packet_id", "pos", "band"], "left")
-    compact = joined.filter(F.col("pages") > 0).select(
-        *parts.columns,
-        F.coalesce("out_first", "first_page").alias("_first"),
-        F.coalesce(F.col("out_first") + F.col("src_last") - F.col("src_first"), F.col("last_page")).alias("_last"),
-        "src_first",
-    )
-    pages = expand_spans(compact, "_first", "_last", "output_page", ["packet_id", "pos", "band"])
+    key = ["packet_id", "pos", "band"]
+    kept = [c for c in parts.columns if c != "ranges"]
+    whole = F.array(F.struct(F.when(F.col("kind") == "source", F.lit(1)).cast("bigint").alias("first"),
+                             F.when(F.col("kind") == "source", F.col("pages")).cast("bigint").alias("last")))
+    rows = parts.filter(F.col("pages") > 0).select(*kept, F.posexplode(F.coalesce("ranges", whole)).alias("_ordinal", "_r"))
+    length = F.coalesce(F.col("_r.last") - F.col("_r.first") + 1, F.col("pages"))
+    # a group is the array of one row, so it fits a task
+    offset = scan(rows, key, ["_ordinal"], [RunningSum("_offset", length, inclusive=False)], False)
+    start = F.col("first_page") + F.col("_offset")
+    compact = offset.select(*kept, F.col("_r.first").alias("_src"), start.alias("_first"), (start + length - 1).alias("_last"))
+    pages = expand_spans(compact, "_first", "_last", "output_page", key)
     return pages.select(
         "packet_id", "output_page", "pos", "band", "kind", *[c for c in ("path", "ref") if c in parts.columns],
-        (F.col("src_first") + F.col("output_page") - F.col("_first")).alias("source_page"),
+        (F.col("_src") + F.col("output_page") - F.col("_first")).alias("source_page"),
         label_at(F.col("output_page"), F.col("first_page"), F.col("label_start")).alias("label"),
     )

@@ -27,14 +27,14 @@ def distinct_sources(events: DataFrame) -> DataFrame:
     return events.filter(F.col("path").isNotNull()).select("path").distinct()
 
 
-def resource_consumers(uses: DataFrame) -> DataFrame:
+def resource_consumers(uses: DataFrame, split: bool | None = None) -> DataFrame:
     """Each resource with its distinct consumers in first-use order, one row per consumer.
 
     ``uses``: packet_id, path, role, ref, pos.  Rows, not arrays: a popular resource may have
     any number of consumers.
     """
     first = uses.groupBy("packet_id", "path", "ref").agg(F.min("pos").alias("pos"), F.min("role").alias("role"))
-    return with_positions(first, ["packet_id", "path"], ["pos", "ref"], "ordinal")
+    return with_positions(first, ["packet_id", "path"], ["pos", "ref"], "ordinal", split)
 
 
 def share_analyses(uses: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:

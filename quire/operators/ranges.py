@@ -23,13 +23,18 @@ def explode_ranges(items: DataFrame, keys: list[str], whole: str | None = None,
     return rows.select(*keys, *extra, (F.col("ordinal") + 1).cast("bigint").alias("ordinal"), F.col("r.first").alias("first"), F.col("r.last").alias("last"))
 
 
-def merge_ranges(ranges: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
-    """Join ranges that touch: the next one starts right after the last one ends."""
+def merge_ranges(ranges: DataFrame, keys: list[str], split: bool | None = None, extra: tuple = ()) -> DataFrame:
+    """Join ranges that touch: the next one starts right after the last one ends.
+
+    ``extra`` columns are constant within an item and kept.
+    """
     runs = islands(
         ranges, keys, ["ordinal"], {"last": F.col("last")}, lambda prev: prev["last"] + 1 != F.col("first"), split=split
     )
-    merged = runs.groupBy(*keys, "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return merged.select(*keys, F.col("island").cast("bigint").alias("ordinal"), "first", "last")
+    merged = runs.groupBy(*keys, "island").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), *[F.min(c).alias(c) for c in extra]
+    )
+    return merged.select(*keys, *extra, F.col("island").cast("bigint").alias("ordinal"), "first", "last")
 
 
 def range_rejects(ranges: DataFrame, sources: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
@@ -52,13 +57,27 @@ def range_rejects(ranges: DataFrame, sources: DataFrame, keys: list[str], split:
     return wrong.unionByName(partial)
 
 
-def span_map(parts: DataFrame, ranges: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
-    """Source range to output range; ``ordinal_first`` is the selected ordinal of its first page."""
+def selected_count(ranges: Column, whole: Column) -> Column:
+    """Pages that a selection keeps; no selection keeps them all."""
+    chosen = F.aggregate(ranges, F.lit(0).cast("bigint"), lambda total, r: total + r["last"] - r["first"] + 1)
+    return F.coalesce(chosen, whole)
+
+
+def span_map(parts: DataFrame, keys: list[str], ranges: DataFrame | None = None, split: bool | None = None) -> DataFrame:
+    """Source range to output range; ``ordinal_first`` is the selected ordinal of its first page.
+
+    Placed parts that carry their own ``ranges`` are unnested where they are: no join, and the
+    partitioning by packet serves the running sum.  A separate ``ranges`` table is joined.
+    """
+    if ranges is None:
+        ranges = merge_ranges(explode_ranges(parts, keys, "pages", ("first_page",)), keys, False, ("first_page",))
+        split = False  # one array of one row is all there is in a group
+    elif "first_page" not in ranges.columns:
+        ranges = ranges.join(parts.select(*keys, "first_page"), keys)
     length = F.col("last") - F.col("first") + 1
     offset = scan(ranges, keys, ["ordinal"], [RunningSum("_offset", length, inclusive=False)], split)
-    joined = offset.join(parts.select(*keys, "first_page"), keys)
-    return joined.select(
-        *[c for c in ranges.columns if c not in ("first", "last")],
+    return offset.select(
+        *[c for c in ranges.columns if c not in ("first", "last", "first_page")],
         F.col("first").alias("src_first"), F.col("last").alias("src_last"),
         (F.col("first_page") + F.col("_offset")).cast("bigint").alias("out_first"),
         (F.col("_offset") + 1).cast("bigint").alias("ordinal_first"),

@@ -58,9 +58,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def exceeds_group_limit(df: DataFrame, keys: list[str]) -> bool:
-    """Whether any group is too large for one task; counts are combined before the shuffle."""
-    return not large_groups(df, keys, group_limit(df.sparkSession)).isEmpty()
+def exceeds_group_limit(df: DataFrame, keys: list[str], table: bool = False) -> bool:
+    """Whether any group is too large for one task; counts are combined before the shuffle.
+
+    ``table`` says that ``df`` is a stored table: its row count comes from the file footers,
+    and a table within the limit needs no look at its groups.
+    """
+    limit = group_limit(df.sparkSession)
+    if table and df.count() <= limit:
+        return False
+    return not large_groups(df, keys, limit).isEmpty()
 
 
 def large_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame:

@@ -36,13 +36,13 @@ def finding_key(spark, sf_dir):
 
 @query("merge_findings", statement(fx.FX6, KEYED, MERGED, body="SELECT packet_id, seq, code, file, finding_key, occurrences FROM merged"))
 def merge_findings(spark, sf_dir):
-    merged, _ = fd.merge_findings(fx.event_findings(spark, sf_dir))
+    merged, _ = fd.merge_findings(fx.event_findings(spark, sf_dir), fx.event_split(spark, sf_dir))
     return merged.select("packet_id", "seq", "code", "file", "finding_key", "occurrences")
 
 
 @query("merge_finding_items", statement(fx.FX6, KEYED, MERGED, body="SELECT packet_id, seq, ordinal, item FROM merged_items"))
 def merge_finding_items(spark, sf_dir):
-    _, items = fd.merge_findings(fx.event_findings(spark, sf_dir))
+    _, items = fd.merge_findings(fx.event_findings(spark, sf_dir), fx.event_split(spark, sf_dir))
     return items
 
 
@@ -59,7 +59,7 @@ def distinct_in_order(spark, sf_dir):
 @query("rank_findings", statement(fx.FX6, body="""
 SELECT packet_id, seq, code, row_number() OVER (PARTITION BY packet_id ORDER BY priority DESC, seq) AS rank FROM fx6"""))
 def rank_findings(spark, sf_dir):
-    return fd.rank_findings(fx.event_findings(spark, sf_dir)).select("packet_id", "seq", "code", "rank")
+    return fd.rank_findings(fx.event_findings(spark, sf_dir), fx.event_split(spark, sf_dir)).select("packet_id", "seq", "code", "rank")
 
 
 def sessions(spark, sf_dir):
@@ -97,7 +97,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY packet_id ORDER BY priority DESC
 LEFT JOIN (SELECT packet_id, seq, count(*) AS n, list(item) FILTER (ordinal <= 5) AS shown FROM merged_items GROUP BY ALL) i
   ON i.packet_id = m.packet_id AND i.seq = m.seq WHERE rank <= 5"""))
 def cap_findings(spark, sf_dir):
-    merged, items = fd.merge_findings(fx.event_findings(spark, sf_dir))
+    merged, items = fd.merge_findings(fx.event_findings(spark, sf_dir), fx.event_split(spark, sf_dir))
     capped = fd.cap_findings(merged, items, 5)
     return capped.select("packet_id", "rank", "seq", "code", "occurrences", F.array_join(F.array_sort("items"), ",").alias("item_names"), "items_omitted", "findings_omitted")
 

@@ -70,7 +70,7 @@ ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extende
 
 def order_items(spark, sf_dir) -> tuple[DataFrame, bool]:
     lines = table(spark, sf_dir, "lineitem")
-    split = exceeds_group_limit(lines, ["l_orderkey"])
+    split = exceeds_group_limit(lines, ["l_orderkey"], table=True)
     placed = with_positions(lines, ["l_orderkey"], ITEM_ORDER, "pos", split)
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -240,7 +240,7 @@ FX3_DOWN = """down(packet_id, node, order_path, depth) AS (
 
 def conversation_turns(spark, sf_dir) -> tuple[DataFrame, bool]:
     turns = table(spark, sf_dir, "conversations")
-    split = exceeds_group_limit(turns, ["conv_id"])
+    split = exceeds_group_limit(turns, ["conv_id"], table=True)
     placed = with_positions(turns, ["conv_id"], ["turn"], "pos", split)
     rows = placed.select(
         F.col("conv_id").alias("packet_id"), "pos", "turn", (F.col("role") == "user").alias("opens"),
@@ -288,6 +288,11 @@ FX5 = """fx5 AS MATERIALIZED (
 
 # --- events as findings ---------------------------------------------------------------
 
+def event_split(spark, sf_dir) -> bool:
+    """Whether some user has more events than one task should sort."""
+    return exceeds_group_limit(table(spark, sf_dir, "events"), ["user_id"], table=True)
+
+
 def event_findings(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events")
     kind = F.col("event_type")

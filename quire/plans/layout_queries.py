@@ -209,7 +209,8 @@ def source_ranges(spark, sf_dir, extra=("path",)):
 @query("merge_ranges", statement(fx.FX2, RANGES, MERGED, body="SELECT packet_id, pos, ordinal, first, last FROM merged"))
 def merge_ranges(spark, sf_dir):
     rows, _, _ = source_ranges(spark, sf_dir, ())
-    return ranges.merge_ranges(rows, ITEM)
+    # a group is the array of one item row
+    return ranges.merge_ranges(rows, ITEM, False)
 
 
 @query("range_rejects", statement(fx.FX2, RANGES, """shelf AS (
@@ -229,7 +230,7 @@ def range_rejects(spark, sf_dir):
         F.when(F.col("p_partkey") % 9 == 0, size - 1).otherwise(size).alias("pages"),
         (F.col("p_size") % 4 == 0).alias("has_fields"),
     )
-    return ranges.range_rejects(rows, sources, ITEM).select("packet_id", "pos", "ordinal", "code")
+    return ranges.range_rejects(rows, sources, ITEM, False).select("packet_id", "pos", "ordinal", "code")
 
 
 SELECTED = """picked AS (
@@ -244,7 +245,7 @@ FROM selected JOIN part_pages USING (path, page) GROUP BY packet_id"""))
 def select_pages(spark, sf_dir):
     """Every selected original page, digested per packet."""
     rows, _, _ = source_ranges(spark, sf_dir)
-    pages = ranges.select_pages(rows, fx.part_pages(spark, sf_dir), ITEM)
+    pages = ranges.select_pages(rows, fx.part_pages(spark, sf_dir), ITEM, False)
     return pages.groupBy("packet_id").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("page").alias("page_sum"),
         F.sum(F.col("page") * F.col("selected")).alias("weighted"), F.sum("width").alias("width_sum"),
@@ -264,16 +265,12 @@ def expand_pages(spark, sf_dir):
 
 
 def selected_parts(spark, sf_dir):
-    """Packets whose sources contribute only their selected pages, placed, with their spans."""
-    rows, items, split = source_ranges(spark, sf_dir)
-    merged = ranges.merge_ranges(rows.drop("path"), ITEM, split=False)
-    chosen = merged.groupBy(*ITEM).agg(F.sum(F.col("last") - F.col("first") + 1).alias("_chosen"))
-    sized = items.join(chosen, ITEM, "left").withColumn("pages", F.coalesce("_chosen", "pages")).drop("_chosen")
+    """Packets whose sources contribute only their selected pages, placed in output order."""
+    items, split = fx.order_items(spark, sf_dir)
+    sized = items.withColumn("pages", ranges.selected_count(F.col("ranges"), F.col("pages")))
     parts = layout.place_parts(layout.pad_odd_starts(sized, keep=("mode", "start"), split=split), split)
     enabled = F.coalesce(F.col("numbering"), F.lit(True)) & (F.col("kind") != "padding")
-    parts = parts.withColumn("enabled", enabled)
-    spans = ranges.span_map(parts.filter(F.col("kind") == "source"), merged, ITEM, False)
-    return parts, spans, split
+    return parts.withColumn("enabled", enabled), split
 
 
 CHOSEN_FX2 = fx.FX2.replace("fx2 AS MATERIALIZED", "base2 AS MATERIALIZED")
@@ -290,7 +287,8 @@ SPANNED = """spanned AS MATERIALIZED (
 @query("span_map", statement(CHOSEN_FX2, CHOSEN, fx.FX2_FOLD, RANGES, MERGED, SPANNED, recursive=True, body="""
 SELECT packet_id, pos, src_first, src_last, out_first, out_first + src_last - src_first AS out_last FROM spanned"""))
 def span_map(spark, sf_dir):
-    _, spans, _ = selected_parts(spark, sf_dir)
+    parts, _ = selected_parts(spark, sf_dir)
+    spans = ranges.span_map(parts.filter(F.col("kind") == "source"), ITEM)
     return spans.select("packet_id", "pos", "src_first", "src_last", "out_first",
                         (F.col("out_first") + F.col("src_last") - F.col("src_first")).alias("out_last"))
 
@@ -374,10 +372,9 @@ def page_map(spark, sf_dir):
 
 
 def full_page_map(spark, sf_dir):
-    parts, spans, split = selected_parts(spark, sf_dir)
+    parts, split = selected_parts(spark, sf_dir)
     labelled = layout.label_pages(parts, split=split)
-    compact = labelled.select(*PART, "kind", "path", "ref", "pages", "first_page", "last_page", "label_start")
-    return layout.page_map(compact, spans.withColumns({"band": F.lit(1), "path": F.lit(None)}))
+    return layout.page_map(labelled.select(*PART, "kind", "path", "ref", "pages", "ranges", "first_page", "last_page", "label_start"))
 
 
 @query("part_at", statement(fx.FX2, fx.FX2_FOLD, recursive=True, body="""

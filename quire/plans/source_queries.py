@@ -42,13 +42,13 @@ SELECT packet_id, path, ref, role, row_number() OVER (PARTITION BY packet_id, pa
 FROM (SELECT packet_id, path, ref, min(role) AS role, min(pos) AS pos FROM uses GROUP BY packet_id, path, ref)"""))
 def resource_consumers(spark, sf_dir):
     """Sources used by items and fonts used by pages, each with its consumers."""
-    items, _ = popular_items(spark, sf_dir)
+    items, split = popular_items(spark, sf_dir)
     ref = F.concat(F.lit("line/"), F.col("line").cast("string")).alias("ref")
     sources = items.filter(F.col("path").isNotNull()).select("packet_id", "path", F.lit("source").alias("role"), ref, "pos")
     fonts = items.filter(F.col("kind") == "page").select(
         "packet_id", F.concat(F.lit("font/"), (F.col("l_suppkey") % 2).cast("string")).alias("path"), F.lit("font").alias("role"), ref, "pos"
     )
-    return occ.resource_consumers(sources.unionByName(fonts)).drop("pos")
+    return occ.resource_consumers(sources.unionByName(fonts), split).drop("pos")
 
 
 @query("share_analyses", statement(fx.FX2, body="""
