@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.operators.scan import durable, exceeds_group_limit, with_positions
 
@@ -88,7 +89,7 @@ def resolve_links(links: DataFrame, names: DataFrame, pages: DataFrame) -> tuple
     A link points at a page directly or by a name of the same occurrence, and lives when that
     page is among the occurrence's selected pages.
     """
-    targets = names.select("occurrence", "name", F.col("page").alias("_named")).dropDuplicates(["occurrence", "name"])
+    targets = names.groupBy("occurrence", "name").agg(F.min("page").alias("_named"))
     aimed = links.join(targets, ["occurrence", "name"], "left").withColumn("target", F.coalesce("page", "_named")).drop("_named")
     selected = pages.select("occurrence", F.col("page").alias("target"), F.lit(True).alias("_live")).distinct()
     marked = aimed.join(selected, ["occurrence", "target"], "left")
@@ -118,7 +119,7 @@ def relative_urls(links: DataFrame, bases: DataFrame) -> DataFrame:
 
 # --- paths ------------------------------------------------------------------------------
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(values: pd.Series) -> pd.Series:
     """Unicode composition (NFC) of the decomposed, folded form."""
     fold = lambda text: unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).casefold())

@@ -55,24 +55,22 @@ def check_tree(nodes: DataFrame, limit: int = MAX_NESTING, declared: str | None
     ids = nodes.select("node").distinct()
     fault = lambda rows, kind: rows.select("node", F.lit(kind).alias("fault")).distinct()
     orphans = nodes.filter(F.col("parent").isNotNull()).join(ids.withColumnRenamed("node", "parent"), "parent", "left_anti")
+    # min < max says "two parents" and combines before the shuffle
     several = nodes.groupBy("node").agg(
-        F.countDistinct("parent").alias("_parents"), F.count(F.lit(1)).alias("_rows")
-    ).filter((F.col("_parents") > 1) | (F.col("_rows") > 1))
-    single = nodes.join(several, "node", "left_anti")
+        F.min("parent").alias("_low"), F.max("parent").alias("_high"), F.count(F.lit(1)).alias("_rows")
+    ).filter((F.col("_low") < F.col("_high")) | (F.col("_rows") > 1)).select("node")
+    single = durable(nodes.join(several, "node", "left_anti"))
     reached, lost = with_paths(single.select("node", "parent", "pos"), limit)
-    # Everything below an orphan or a twice-bound node is lost too; what is left after
-    # removing that region hangs on a cycle, or lies below the depth limit.
-    region = reachable(
-        single.select(F.col("parent").alias("src"), F.col("node").alias("dst")),
-        orphans.select("node").union(several.select("node")).distinct(),
-    )
-    rest = durable(lost.join(region, "node", "left_anti"))
-    below = rest.select("node", "parent").join(reached.select(F.col("node").alias("parent")), "parent", "left_semi")
-    deep = reachable(rest.select(F.col("parent").alias("src"), F.col("node").alias("dst")), below.select("node"))
-    cyclic = rest.join(deep, "node", "left_anti")
+    # Follow every parent chain to its end in log2(depth) joins.  A lost node whose chain ends
+    # at a root is too deep; one whose chain ends elsewhere hangs on a fault named already.
+    chains = single.filter(F.col("parent").isNotNull()).select(F.col("node").alias("name"), F.col("parent").alias("target"))
+    ends = resolve_aliases(chains).withColumnRenamed("name", "node")
+    roots = single.filter(F.col("parent").isNull()).select(F.col("node").alias("terminal"))
+    rooted = ends.filter(F.col("status") == "ok").join(roots, "terminal", "left_semi")
     faults = (
         fault(orphans, "orphan").unionByName(fault(several, "several_parents"))
-        .unionByName(fault(rest.join(deep, "node", "left_semi"), "too_deep")).unionByName(fault(cyclic, "cycle"))
+        .unionByName(fault(lost.join(rooted, "node", "left_semi"), "too_deep"))
+        .unionByName(fault(ends.filter(F.col("status") == "cycle"), "cycle"))
     )
     if declared:
         parents = nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()

@@ -214,7 +214,7 @@ SELECT doc_id, "offset", run, reason FROM ranked WHERE n <= 8"""))
 def text_problem_runs(spark, sf_dir):
     """Whole document texts, a quarter of which get a tail of unsupported characters."""
     docs = fx.table(spark, sf_dir, "documents")
-    tail = F.when(F.col("doc_id") % 4 == 0, "\t\t​\x07אב\r\n ").otherwise("")
+    tail = F.when(F.col("doc_id") % 4 == 0, "\t\t\u200b\x07\u05d0\u05d1\r\n\u2028").otherwise("")
     return admission.text_problem_runs(docs.select("doc_id", F.concat("text", tail).alias("text")))
 
 
