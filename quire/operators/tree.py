@@ -59,20 +59,19 @@ def check_tree(nodes: DataFrame, limit: int = MAX_NESTING, declared: str | None
     several = nodes.groupBy("node").agg(
         F.min("parent").alias("_low"), F.max("parent").alias("_high"), F.count(F.lit(1)).alias("_rows")
     ).filter((F.col("_low") < F.col("_high")) | (F.col("_rows") > 1)).select("node")
-    single = durable(nodes.join(several, "node", "left_anti"))
-    reached, lost = with_paths(single.select("node", "parent", "pos"), limit)
-    # Follow every parent chain to its end in log2(depth) joins.  A lost node whose chain ends
-    # at a root is too deep; one whose chain ends elsewhere hangs on a fault named already.
+    single = nodes.join(several, "node", "left_anti").select("node", "parent", "pos")
+    # Follow every parent chain to its end.  A chain that ends at a root tells the depth; one
+    # that ends elsewhere hangs on an orphan or a twice-bound node, which is named already.
     chains = single.filter(F.col("parent").isNotNull()).select(F.col("node").alias("name"), F.col("parent").alias("target"))
-    ends = resolve_aliases(chains).withColumnRenamed("name", "node")
+    ends = follow_chains(chains).withColumnRenamed("name", "node")
     roots = single.filter(F.col("parent").isNull()).select(F.col("node").alias("terminal"))
-    rooted = ends.filter(F.col("status") == "ok").join(roots, "terminal", "left_semi")
+    deep = ends.filter(~F.col("cyclic") & (F.col("hops") > limit)).join(roots, "terminal", "left_semi")
     faults = (
         fault(orphans, "orphan").unionByName(fault(several, "several_parents"))
-        .unionByName(fault(lost.join(rooted, "node", "left_semi"), "too_deep"))
-        .unionByName(fault(ends.filter(F.col("status") == "cycle"), "cycle"))
+        .unionByName(fault(deep, "too_deep")).unionByName(fault(ends.filter("cyclic"), "cycle"))
     )
     if declared:
+        reached, _ = with_paths(single, limit)
         parents = nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
         leaves = reached.join(parents, "node", "left_anti")
         counts = leaves.select(F.explode("path").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_leaves"))
@@ -201,30 +200,40 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         seen = durable(seen.union(frontier))
 
 
-def resolve_aliases(links: DataFrame, standard: DataFrame | None = None, limit: int = 1 << 20) -> DataFrame:
-    """Follow alias links to the terminal name by pointer doubling: (name, terminal, status).
+def follow_chains(links: DataFrame) -> DataFrame:
+    """The end of every chain of single links by pointer doubling: (name, terminal, hops, cyclic).
 
-    A chain of n links is done after log2(n) joins.  What still moves after the bound, or
-    arrives at itself, is a cycle.  ``standard`` lists the admissible terminal names.
+    Each round doubles the distance looked ahead, so a chain of n links takes log2(n) joins.  A
+    chain that still moves after as many hops as there are links must repeat a name.
     """
-    current = durable(links.select("name", F.col("target").alias("terminal")))
-    hops = 1
-    while hops < limit:
-        follow = current.select(F.col("name").alias("terminal"), F.col("terminal").alias("_far"))
+    current = durable(links.select("name", F.col("target").alias("terminal"), F.lit(1).cast("bigint").alias("hops")))
+    total, reach = current.count(), 1
+    while True:
+        ahead = current.select(F.col("name").alias("terminal"), F.col("terminal").alias("_far"), F.col("hops").alias("_more"))
         moved = durable(
-            current.join(follow, "terminal", "left").select(
-                "name", F.coalesce("_far", "terminal").alias("terminal"), (F.col("_far").isNotNull()).alias("_moved")
+            current.join(ahead, "terminal", "left").select(
+                "name", F.coalesce("_far", "terminal").alias("terminal"),
+                (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_far").isNotNull().alias("cyclic"),
             )
         )
-        hops *= 2
-        # A chain longer than the number of links must repeat a name.
-        open_chains = moved.filter("_moved")
-        current = moved.drop("_moved")
-        if open_chains.isEmpty() or hops > links.count():
+        reach *= 2
+        if reach > total or moved.filter("cyclic").isEmpty():
             break
-    heads = links.select(F.col("name").alias("terminal"), F.lit(True).alias("_alias"))
-    joined = current.join(heads, "terminal", "left")
-    cyclic = F.col("_alias").isNotNull()
+        current = moved.drop("cyclic")
+    # after the last round only names on or before a cycle still have a link to follow
+    heads = links.select(F.col("name").alias("terminal"), F.lit(True).alias("_link"))
+    return moved.drop("cyclic").join(heads, "terminal", "left").select(
+        "name", "terminal", "hops", F.col("_link").isNotNull().alias("cyclic")
+    )
+
+
+def resolve_aliases(links: DataFrame, standard: DataFrame | None = None) -> DataFrame:
+    """Follow alias links to the terminal name: (name, terminal, status).
+
+    Names that lead into a cycle have no terminal.  ``standard`` lists the admissible ends.
+    """
+    joined = follow_chains(links)
+    cyclic = F.col("cyclic")
     if standard is None:
         status = F.when(cyclic, "cycle").otherwise("ok")
         return joined.select("name", F.when(~cyclic, F.col("terminal")).alias("terminal"), status.alias("status"))
