@@ -66,31 +66,36 @@ LENGTH = rf"^(-?{NUMBER})(pt|mm|cm|in)?$"
 
 def unit_factor(unit: Column) -> Column:
     """Points per unit; no unit means points."""
-    factor = F.lit(1.0)
-    for name, (top, bottom) in UNITS.items():
-        factor = F.when(unit == name, F.lit(top / bottom)).otherwise(factor)
-    return factor
+    factors = {"": 1.0, **{name: top / bottom for name, (top, bottom) in UNITS.items()}}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in factors.items() for x in pair]), unit)
+
+
+def paper_size(name: Column) -> Column:
+    """A struct of width and height in points, null for an unknown name."""
+    entries = []
+    for paper, (width, height, unit) in PAPERS.items():
+        top, bottom = UNITS[unit]
+        entries += [F.lit(paper), F.struct(F.lit(width * top / bottom).alias("width"), F.lit(height * top / bottom).alias("height"))]
+    return F.try_element_at(F.create_map(*entries), name)
 
 
 def parse_size(text: Column) -> Column:
     """A struct of width, height (points, null to inherit) and reject (null when accepted)."""
-    width, height = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, (w, h, unit) in PAPERS.items():
-        top, bottom = UNITS[unit]
-        width = F.when(text == name, F.lit(w * top / bottom)).otherwise(width)
-        height = F.when(text == name, F.lit(h * top / bottom)).otherwise(height)
-    sized = text.rlike(DIMENSIONS)
-    factor = unit_factor(F.regexp_extract(text, DIMENSIONS, 3))
-    side = lambda group: F.regexp_extract(text, DIMENSIONS, group).try_cast("double") * factor
-    width = F.when(sized, side(1)).otherwise(width)
-    height = F.when(sized, side(2)).otherwise(height)
-    reject = (
-        F.when(text == "inherit", F.lit(None))
-        .when(width.isNull(), "size_grammar")
-        .when(~(side_ok(width) & side_ok(height)), "size_range")
-    )
-    ok = reject.isNull()
-    return F.struct(F.when(ok, width).alias("width"), F.when(ok, height).alias("height"), reject.cast("string").alias("reject"))
+    group = lambda number: F.regexp_extract(text, DIMENSIONS, number)
+    side = lambda number: group(number).try_cast("double") * unit_factor(group(3))
+    explicit = F.struct(side(1).alias("width"), side(2).alias("height"))
+    found = F.when(text.rlike(DIMENSIONS), explicit).otherwise(paper_size(text))
+
+    def judge(size):
+        inside = side_ok(size["width"]) & side_ok(size["height"])
+        unknown = F.when(text != "inherit", "size_grammar")
+        return F.struct(
+            F.when(inside, size["width"]).alias("width"), F.when(inside, size["height"]).alias("height"),
+            F.when(size.isNull(), unknown).when(~inside, "size_range").alias("reject"),
+        )
+
+    # the lambda binds the parsed size, so the text is taken apart once
+    return F.element_at(F.transform(F.array(found), judge), 1)
 
 
 def parse_tolerance(text: Column) -> Column:
