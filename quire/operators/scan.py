@@ -196,22 +196,22 @@ def scan(df: DataFrame, keys: list[str], order: list[str], specs: list, split: b
     if not split:
         return df.select(*kept, *[spec.plain(keys, order).alias(spec.out) for spec in specs])
     width = group_limit(df.sparkSession)
-    chunked = df.withColumn("_chunk", F.expr(f"`{order[0]}` div {width}"))
-    cell = [*keys, "_chunk"]
+    chunked = df.withColumn("_scan_chunk", F.expr(f"`{order[0]}` div {width}"))
+    cell = [*keys, "_scan_chunk"]
     summary = chunked.groupBy(*cell).agg(
-        *[spec.summary(order).alias(f"_s{i}") for i, spec in enumerate(specs)]
+        *[spec.summary(order).alias(f"_scan_s{i}") for i, spec in enumerate(specs)]
     )
     carried = durable(
         summary.select(
             *cell,
-            *[spec.carry(F.col(f"_s{i}"), keys, "_chunk").alias(f"_c{i}") for i, spec in enumerate(specs)],
+            *[spec.carry(F.col(f"_scan_s{i}"), keys, "_scan_chunk").alias(f"_scan_c{i}") for i, spec in enumerate(specs)],
         )
     )
-    inner = chunked.select("*", *[spec.inner(cell, order).alias(f"_i{i}") for i, spec in enumerate(specs)])
+    inner = chunked.select("*", *[spec.inner(cell, order).alias(f"_scan_i{i}") for i, spec in enumerate(specs)])
     merged = inner.join(carried, cell, "left")
     return merged.select(
         *kept,
-        *[spec.merge(F.col(f"_i{i}"), F.col(f"_c{i}")).alias(spec.out) for i, spec in enumerate(specs)],
+        *[spec.merge(F.col(f"_scan_i{i}"), F.col(f"_scan_c{i}")).alias(spec.out) for i, spec in enumerate(specs)],
     )
 
 
@@ -231,13 +231,13 @@ def with_positions(
         *[F.col(k) for k in keys], *order
     )
     stamped = durable(
-        sorted_rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+        sorted_rows.withColumn("_run_part", F.spark_partition_id()).withColumn("_run_row", F.monotonically_increasing_id())
     )
-    runs = stamped.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select(*keys, "_part", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    return stamped.join(starts, [*keys, "_part"]).select(
-        *df.columns, (F.col("_row") - F.col("_first") + F.col("_before") + 1).cast("bigint").alias(out)
+    runs = stamped.groupBy(*keys, "_run_part").agg(F.min("_run_row").alias("_run_first"), F.count(F.lit(1)).alias("_run_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_run_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(*keys, "_run_part", "_run_first", F.coalesce(F.sum("_run_rows").over(earlier), F.lit(0)).alias("_run_before"))
+    return stamped.join(starts, [*keys, "_run_part"]).select(
+        *df.columns, (F.col("_run_row") - F.col("_run_first") + F.col("_run_before") + 1).cast("bigint").alias(out)
     )
 
 
@@ -253,10 +253,10 @@ def islands(
     if split is None:
         split = exceeds_group_limit(df, keys)
     boxed = F.struct(*[value.alias(name) for name, value in previous.items()])
-    looked = scan(df, keys, order, [Previous("_prev", boxed)], split)
-    prev = F.col("_prev")
+    looked = scan(df, keys, order, [Previous("_island_prev", boxed)], split)
+    prev = F.col("_island_prev")
     starts = F.when(prev.isNull() | breaks(prev), 1).otherwise(0)
-    return scan(looked, keys, order, [RunningSum(out, starts)], split).drop("_prev")
+    return scan(looked, keys, order, [RunningSum(out, starts)], split).drop("_island_prev")
 
 
 def nest_rows(
