@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, packing
+from quire.llm import bpe, langid, packing
 from quire.llm.registry import query, table
 
 #: Added token of byte_bpe_50k.json and the id that closes a document.
@@ -33,3 +33,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def held_out(id: str = "doc_id"):
+    """Documents that no classifier learns from."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents.where(~held_out()))
+    found = langid.identify(documents.select("doc_id", "text", held_out().alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
