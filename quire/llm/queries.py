@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, langid, packing
+from quire.llm import bpe, langid, packing, simhash
 from quire.llm.registry import query, table
 
 #: Added token of byte_bpe_50k.json and the id that closes a document.
@@ -46,3 +46,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(documents.where(~held_out()))
     found = langid.identify(documents.select("doc_id", "text", held_out().alias("held_out")), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, tau=4, m=5, chain=1, halves=True)
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
