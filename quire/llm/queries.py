@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, langid, packing, simhash
+from quire.llm import bpe, langid, lines, packing, simhash
 from quire.llm.registry import query, table
 
 #: Added token of byte_bpe_50k.json and the id that closes a document.
@@ -52,3 +52,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, tau=4, m=5, chain=1, halves=True)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op4_line_dedup", f"""
+WITH pages AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+totals AS (SELECT source, count(*) AS total FROM pages WHERE source IS NOT NULL GROUP BY source),
+often AS (
+  SELECT p.source, p.l FROM (SELECT source, unnest(list_distinct(ls)) AS l FROM pages) p JOIN totals t ON p.source = t.source
+  WHERE trim(p.l, ' ') <> '' GROUP BY p.source, p.l, t.total
+  HAVING count(*) >= {lines.LEAST_PAGES} AND count(*)::DOUBLE / t.total >= {lines.RATIO}),
+per_host AS (SELECT source, list(l) AS gone FROM often GROUP BY source),
+kept AS (
+  SELECT p.doc_id, p.text, p.ls, CASE WHEN h.gone IS NULL THEN p.ls ELSE list_filter(p.ls, lambda x: NOT list_contains(h.gone, x)) END AS ks
+  FROM pages p LEFT JOIN per_host h ON p.source = h.source)
+SELECT doc_id, coalesce(len(ls) - len(ks), 0)::BIGINT AS n_dropped,
+  CASE WHEN text IS NULL THEN NULL ELSE sha256(CASE WHEN len(ls) > len(ks) THEN array_to_string(ks, chr(10)) ELSE text END) END AS kept_sha256
+FROM kept""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return kept.select("doc_id", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
