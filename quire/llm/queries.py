@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, langid, lines, packing, simhash
+from quire.llm import bpe, langid, lines, packing, simhash, suffixes
 from quire.llm.registry import query, table
 
 #: Added token of byte_bpe_50k.json and the id that closes a document.
@@ -71,3 +71,15 @@ FROM kept""")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return kept.select("doc_id", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_suffix_array")
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_spans(table(spark, sf_dir, "documents"), size=50)
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_bytes"),
+        (F.length("text") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
