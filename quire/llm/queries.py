@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, langid, lines, packing, simhash, suffixes
+from quire.llm import bpe, hosts, langid, lines, packing, simhash, suffixes
 from quire.llm.registry import query, table
 
 #: Added token of byte_bpe_50k.json and the id that closes a document.
@@ -83,3 +83,57 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: Verdict, host and path of each rule.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op6_url_filter", f"""
+WITH parsed AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+outcomes AS (
+  SELECT p.host, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1.0 ELSE 0.0 END AS bad
+  FROM parsed p JOIN labels l ON TRY_CAST(regexp_extract(p.path, '/([0-9]+)(?:[.][a-z]+)?/?$', 1) AS BIGINT) = l.doc_id),
+counts AS (SELECT host, sum(bad)::DOUBLE AS b, count(*)::DOUBLE AS n FROM outcomes GROUP BY host),
+level AS (
+  SELECT h.host, coalesce(c.b, 0) AS b, coalesce(c.n, 0) AS n, string_split(h.host, '.') AS ls
+  FROM (SELECT DISTINCT host FROM parsed) h LEFT JOIN counts c ON h.host = c.host),
+named AS (
+  SELECT host, b, n, ls, CASE WHEN len(ls) > 2 AND length(ls[-1]) = 2 AND ls[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org')
+    THEN array_to_string(ls[-2:], '.') ELSE ls[-1] END AS suffix FROM level),
+full_level AS (
+  SELECT *, CASE WHEN len(ls) > len(string_split(suffix, '.')) + 1 THEN array_to_string(ls[-(len(string_split(suffix, '.')) + 1):], '.') ELSE host END AS domain FROM named),
+domains0 AS (SELECT suffix, domain, sum(b) AS db, sum(n) AS dn FROM full_level GROUP BY ALL),
+suffixes0 AS (SELECT suffix, sum(db) AS sb, sum(dn) AS sn FROM domains0 GROUP BY suffix),
+suffixes AS (SELECT *, (sb + {hosts.STRENGTH} * (SELECT (sum(sb) + 1) / (sum(sn) + 2) FROM suffixes0)) / (sn + {hosts.STRENGTH}) AS sp FROM suffixes0),
+domains AS (SELECT d.*, (db + {hosts.STRENGTH} * sp) / (dn + {hosts.STRENGTH}) AS dp FROM domains0 d JOIN suffixes s ON d.suffix = s.suffix),
+fitted AS (
+  SELECT l.domain, l.suffix, sum(l.n * (l.b / l.n - d.dp) ** 2) AS spread, count(*)::DOUBLE AS k, sum(l.n) AS n, any_value(d.dp) AS p
+  FROM full_level l JOIN domains d ON l.domain = d.domain AND l.suffix = d.suffix WHERE l.n > 0 GROUP BY l.domain, l.suffix),
+strengths AS (
+  SELECT domain, suffix, CASE WHEN (spread - k * p * (1 - p)) / greatest(n - k, 1.0) > 0
+    THEN least(1000.0, greatest(1.0, p * (1 - p) / ((spread - k * p * (1 - p)) / greatest(n - k, 1.0)) - 1)) ELSE {hosts.STRENGTH} END AS m FROM fitted),
+posterior AS (
+  SELECT l.host, (l.b + m * dp) / (l.n + m) AS mean, l.n + m AS total
+  FROM (SELECT l.*, d.dp, coalesce(s.m, {hosts.STRENGTH}) AS m FROM full_level l JOIN domains d ON l.domain = d.domain AND l.suffix = d.suffix
+    LEFT JOIN strengths s ON l.domain = s.domain AND l.suffix = s.suffix) l),
+ruled AS (
+  SELECT p.*, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM parsed p)
+SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN mean - {hosts.DEVIATIONS} * sqrt(mean * (1 - mean) / (total + 1)) > {hosts.MOST_BAD} THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r LEFT JOIN posterior p ON r.host = p.host""")
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(hosts.path_of(F.col("url")), r"/([0-9]+)(?:[.][a-z]+)?/?$", 1)  # a page names its document
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    named = pages.withColumn("_n", number).select(hosts.host_of(F.col("url")).alias("host"), F.expr("try_cast(_n AS BIGINT)").alias("doc_id"))
+    outcomes = named.join(labels, "doc_id").select("host", bad.alias("bad"))
+    judged = hosts.judge(pages, outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
