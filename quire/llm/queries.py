@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, hosts, langid, lines, packing, simhash, suffixes
+from quire.llm import bpe, hosts, langid, lines, packing, simhash, suffixes, warc
 from quire.llm.registry import query, table
 
 #: Added token of byte_bpe_50k.json and the id that closes a document.
@@ -137,3 +137,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = named.join(labels, "doc_id").select("host", bad.alias("bad"))
     judged = hosts.judge(pages, outcomes, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_warc")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archive = warc.write(pages)
+    records = warc.read(archive, warc.lookup(archive, pages))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
