@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, hosts, langid, lines, packing, simhash, suffixes, warc
+from quire.llm import bpe, hosts, langid, lattice, lines, packing, simhash, suffixes, warc
 from quire.llm.registry import query, table
 
 #: Added token of byte_bpe_50k.json and the id that closes a document.
@@ -145,3 +145,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write(pages)
     records = warc.read(archive, warc.lookup(archive, pages))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_lattice_dedup")
+def op3_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
