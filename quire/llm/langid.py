@@ -15,7 +15,7 @@ from quire.llm.common import binary_rows, slices
 #: Bins that byte 3-grams are hashed to.
 BINS = 1 << 14
 #: Labelled rows per language, about, that the classifiers are fitted on; everything else covers all rows.
-SAMPLE_PER_LANGUAGE = 400
+SAMPLE_PER_LANGUAGE = 200
 #: Languages that may be learned.
 MOST_LANGUAGES = 500
 #: A decision is ambiguous if the codeword next to the chosen one is closer than this probability to it.
@@ -96,8 +96,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "
                 yield pa.RecordBatch.from_arrays([some.column("lang"), pa.array([(x / max(1, x.sum())).astype("<f2").tobytes() for x in out], pa.binary())], ["lang", "x"])
 
     found = sample.mapInArrow(count, "lang string, x binary").toPandas()
-    x = np.stack([np.frombuffer(b, "<f2").astype(np.float32) for b in found["x"]]) if len(found) else np.zeros((0, BINS), np.float32)
-    y = np.array([languages.index(v) for v in found["lang"]], np.int64)
+    order = found.sort_values(["lang", "x"]).index  # the rows come in any order
+    x = np.zeros((len(found), BINS), np.float32)
+    for k, i in enumerate(order):
+        x[k] = np.frombuffer(found.at[i, "x"], "<f2")
+    y = np.array([languages.index(v) for v in found["lang"][order]], np.int64)
+    del found
     return _train(x, y, languages)
 
 
@@ -106,12 +110,11 @@ def _train(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Model:
     code = codewords(len(languages))
     if not code.shape[1] or not len(x):
         return Model(languages, code, np.zeros((BINS, code.shape[1]), np.float32), np.zeros(code.shape[1]), np.zeros(code.shape[1]))
-    order = np.lexsort((x @ np.arange(1, BINS + 1, dtype=np.float32), y))  # the rows come in any order
-    x, y = x[order], y[order]
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
-    z = x * scale
+    x *= scale
+    z = x
     balance = 1 / np.bincount(y, minlength=len(languages))[y]
-    mean = (balance[:, None] * z).sum(axis=0) / balance.sum()
+    mean = (balance @ z / balance.sum()).astype(np.float32)
     z -= mean
     target = code[y]
     middle = (balance[:, None] * target).sum(axis=0) / balance.sum()
