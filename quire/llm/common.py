@@ -140,6 +140,23 @@ def chained(ids: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ids[order][1:][same], ids[order][:-1][same]
 
 
+def spanning(n: int, pairs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indices of the pairs of a minimum spanning forest of n nodes (Boruvka's rounds); ties go to earlier pairs."""
+    order = np.argsort(weight, kind="stable")
+    a, b = pairs[order].T
+    root, chosen, alive = np.arange(n), [], np.arange(len(order))
+    while True:
+        alive = alive[root[a[alive]] != root[b[alive]]]
+        if not len(alive):
+            return order[np.concatenate([*chosen, alive])]
+        best = np.full(n, len(order))
+        np.minimum.at(best, root[a[alive]], alive)
+        np.minimum.at(best, root[b[alive]], alive)
+        picked = np.unique(best[best < len(order)])
+        chosen.append(picked)
+        root = union_find(n, np.stack([root[a[picked]], root[b[picked]]], axis=1))[root]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Columns ``id`` and ``component`` (the smallest id that links reach) for all ids of ``edges`` (``a``, ``b``).
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounds, chained, components, in_blocks, slices, stored, union_find, whole_groups
+from quire.llm.common import bounds, chained, components, in_blocks, slices, spanning, stored, union_find, whole_groups
 
 #: Seed of the shingle hash.
 SEED = 42
@@ -135,8 +135,9 @@ def within(x: np.ndarray, y: np.ndarray, bits: int, m: int, tau: int) -> np.ndar
     return keep
 
 
-def _links(bits: int, m: int, tau: int, most_pairs: int = 1 << 18):
-    """Links of each block pair, thinned to chains that connect the same fingerprints."""
+def _links(bits: int, ring: int, tau: int, nearest: bool, most_pairs: int = 1 << 18):
+    """Links of each block pair, thinned to chains that connect the same fingerprints; or, for links that are checked
+    later, to a spanning forest of the nearest pairs, which connects what any threshold on the distance connects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "_i", "_j"]):
@@ -150,7 +151,7 @@ def _links(bits: int, m: int, tau: int, most_pairs: int = 1 << 18):
             def compare(a: np.ndarray, b: np.ndarray) -> None:
                 ok = np.zeros(len(a), bool)
                 for lo in range(0, len(a), most_pairs):
-                    ok[lo : lo + most_pairs] = within(words[a[lo : lo + most_pairs]], words[b[lo : lo + most_pairs]], bits, m, tau)
+                    ok[lo : lo + most_pairs] = within(words[a[lo : lo + most_pairs]], words[b[lo : lo + most_pairs]], bits, ring, tau)
                 found_a.append(a[ok])
                 found_b.append(b[ok])
 
@@ -165,21 +166,59 @@ def _links(bits: int, m: int, tau: int, most_pairs: int = 1 << 18):
                     compare(a[cross], b[cross])
             a, b = np.concatenate([*found_a, np.zeros(0, int)]), np.concatenate([*found_b, np.zeros(0, int)])
             nodes, index = np.unique(id[np.concatenate([a, b])], return_inverse=True)
-            roots = union_find(len(nodes), index.reshape(2, -1).T) if len(a) else np.zeros(0, int)
+            roots = union_find(len(nodes), index.reshape(2, -1).T) if len(a) and not nearest else np.zeros(len(nodes), int)
             x, y = chained(nodes, roots) if len(a) else (nodes, nodes)
+            if nearest and len(a):
+                ends = np.sort(index.reshape(2, -1).T, axis=1)
+                far = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+                order = np.lexsort((ends[:, 1], ends[:, 0], far))
+                tree = spanning(len(nodes), ends[order], far[order])
+                y, x = nodes[ends[order][tree]].T
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], ["a", "b"])
 
     return run
 
 
-def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, tau: int = 4, m: int = 5, chain: int = 1, halves: bool = True) -> DataFrame:
+def similar(links: DataFrame, rows: DataFrame, threshold: float, id: str, text: str, words: int) -> DataFrame:
+    """Links (``a``, ``b``) whose rows share at least ``threshold`` of the union of their shingles.
+
+    Only rows with links are hashed and shuffled. Sets hold 64-bit hashes of the shingles.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "_text"):
+                sets = [np.unique(shingle_hashes(t or b"", words)).astype("<u8").tobytes() for t in some.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "sa"):
+                keep = []
+                for x, y in zip(some.column("sa").to_pylist(), some.column("sb").to_pylist(), strict=True):
+                    p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(both >= threshold * (len(p) + len(q) - both))
+                yield some.select(["a", "b"]).filter(pa.array(keep))
+
+    links = stored(links, "candidates")
+    needed = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    texts = rows.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text")).join(needed, "id", "left_semi")
+    sets = stored(texts.dropDuplicates(["id"]).mapInArrow(hashed, "id long, set binary"), "shingles")
+    first = links.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    return first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").mapInArrow(compared, "a long, b long")
+
+
+def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, tau: int = 4, m: int = 5, chain: int = 1, halves: bool = True, ring: int | None = None, similarity: float | None = None) -> DataFrame:
     """``id``, ``fingerprint`` and ``component_id``, the smallest id that links reach, for every row.
 
     Fingerprints that differ in at most ``tau`` bits are linked. Equal fingerprints form a class, and only one
     row per class is compared, so copies cost nothing. Candidates share the bits that ``ring_keys`` requires; with
     chain * tau < m (and, for ``halves``, (chain + 1) * tau < 2 * m) no pair is missed. A longer chain asks more of a
-    candidate than the budgets do: it finds a pair only if some chain of that length agrees entirely. A null text
+    candidate than the budgets do: it finds a pair only if some chain of that length agrees entirely. The filter before the full comparison takes
+    ``ring`` segments (``m`` unless given). With ``similarity``, links of differing fingerprints stand only if the sets of
+    shingles are that similar (Jaccard); those of equal fingerprints stand. A null text
     counts as empty; texts without words have fingerprint zero. Ids are taken to be unique; rows that share one
     share its component. Groups of any size are compared in bounded blocks.
     """
@@ -201,7 +240,9 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
     keyed = stored(classes.mapInArrow(keys, "key long, id long"), "keys")
     met = in_blocks(keyed, ["key"], "id").join(classes, "id")
     dealt = met.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "id")
-    links = dealt.select("key", "_i", "_j", "_own", "id", "fingerprint").mapInArrow(_links(bits, m, tau), "a long, b long")
+    links = dealt.select("key", "_i", "_j", "_own", "id", "fingerprint").mapInArrow(_links(bits, ring or m, tau, similarity is not None), "a long, b long")
+    if similarity is not None:
+        links = similar(links.distinct(), rows, similarity, id, text, words)
     reached = components(links)
     named = classes.join(reached, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "fingerprint").select(F.col("id").alias(id), "fingerprint", "component_id")

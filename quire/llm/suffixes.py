@@ -305,19 +305,39 @@ def merged(blobs: list[bytes] | None) -> np.ndarray:
     return np.stack([pairs[starts, 0], reach[np.append(starts[1:], len(pairs)) - 1]], axis=1)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for some in slices(batch, "_text"):
-            firsts, lasts, kept = [], [], []
-            for text, h, found in zip(some.column("_text").to_pylist(), some.column("_h").to_pylist(), some.column("_spans").to_pylist(), strict=True):
-                runs = merged([x["spans"] for x in found or [] if x["_h"] == h])
-                edges = [0, *runs.ravel().tolist(), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                firsts.append(runs[:, 0])
-                lasts.append(runs[:, 1])
-            ends = pa.array(np.cumsum([0, *map(len, firsts)]).astype(np.int32))
-            pair = pa.StructArray.from_arrays([pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(lasts).astype(np.int32))], ["first", "last"])
-            yield pa.RecordBatch.from_arrays([some.column("_id"), some.column("_text"), pa.ListArray.from_arrays(ends, pair), pa.array(kept, pa.binary())], ["_id", "_text", "spans", "kept"])
+def whole_characters(text: bytes, runs: np.ndarray) -> np.ndarray:
+    """Runs of UTF-8 bytes without the characters that they hold in part."""
+    inside = np.append((np.frombuffer(text, np.uint8) & 0xC0) == 0x80, False)
+    runs = runs.copy()
+    while (k := inside[runs[:, 0]]).any():
+        runs[k, 0] += 1
+    while (k := inside[runs[:, 1]]).any():
+        runs[k, 1] -= 1
+    return runs[runs[:, 0] < runs[:, 1]]
+
+
+def _cut(characters: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _cut_batch(batch, characters)
+
+    return run
+
+
+def _cut_batch(batch: pa.RecordBatch, characters: bool) -> Iterator[pa.RecordBatch]:
+    for some in slices(batch, "_text"):
+        firsts, lasts, kept = [], [], []
+        for text, h, found in zip(some.column("_text").to_pylist(), some.column("_h").to_pylist(), some.column("_spans").to_pylist(), strict=True):
+            runs = merged([x["spans"] for x in found or [] if x["_h"] == h])
+            if characters:
+                runs = whole_characters(text, runs)
+            edges = [0, *runs.ravel().tolist(), len(text)]
+            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            firsts.append(runs[:, 0])
+            lasts.append(runs[:, 1])
+        ends = pa.array(np.cumsum([0, *map(len, firsts)]).astype(np.int32))
+        pair = pa.StructArray.from_arrays([pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(lasts).astype(np.int32))], ["first", "last"])
+        yield pa.RecordBatch.from_arrays([some.column("_id"), some.column("_text"), pa.ListArray.from_arrays(ends, pair), pa.array(kept, pa.binary())], ["_id", "_text", "spans", "kept"])
 
 
 def _frequent(answered: DataFrame) -> np.ndarray:
@@ -335,13 +355,14 @@ def _frequent(answered: DataFrame) -> np.ndarray:
     return rows["key"].to_numpy(np.int64).view(np.uint64)
 
 
-def repeated_spans(rows: DataFrame, id: str = "doc_id", text: str = "text", size: int = 50) -> DataFrame:
+def repeated_spans(rows: DataFrame, id: str = "doc_id", text: str = "text", size: int = 50, characters: bool = False) -> DataFrame:
     """``id``, ``text`` (binary), ``spans`` (first byte, end) and ``kept`` (binary) of every row.
 
     A byte is in a span if a string of ``size`` bytes that covers it also starts in a row with a smaller id. Null
     texts count as empty; a row with a null id is compared with nothing and keeps all its bytes. Rows that share an
     id do not count as smaller than one another. Matches never cross rows. Minimizers are first asked for how many
     rows have them, in compact blocks of hashes, so only strings with a shared minimizer are shuffled.
+    With ``characters``, spans leave a character whole that they would cut, so that ``kept`` stays valid UTF-8.
     """
     if size <= GRAM:
         raise ValueError(f"size must be above {GRAM}")
@@ -358,5 +379,5 @@ def repeated_spans(rows: DataFrame, id: str = "doc_id", text: str = "text", size
     decided = strings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_decide(size), "_id long, _h long, spans binary")
     spans = decided.groupBy("_id").agg(F.collect_list(F.struct("_h", "spans")).alias("_spans"))
     joined = docs.join(spans, "_id", "left").select("_id", "_h", "_text", "_spans")
-    cut = joined.mapInArrow(_cut, "_id long, _text binary, spans array<struct<first: int, last: int>>, kept binary")
+    cut = joined.mapInArrow(_cut(characters), "_id long, _text binary, spans array<struct<first: int, last: int>>, kept binary")
     return cut.select(F.col("_id").alias(id), F.col("_text").alias(text), "spans", "kept")
