@@ -29,7 +29,7 @@ def language_ok(value: Column) -> Column:
     tag = F.lower(value)
     repeated = lambda parts: F.size(parts) != F.size(F.array_distinct(parts))
     head = F.split(F.regexp_replace(tag, r"-[a-z0-9]-.*$", ""), "-")
-    variants = F.filter(F.slice(head, 2, 64), lambda p: p.rlike(VARIANT))
+    variants = F.filter(F.slice(head, F.lit(2), F.size(head)), lambda p: p.rlike(VARIANT))
     singles = F.filter(F.split(F.regexp_replace(tag, r"-x-.*$", ""), "-"), lambda p: F.length(p) == 1)
     formed = tag.rlike(LANGUAGE_TAG) & ~repeated(variants) & ~repeated(singles)
     ascii_only = value.rlike(r"^[\x00-\x7F]*$")

@@ -152,8 +152,8 @@ PROBLEM_CLASSES = [
 SUSPECT = r"[^\n\x20-\x7E\xA0-\xAC\xAE-\u024F\u0391-\u03A1\u03A3-\u03C9\u0410-\u044F\u2010-\u2027]"
 
 
-def text_problem_runs(texts: DataFrame, column: str = "text", cap: int = fixed.PROBLEM_RUNS) -> DataFrame:
-    """Runs of unsupported characters with offset, length and reason; the first ``cap`` per text.
+def text_problem_runs(texts: DataFrame, column: str = "text") -> DataFrame:
+    """All runs of unsupported characters with offset, length and reason.
 
     The text is cut where the class of the characters changes, so a clean text is a single
     piece and nothing is exploded per character or shuffled.  Offsets count code points of
@@ -173,7 +173,7 @@ def text_problem_runs(texts: DataFrame, column: str = "text", cap: int = fixed.P
     def step(acc, piece):
         why = reason(piece)
         found = F.array(F.struct(acc["at"].alias("offset"), F.length(piece).alias("run"), why.alias("reason")))
-        keep = why.isNotNull() & (F.size(acc["runs"]) < cap)
+        keep = why.isNotNull()
         return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when(keep, F.concat(acc["runs"], found)).otherwise(acc["runs"]).alias("runs"))
 
     runs = F.aggregate(pieces, start, step)["runs"]

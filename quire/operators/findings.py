@@ -25,8 +25,13 @@ def finding_codes(spark: SparkSession) -> DataFrame:
 
 
 def with_codes(findings: DataFrame) -> DataFrame:
-    """Add severity, class and priority; the catalogue is fixed and small, so it is broadcast."""
-    return findings.join(F.broadcast(finding_codes(findings.sparkSession)), "code", "left")
+    """Add severity, class and priority; the catalogue is fixed and small, so it is broadcast.
+
+    A code outside the catalogue fails the job: it must never pass for success.
+    """
+    known = findings.join(F.broadcast(finding_codes(findings.sparkSession)), "code", "left")
+    unlisted = F.raise_error(F.concat(F.lit("unlisted finding code: "), F.coalesce("code", F.lit("null"))))
+    return known.withColumns({"severity": F.coalesce("severity", unlisted.cast("string")), "priority": F.coalesce("priority", unlisted.cast("int"))})
 
 
 def length_prefixed(values: Column) -> Column:

@@ -10,10 +10,12 @@ def effective_geometry(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Displayed size of every page: (accepted, rejected).
 
     Boxes are corner-normalised, intersected, scaled by the user unit; an odd quarter turn
-    swaps the sides.  An empty, infinite or NaN result is rejected.  ``crop`` may be null.
+    swaps the sides.  An empty, infinite or NaN result is rejected, as is a box without exactly
+    four numbers.  ``crop`` may be null; an absent rotation is 0, an absent user unit 1.
     """
-    low = lambda box, i: F.least(F.col(box)[i], F.col(box)[i + 2])
-    high = lambda box, i: F.greatest(F.col(box)[i], F.col(box)[i + 2])
+    pages = pages.withColumns({"rotate": F.coalesce("rotate", F.lit(0)), "unit": F.coalesce("unit", F.lit(1))})
+    low = lambda box, i: F.least(F.get(box, i), F.get(box, i + 2))
+    high = lambda box, i: F.greatest(F.get(box, i), F.get(box, i + 2))
     # greatest/least skip nulls, so an absent crop box leaves the media box as it is.
     boxed = pages.withColumns({
         "box_x0": F.greatest(low("media", 0), low("crop", 0)),
@@ -28,9 +30,10 @@ def effective_geometry(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "width": F.when(turned, along).otherwise(across),
         "height": F.when(turned, across).otherwise(along),
     })
+    whole = lambda box: (F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull())
     usable = lambda c: (c > 0) & ~F.isnan(c) & (c != float("inf"))
     good = F.coalesce(
-        usable(F.col("width")) & usable(F.col("height")) & (F.size("media") == 4) & (F.col("rotate") % 90 == 0), F.lit(False)
+        usable(F.col("width")) & usable(F.col("height")) & whole("media") & (F.col("crop").isNull() | whole("crop")) & (F.col("rotate") % 90 == 0), F.lit(False)
     )
     return shown.filter(good), shown.filter(~good)
 

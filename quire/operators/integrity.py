@@ -12,11 +12,13 @@ from quire.operators.scan import with_positions
 def two_way_index(owners: DataFrame, index: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Bidirectional consistency of claims and index entries: (findings, repaired index).
 
-    ``owners``: keys, element, claims (bool: the element names the key itself); ``index``: keys,
+    ``owners``: keys, element, claims (optional bool: the element names the key itself; without it all do); ``index``: keys,
     element, live.  A claim without an entry, a key claimed twice, an entry that names another
     element and an entry nobody refers to are findings.  An unclaimed stale entry to a live
     element is dropped with a warning; the repaired index holds the agreeing entries.
     """
+    if "claims" in owners.columns:
+        owners = owners.filter(F.coalesce("claims", F.lit(False)))
     claimed = owners.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_claims"), F.min("element").alias("_owner"), F.max("element").alias("_other")
     )
@@ -119,7 +121,9 @@ def verify_pages(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-6
     want = expected.select("packet_id", "page", F.col("text").alias("_t"), F.col("width").alias("_w"), F.col("height").alias("_h"), F.lit(1).alias("_want"))
     got = actual.select("packet_id", "page", "text", "width", "height", F.lit(1).alias("_got"))
     both = want.join(got, ["packet_id", "page"], "full_outer")
-    off = (F.abs(F.col("_w") - F.col("width")) > tolerance) | (F.abs(F.col("_h") - F.col("height")) > tolerance)
+    # a side that is expected but not written is off as well
+    apart = lambda want, got: F.col(want).isNotNull() & F.coalesce(F.abs(F.col(want) - F.col(got)) > tolerance, F.lit(True))
+    off = apart("_w", "width") | apart("_h", "height")
     check = (
         F.when(F.col("_got").isNull(), "missing_page").when(F.col("_want").isNull(), "extra_page")
         .when(~F.col("_t").eqNullSafe(F.col("text")), "page_text").when(off, "geometry")

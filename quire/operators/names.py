@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.scan import durable, exceeds_group_limit, with_positions
+from quire.operators.tree import clean_path
 
 DEFAULT_PREFIX = "packet.destination"
 
@@ -143,13 +144,19 @@ def portable_key(path: Column) -> Column:
     return F.when(ascii_only, F.lower(path)).otherwise(composed(F.when(~ascii_only, F.regexp_replace(path, IGNORABLE, ""))))
 
 
+def _plain_path(path: Column) -> Column:
+    """The path without ``.``, ``..`` and empty steps; a scheme stays as it is."""
+    scheme = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*://)?", 0)
+    return F.concat(scheme, clean_path(F.substr(path, F.length(scheme) + 1)))
+
+
 def path_conflicts(roles: DataFrame) -> DataFrame:
     """Paths that must not coincide: packet_id, role (input, output, report), path.
 
     Two inputs may share a path; an output or report may share it with nothing.  Each group
     yields one row per offender against its first owner, never a row per pair.
     """
-    keyed = roles.withColumn("key", portable_key(F.col("path")))
+    keyed = roles.withColumn("key", portable_key(_plain_path(F.col("path"))))
     writer = F.col("role") != "input"
     owner = F.struct(F.when(writer, 1).otherwise(0).alias("rank"), "packet_id", "role", "path")
     groups = keyed.groupBy("key").agg(

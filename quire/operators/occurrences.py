@@ -41,8 +41,10 @@ def share_analyses(uses: DataFrame, fields: list[str]) -> tuple[DataFrame, DataF
     """Group uses whose analysis is the same: (distinct analyses, uses with their analysis key).
 
     ``fields`` are string columns that decide the result: source, normalised ranges, policy.
+    An absent value differs from an empty one.
     """
-    key = F.sha2(length_prefixed(F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields])).cast("binary"), 256)
+    told = [F.when(F.col(f).isNull(), "-").otherwise(F.concat(F.lit("+"), f)) for f in fields]
+    key = F.sha2(length_prefixed(F.array(*told)).cast("binary"), 256)
     keyed = uses.withColumn("analysis", key)
     return keyed.groupBy("analysis").agg(F.count(F.lit(1)).alias("uses"), *[F.min(f).alias(f) for f in fields]), keyed
 

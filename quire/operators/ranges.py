@@ -40,13 +40,14 @@ def merge_ranges(ranges: DataFrame, keys: list[str], split: bool | None = None,
 def range_rejects(ranges: DataFrame, sources: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
     """Ranges that are malformed or past the source, and partial use of a source with fields.
 
-    ``ranges`` carries ``path``; ``sources`` has one row per path with pages and has_fields.
+    ``ranges`` carries ``path``; ``sources`` has one row per path with pages and has_fields.  A
+    well-formed range of a source without facts is a failed source.
     """
     looked = scan(ranges, keys, ["ordinal"], [Previous("_prev", F.col("last"))], split)
     facts = sources.select("path", F.col("pages").alias("_pages"), F.col("has_fields").alias("_fields"))
-    joined = looked.join(facts, "path")
+    joined = looked.join(facts, "path", "left")
     malformed = (F.col("first") < 1) | (F.col("last") < F.col("first")) | (F.col("first") <= F.coalesce("_prev", F.lit(0)))
-    code = F.when(malformed, "plan_value").when(F.col("last") > F.col("_pages"), "source_selection_out_of_range")
+    code = F.when(malformed, "plan_value").when(F.col("_pages").isNull(), "source_processing_failed").when(F.col("last") > F.col("_pages"), "source_selection_out_of_range")
     wrong = joined.select(*keys, "path", "ordinal", code.alias("code")).filter("code is not null")
     chosen = joined.groupBy(*keys, "path").agg(
         F.sum(F.col("last") - F.col("first") + 1).alias("_chosen"), F.first("_pages").alias("_pages"), F.first("_fields").alias("_fields")

@@ -245,7 +245,7 @@ def conversation_turns(spark, sf_dir) -> tuple[DataFrame, bool]:
     rows = placed.select(
         F.col("conv_id").alias("packet_id"), "pos", "turn", (F.col("role") == "user").alias("opens"),
         (1 + F.expr("cast(length(text) as bigint) div 400")).alias("pages"),
-        F.substring("text", 1, 40).alias("title"),
+        F.col("text").alias("title"),
         (12 + 6 * (F.length("text") % 4)).cast("bigint").alias("height"),
         F.concat_ws("/", F.lit("turn"), F.col("conv_id"), F.col("turn")).alias("ref"),
     )
@@ -254,7 +254,7 @@ def conversation_turns(spark, sf_dir) -> tuple[DataFrame, bool]:
 
 FX4 = """fx4 AS MATERIALIZED (
   SELECT conv_id AS packet_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, turn, role = 'user' AS opens,
-         1 + length(text) // 400 AS pages, substring(text, 1, 40) AS title, (12 + 6 * (length(text) % 4))::BIGINT AS height,
+         1 + length(text) // 400 AS pages, text AS title, (12 + 6 * (length(text) % 4))::BIGINT AS height,
          'turn/' || conv_id || '/' || turn AS ref
   FROM conversations)"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,18 +109,35 @@ class PublishRefused(ValueError):
 def publish(df: DataFrame, path: str, inputs: list[str], overwrite: bool = False, format: str = "parquet") -> None:
     """Write a result without ever replacing one of the job's inputs.
 
-    ``inputs`` names the paths the job reads; a target equal to, inside or around one of them
-    is refused.  An existing target is refused unless ``overwrite``.
+    ``inputs`` names further paths the job reads, beside the files that ``df`` itself reads; a
+    target equal to, inside or around one of them is refused, in whatever spelling.  An existing
+    target is refused unless ``overwrite``.  The result is written beside the target and moved
+    there when it is complete.
     """
-    steps = lambda p: [s for s in p.removeprefix("file:").split("/") if s not in ("", ".")]
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
+    settings = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+
+    def qualified(name: str):
+        given = hadoop.Path(name)
+        return given.getFileSystem(settings).makeQualified(hadoop.Path(given.toUri().normalize()))
+
+    def steps(name: str) -> list[str]:
+        uri = qualified(name).toUri().normalize()
+        return [f"{uri.getScheme()}://{uri.getAuthority() or ''}", *(s for s in uri.getPath().split("/") if s)]
+
     target = steps(path)
-    for name in inputs:
+    for name in [*inputs, *df.inputFiles()]:
         source = steps(name)
         shorter = min(len(source), len(target))
         if source[:shorter] == target[:shorter]:
             raise PublishRefused(f"output_is_input: {path} overlaps {name}")
-    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).exists(folder)
-    if exists and not overwrite:
+    folder = qualified(path)
+    system = folder.getFileSystem(settings)
+    if system.exists(folder) and not overwrite:
         raise PublishRefused(f"output_exists: {path}")
-    df.write.mode("overwrite" if overwrite else "errorifexists").format(format).save(path)
+    staged = hadoop.Path(folder.getParent(), f".{folder.getName()}-{uuid.uuid4().hex}")
+    df.write.format(format).save(staged.toString())
+    if system.exists(folder):
+        system.delete(folder, True)
+    if not system.rename(staged, folder):
+        raise PublishRefused(f"output_publish_failed: {path}")
