@@ -11,6 +11,8 @@ MOST_BAD = 0.5
 DEVIATIONS = 1.645
 #: Prior of the suffixes: the share of bad outcomes overall, worth this many outcomes.
 STRENGTH = 10.0
+#: What a fitted prior is worth at least, in outcomes.
+LEAST_STRENGTH = 2.0
 #: Second-level labels that registries hand out below a country's suffix (fixed values).
 REGISTRY_LABELS = ["ac", "co", "com", "edu", "gov", "net", "org"]
 
@@ -77,7 +79,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, strength: float = STRENGTH
         F.sum("n").alias("_n"), F.first("dp").alias("_p"))
     chance = F.col("_k") * F.col("_p") * (1 - F.col("_p"))
     excess = (F.col("_spread") - chance) / F.greatest(F.col("_n") - F.col("_k"), F.lit(1.0))
-    fitted = fitted.withColumn("_m", F.when(excess > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.col("_p") * (1 - F.col("_p")) / excess - 1))).otherwise(F.lit(strength)))
+    fitted = fitted.withColumn("_m", F.when(excess > 0, F.least(F.lit(1000.0), F.greatest(F.lit(LEAST_STRENGTH), F.col("_p") * (1 - F.col("_p")) / excess - 1))).otherwise(F.lit(strength)))
     known = level.join(domains.select("domain", "suffix", "dp"), ["domain", "suffix"]).join(fitted.select("domain", "suffix", "_m"), ["domain", "suffix"], "left")
     known = known.withColumn("_m", F.coalesce("_m", F.lit(strength)))
     a, total = F.col("b") + F.col("_m") * F.col("dp"), F.col("n") + F.col("_m")

@@ -114,7 +114,7 @@ fitted AS (
   FROM full_level l JOIN domains d ON l.domain = d.domain AND l.suffix = d.suffix WHERE l.n > 0 GROUP BY l.domain, l.suffix),
 strengths AS (
   SELECT domain, suffix, CASE WHEN (spread - k * p * (1 - p)) / greatest(n - k, 1.0) > 0
-    THEN least(1000.0, greatest(1.0, p * (1 - p) / ((spread - k * p * (1 - p)) / greatest(n - k, 1.0)) - 1)) ELSE {hosts.STRENGTH} END AS m FROM fitted),
+    THEN least(1000.0, greatest({hosts.LEAST_STRENGTH}, p * (1 - p) / ((spread - k * p * (1 - p)) / greatest(n - k, 1.0)) - 1)) ELSE {hosts.STRENGTH} END AS m FROM fitted),
 posterior AS (
   SELECT l.host, (l.b + m * dp) / (l.n + m) AS mean, l.n + m AS total
   FROM (SELECT l.*, d.dp, coalesce(s.m, {hosts.STRENGTH}) AS m FROM full_level l JOIN domains d ON l.domain = d.domain AND l.suffix = d.suffix
