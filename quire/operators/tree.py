@@ -7,6 +7,8 @@ rows by a small constant and every step is an equality join or a combinable aggr
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +18,20 @@ from quire.operators.scan import RunningSum, durable, scan, with_positions
 DIVIDER_POSITION = -1
 
 
-def with_paths(nodes: DataFrame, limit: int = MAX_NESTING) -> tuple[DataFrame, DataFrame]:
+def with_paths(nodes: DataFrame, limit: int | None = MAX_NESTING) -> tuple[DataFrame, DataFrame]:
     """Add ``path`` and ``order_path`` to an adjacency list: (reached, unreached).
 
-    One join per level from the roots down.  Nodes that no root reaches are orphans, parts of
-    a cycle, or deeper than ``limit``.
+    One join per level from the roots down, within the packet if there is a ``packet_id``.  Nodes
+    that no root reaches are orphans, parts of a cycle, or deeper than ``limit`` (None: no limit).
     """
+    scope = [c for c in ("packet_id",) if c in nodes.columns]
     roots = nodes.filter(F.col("parent").isNull())
     level = durable(roots.withColumns({"path": F.array("node"), "order_path": F.array("pos")}))
     reached = level
-    for _ in range(limit):
-        above = level.select(F.col("node").alias("parent"), F.col("path").alias("_path"), F.col("order_path").alias("_order"))
+    for _ in itertools.count() if limit is None else range(limit):
+        above = level.select(*scope, F.col("node").alias("parent"), F.col("path").alias("_path"), F.col("order_path").alias("_order"))
         level = durable(
-            nodes.join(above, "parent").select(
+            nodes.join(above, [*scope, "parent"]).select(
                 *nodes.columns,
                 F.concat("_path", F.array("node")).alias("path"),
                 F.concat("_order", F.array("pos")).alias("order_path"),
@@ -37,7 +40,7 @@ def with_paths(nodes: DataFrame, limit: int = MAX_NESTING) -> tuple[DataFrame, D
         if level.isEmpty():
             break
         reached = reached.unionByName(level)
-    return reached, nodes.join(reached.select("node").distinct(), "node", "left_anti")
+    return reached, nodes.join(reached.select(*scope, "node").distinct(), [*scope, "node"], "left_anti")
 
 
 def ancestors(nodes: DataFrame, fields: tuple = (), own: bool = True) -> DataFrame:
@@ -50,8 +53,13 @@ def ancestors(nodes: DataFrame, fields: tuple = (), own: bool = True) -> DataFra
 def check_tree(nodes: DataFrame, limit: int = MAX_NESTING, declared: str | None = None) -> DataFrame:
     """Faults of an adjacency list: orphan, several parents, cycle, too deep, wrong leaf count.
 
-    ``declared`` names a column with the leaf count a node claims (null = no claim).
+    ``declared`` names a column with the leaf count a node claims (null = no claim).  With a
+    ``packet_id``, nodes are known by packet and id, and the faults carry both.
     """
+    if "packet_id" in nodes.columns:
+        within = lambda c: F.when(F.col(c).isNotNull(), F.struct("packet_id", F.col(c).alias("id"))).alias(c)
+        faults = check_tree(nodes.select(within("node"), within("parent"), *[c for c in nodes.columns if c not in ("packet_id", "node", "parent")]), limit, declared)
+        return faults.select("node.packet_id", F.col("node.id").alias("node"), "fault")
     ids = nodes.select("node").distinct()
     fault = lambda rows, kind: rows.select("node", F.lit(kind).alias("fault")).distinct()
     orphans = nodes.filter(F.col("parent").isNotNull()).join(ids.withColumnRenamed("node", "parent"), "parent", "left_anti")
@@ -71,7 +79,7 @@ def check_tree(nodes: DataFrame, limit: int = MAX_NESTING, declared: str | None
         .unionByName(fault(deep, "too_deep")).unionByName(fault(ends.filter("cyclic"), "cycle"))
     )
     if declared:
-        reached, _ = with_paths(single, limit)
+        reached, _ = with_paths(single, None)  # leaves that lie too deep count as well
         parents = nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
         leaves = reached.join(parents, "node", "left_anti")
         counts = leaves.select(F.explode("path").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_leaves"))

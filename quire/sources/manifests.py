@@ -26,6 +26,13 @@ ITEM_MEMBERS = {
 }
 
 
+NESTED_MEMBERS = {
+    "page": ["size", "background", "text"], "divider": ["size", "background", "text"], "contents": ["title", "size"],
+    "page_defaults": ["size", "background", "text"], "fitting": ["target", "tolerance"], "metadata": ["title", "author", "subject", "language"],
+    "page_numbers": ["mode", "start", "kinds", "position", "size", "margin"],
+}
+
+
 class Manifests(NamedTuple):
     packets: DataFrame
     items: DataFrame
@@ -57,6 +64,35 @@ def _shape_fault(members: dict[str, str]) -> Column:
     )
 
 
+def _nested_fault(members: dict[str, str]) -> Column:
+    """An unknown or null member one level down."""
+    checks = []
+    for name in [n for n in members if n in NESTED_MEMBERS]:
+        keys = F.json_object_keys(F.to_json(_member(name)))
+        unknown = F.size(F.array_except(keys, F.array(*[F.lit(m) for m in NESTED_MEMBERS[name]]))) > 0
+        checks += [F.when(unknown, "plan_unknown_member"), F.when(F.schema_of_variant(_member(name)).rlike(": VOID"), "plan_null")]
+    return F.coalesce(*checks)
+
+
+def _item_fault() -> Column:
+    """Members that do not make one item, and page selections that are not pairs."""
+    has = lambda name: _member(name).isNotNull()
+    members = F.size(F.json_object_keys(F.to_json("node"))) - F.when(has("numbering"), 1).otherwise(0)
+    single = lambda name, extra: has(name) & ((members == 1) | (has(extra) & (members == 2)))
+    useful = has("numbering") | has("dir") | has("title") | has("start_on")
+    foreign = has("source") | has("pages") | has("page") | has("count") | has("contents")
+    group = has("items") & useful & (~has("divider") | has("title")) & ~foreign
+    pairs = _get("pages", "array<variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    return F.coalesce(
+        F.when(F.size(pairs) == 0, "plan_value"),
+        F.when(F.exists(pairs, lambda v: ~kind(v).isin("ARRAY<BIGINT>", "ARRAY<VOID>")), "plan_type"),
+        F.when(F.exists(pairs, lambda v: F.coalesce(F.size(F.try_variant_get(v, "$", "array<bigint>")) != 2, F.lit(True))), "plan_value"),
+        F.when(F.coalesce(kind(_member("items")) == "ARRAY<VOID>", F.lit(False)), "plan_value"),
+        F.when(~(single("source", "pages") | single("page", "count") | (has("contents") & (members == 1)) | group), "plan_item_shape"),
+    )
+
+
 def parse_manifests(texts: DataFrame) -> Manifests:
     """``texts``: packet_id, manifest (JSON text).  Rejected packets keep no items."""
     spark = texts.sparkSession
@@ -65,7 +101,7 @@ def parse_manifests(texts: DataFrame) -> Manifests:
         F.when(F.col("_bytes") > MAX_MANIFEST_BYTES, "plan_too_large")
         .when(F.col("node").isNull(), "plan_syntax")
         .otherwise(F.coalesce(
-            _shape_fault(ROOT_MEMBERS),
+            _shape_fault(ROOT_MEMBERS), _nested_fault(ROOT_MEMBERS),
             F.when(F.coalesce(_get("version", "bigint") != MANIFEST_VERSION, F.lit(True)), "plan_version_unsupported"),
             F.when(~F.coalesce(F.schema_of_variant(_member("items")).rlike("^ARRAY<(?!VOID)"), F.lit(False)), "plan_value"),
         ))
@@ -84,7 +120,7 @@ def parse_manifests(texts: DataFrame) -> Manifests:
                 "packet_id", F.col("ref").alias("parent_ref"), F.concat("ref", F.lit("/items/"), F.col("pos").cast("string")).alias("ref"),
                 F.concat("ref_path", F.array(F.col("pos").cast("bigint"))).alias("ref_path"), F.col("pos").cast("bigint").alias("pos"),
                 F.col("value").alias("node"),
-            ).withColumn("code", F.when(F.lit(depth > MAX_NESTING), "plan_limit").otherwise(_shape_fault(ITEM_MEMBERS)))
+            ).withColumn("code", F.when(F.lit(depth > MAX_NESTING), "plan_limit").otherwise(F.coalesce(_shape_fault(ITEM_MEMBERS), _nested_fault(ITEM_MEMBERS), _item_fault())))
         )
         if level.isEmpty():
             break
@@ -110,7 +146,7 @@ def parse_manifests(texts: DataFrame) -> Manifests:
         F.when(_member("source").isNotNull(), "source").when(_member("page").isNotNull(), "page")
         .when(_member("contents").isNotNull(), "contents").when(_member("items").isNotNull(), "group").alias("kind"),
         _get("source", "string").alias("path"),
-        F.transform(pairs, lambda p: F.struct(p[0].alias("first"), p[1].alias("last"))).alias("ranges"),
+        F.transform(pairs, lambda p: F.struct(F.get(p, 0).alias("first"), F.get(p, 1).alias("last"))).alias("ranges"),
         F.when(_member("page").isNotNull(), F.coalesce(_get("count", "bigint"), F.lit(1))).alias("count"),
         F.coalesce(_get("title", "string"), _get("contents.title", "string")).alias("title"),
         _get("start_on", "string").alias("start_on"), _get("dir", "string").alias("dir"), _get("numbering", "boolean").alias("numbering"),

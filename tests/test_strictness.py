@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.limits import FINDING_CODES
 from quire.functions.rules import language_ok
-from quire.operators import admission, findings, geometry, integrity, names, occurrences, ranges
-from quire.sources import reports
+from quire.operators import admission, findings, geometry, integrity, names, occurrences, ranges, tree
+from quire.sources import manifests, reports
 
 
 def test_every_code_has_its_status_and_others_fail(spark):
@@ -80,3 +80,33 @@ def test_publishing_never_replaces_an_input(spark, tmp_path):
         reports.publish(df, target, [source])
     reports.publish(spark.read.parquet(source), target, [source], overwrite=True)
     assert spark.read.parquet(target).count() == 3
+
+
+def test_trees_of_different_packets_do_not_mix(spark):
+    rows = [(p, n, up, k) for p in ("a", "b") for n, up, k in (("/0", None, 0), ("/0/0", "/0", 0), ("/0/1", "/0", 1))] + [("b", "/9", "/8", 0)]
+    nodes = spark.createDataFrame(rows, "packet_id string, node string, parent string, pos int")
+    reached, unreached = tree.with_paths(nodes)
+    assert reached.count() == 6 and [(r["packet_id"], r["node"]) for r in unreached.collect()] == [("b", "/9")]
+    assert [(r["packet_id"], r["node"], r["fault"]) for r in tree.check_tree(nodes).collect()] == [("b", "/9", "orphan")]
+
+
+def test_leaves_below_the_depth_limit_count(spark):
+    chain = [(0, None, 0, 1)] + [(k, k - 1, 0, None) for k in range(1, 6)]
+    nodes = spark.createDataFrame(chain, "node int, parent int, pos int, claim int")
+    assert {(r["node"], r["fault"]) for r in tree.check_tree(nodes, limit=3, declared="claim").collect()} == {(4, "too_deep"), (5, "too_deep")}
+
+
+@pytest.mark.parametrize("item, code", [
+    ('{"source": "a", "pages": [[1]]}', "plan_value"), ('{"source": "a", "pages": [[1, 2, 3]]}', "plan_value"), ('{"source": "a", "pages": [["x", 2]]}', "plan_type"),
+    ('{"source": "a", "pages": [1]}', "plan_type"), ('{"source": "a", "pages": []}', "plan_value"), ('{"source": "a", "pages": [[]]}', "plan_value"),
+    ('{"source": "a", "page": {}}', "plan_item_shape"), ('{"source": "a", "title": "t"}', "plan_item_shape"), ('{"page": {}, "title": "t"}', "plan_item_shape"),
+    ('{"contents": {}, "divider": {}}', "plan_item_shape"), ('{"items": [{"source": "a"}]}', "plan_item_shape"), ('{"title": "t", "items": []}', "plan_value"),
+    ('{"page": {"colour": 1}}', "plan_unknown_member"), ('{"page": {"size": null}}', "plan_null"), ("{}", "plan_item_shape"),
+    ('{"source": "a", "pages": [[1, 2], [4, 4]], "numbering": true}', None), ('{"page": {}, "count": 2}', None), ('{"contents": {}}', None),
+    ('{"title": "t", "divider": {}, "items": [{"source": "a"}]}', None), ('{"numbering": false, "items": [{"source": "a"}]}', None),
+])
+def test_items_are_refused_by_their_members(spark, item, code):
+    texts = spark.createDataFrame([("p", f'{{"version": 8, "items": [{item}]}}'), ("fine", '{"version": 8, "items": [{"source": "b"}]}')], "packet_id string, manifest string")
+    found = manifests.parse_manifests(texts)
+    assert [(r["packet_id"], r["code"]) for r in found.rejects.collect()] == ([("p", code)] if code else [])
+    assert {r["packet_id"] for r in found.items.collect()} == ({"fine"} if code else {"fine", "p"})
