@@ -88,9 +88,19 @@ def _masks(bits: int, ranges: list[tuple[int, int]]) -> np.ndarray:
     return _words(np.packbits(out, axis=1))
 
 
-def ring_keys(fps: np.ndarray, bits: int, m: int, chain: int, halves: bool) -> np.ndarray:
+def reordered(fps: np.ndarray, bits: int, ring: int) -> np.ndarray:
+    """Fingerprints with their bits in another, fixed order; ring 0 keeps theirs."""
+    if not ring:
+        return fps
+    order = np.random.default_rng(ring).permutation(bits)
+    return np.ascontiguousarray(np.packbits(np.unpackbits(fps, axis=1)[:, order], axis=1))
+
+
+def ring_keys(fps: np.ndarray, bits: int, m: int, chain: int, halves: bool, rings: int = 1) -> np.ndarray:
     """One key for each start on the ring (twice as many with ``halves``): 64-bit hashes of the bits that must agree.
 
+    Further ``rings`` lay the same bits out in other orders, for distances at which no chain is certain to agree.
+
     A pair within the distance has a start from which every chain of consecutive segments stays within its
     proportional budget, so the first segments of that chain, whose budget is below one, agree entirely. With
     ``halves``, the next segment may differ in one bit, so one of its halves agrees as well.
@@ -101,11 +111,13 @@ def ring_keys(fps: np.ndarray, bits: int, m: int, chain: int, halves: bool) -> n
         whole = [parts[(start + k) % m] for k in range(chain)]
         a, b = parts[(start + chain) % m]
         ranges += [[*whole, (a, (a + b) // 2)], [*whole, ((a + b) // 2, b)]] if halves else [whole]
-    words, keys = _words(fps), np.zeros((len(fps), len(ranges)), np.uint64)
-    for k, some in enumerate(ranges):
-        mask = np.bitwise_or.reduce(_masks(bits, some), axis=0)
+    keys = np.zeros((len(fps), rings * len(ranges)), np.uint64)
+    for k in range(keys.shape[1]):
+        if k % len(ranges) == 0:
+            words = _words(reordered(fps, bits, k // len(ranges)))
+        mask = np.bitwise_or.reduce(_masks(bits, ranges[k % len(ranges)]), axis=0)
         key = np.full(len(fps), np.uint64(k + 1))
-        for w in range(words.shape[1]):
+        for w in np.flatnonzero(mask):
             key = _mixed(key ^ (words[:, w] & mask[w]), 1)
         keys[:, k] = key
     return keys.view(np.int64)
@@ -210,34 +222,35 @@ def similar(links: DataFrame, rows: DataFrame, threshold: float, id: str, text:
     return first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, tau: int = 4, m: int = 5, chain: int = 1, halves: bool = True, ring: int | None = None, similarity: float | None = None) -> DataFrame:
+def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, tau: int = 4, m: int = 5, chain: int = 1, halves: bool = True, rings: int = 1, ring: int | None = None, similarity: float | None = None) -> DataFrame:
     """``id``, ``fingerprint`` and ``component_id``, the smallest id that links reach, for every row.
 
     Fingerprints that differ in at most ``tau`` bits are linked. Equal fingerprints form a class, and only one
     row per class is compared, so copies cost nothing. Candidates share the bits that ``ring_keys`` requires; with
     chain * tau < m (and, for ``halves``, (chain + 1) * tau < 2 * m) no pair is missed. A longer chain asks more of a
-    candidate than the budgets do: it finds a pair only if some chain of that length agrees entirely. The filter before the full comparison takes
+    candidate than the budgets do: it finds a pair only if some chain of that length agrees entirely, in one of ``rings`` orders of the bits. The filter before the full comparison takes
     ``ring`` segments (``m`` unless given). With ``similarity``, links of differing fingerprints stand only if the sets of
     shingles are that similar (Jaccard); those of equal fingerprints stand. A null text
     counts as empty; texts without words have fingerprint zero. Ids are taken to be unique; rows that share one
-    share its component. Groups of any size are compared in bounded blocks.
+    share its component, and a null id is compared with nothing unless its fingerprint is another row's. Groups of any size are compared in bounded blocks.
     """
     spark = rows.sparkSession
-    if chain > 1 and halves:
-        raise ValueError("halves go with a chain of one segment")
+    if halves and (chain > 1 or rings > 1):
+        raise ValueError("halves go with a chain of one segment on one ring")
     prints = stored(fingerprints(rows, id, text, words, bits), "fingerprints")
-    classes = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("id")), "classes")
+    classes = stored(prints.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("id")), "classes")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
                 fps = np.frombuffer(b"".join(some.column("fingerprint").to_pylist()), np.uint8).reshape(some.num_rows, bits // 8)
-                made = ring_keys(fps, bits, m, chain, halves)
+                made = ring_keys(fps, bits, m, chain, halves, rings)
                 ids = np.repeat(some.column("id").to_numpy(), made.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(made.ravel()), pa.array(ids)], ["key", "id"])
 
-    keyed = stored(classes.mapInArrow(keys, "key long, id long"), "keys")
+    keyed = classes.repartition(tasks).mapInArrow(keys, "key long, id long")  # cheaper to make twice than to store
     met = in_blocks(keyed, ["key"], "id").join(classes, "id")
     dealt = met.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "id")
     links = dealt.select("key", "_i", "_j", "_own", "id", "fingerprint").mapInArrow(_links(bits, ring or m, tau, similarity is not None), "a long, b long")
@@ -245,4 +258,4 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
         links = similar(links.distinct(), rows, similarity, id, text, words)
     reached = components(links)
     named = classes.join(reached, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "fingerprint").select(F.col("id").alias(id), "fingerprint", "component_id")
+    return prints.join(named, "fingerprint", "left").select(F.col("id").alias(id), "fingerprint", "component_id")

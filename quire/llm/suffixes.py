@@ -36,6 +36,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The part of a minimizer that is asked for; two that share it are at worst shuffled in vain."""
+    return (keys >> np.uint64(32)).astype("<u4")
+
+
 def rolling(data: np.ndarray, size: int) -> np.ndarray:
     """Polynomial hash of the ``size`` bytes from each position on, by doubling."""
     step, done = data.astype(np.uint64) + np.uint64(1), np.zeros(len(data) + 1, np.uint64)
@@ -141,83 +146,98 @@ def _asks(size: int, buckets: int):
                 if not len(document):
                     continue
                 ids = some.column("_id").to_numpy()
-                keys, docs = grams[place], ids[document]
+                keys, docs = _short(grams[place]), ids[document]
                 order = np.lexsort((docs, keys))
                 keys, docs = keys[order], docs[order]
                 once = bounds(keys, docs)[:-1]
                 keys, docs = keys[once], docs[once]
                 edges = bounds(keys)
                 counts = np.diff(edges)
-                bucket = (keys[edges[:-1]] % np.uint64(buckets)).astype(np.int64)
+                bucket = (keys[edges[:-1]] % np.uint32(buckets)).astype(np.int64)
                 by = np.lexsort((docs[edges[:-1]], bucket))
                 cut = bounds(bucket[by])
                 rows = []
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     k = by[a:b]
                     e = edges[:-1][k]
-                    rows.append((int(bucket[k[0]]), keys[e].astype("<u8").tobytes(), docs[e].astype("<i8").tobytes(), counts[k].astype("<u4").tobytes()))
+                    own = bounds(docs[e])
+                    several = np.flatnonzero(counts[k] > 1)
+                    rows.append((int(bucket[k[0]]), keys[e].tobytes(), docs[e][own[:-1]].tobytes(), np.diff(own).astype("<u4").tobytes(), np.stack([several, counts[k][several]]).astype("<u4").tobytes()))
                 many = np.repeat(counts > 1, counts)
                 keys, docs = keys[many], docs[many]
                 order = np.argsort(docs, kind="stable")
                 keys, docs = keys[order], docs[order]
                 cut = bounds(docs)
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    rows.append((-1 - a % buckets, keys[a:b].astype("<u8").tobytes(), docs[a : a + 1].astype("<i8").tobytes(), None))
-                bucket, keyed, documents, tally = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(keyed, pa.binary()), pa.array(documents, pa.binary()), pa.array(tally, pa.binary())], ["bucket", "keys", "docs", "counts"])
+                    rows.append((-1 - a % buckets, keys[a:b].tobytes(), docs[a : a + 1].tobytes(), None, None))
+                columns = zip(*rows, strict=True)
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "keys", "docs", "runs", "several"])
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(hot_from: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bucket"]):
+            yield from _answered(table, hot_from)
+
+    return run
+
+
+def _answered(table: pa.Table, hot_from: int) -> Iterator[pa.RecordBatch]:
     """Per document: its minimizers that more than one document has. Without one: those that very many have, and how many."""
     schema = ["_id", "keys", "counts"]
-    for table in whole_groups(batches, ["bucket"]):
-        bucket = table.column("bucket").to_numpy()
-        cut = bounds(bucket)
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            part = table.slice(lo, hi - lo)
-            if bucket[lo] < 0:
-                ids = np.frombuffer(b"".join(part.column("docs").to_pylist()), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(part.column("keys").to_pylist(), pa.binary()), pa.nulls(len(ids), pa.binary())], schema)
-                continue
-            keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), "<u8")
-            docs = np.frombuffer(b"".join(part.column("docs").to_pylist()), "<i8")
-            counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), "<u4").astype(np.int64)
-            order = np.argsort(keys, kind="stable")
-            edges = bounds(keys[order])
-            total = np.repeat(np.add.reduceat(counts[order], edges[:-1]), np.diff(edges))
-            spread = np.empty(len(keys), np.int64)
-            spread[order] = total
-            shared = np.flatnonzero((spread > 1) & (counts == 1))
-            shared = shared[np.argsort(docs[shared], kind="stable")]
-            cut_here = bounds(docs[shared])
-            rows = [(int(docs[shared[a]]), keys[shared[a:b]].tobytes(), None) for a, b in zip(cut_here[:-1].tolist(), cut_here[1:].tolist(), strict=True)]
-            hot = order[edges[:-1]]
-            hot = hot[spread[hot] > HOT]
-            if len(hot):
-                rows.append((None, keys[hot].tobytes(), spread[hot].astype("<i8").tobytes()))
-            if not rows:
-                continue
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], schema)
+    bucket = table.column("bucket").to_numpy()
+    cut = bounds(bucket)
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        part = table.slice(lo, hi - lo)
+        if bucket[lo] < 0:
+            ids = np.frombuffer(b"".join(part.column("docs").to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(part.column("keys").to_pylist(), pa.binary()), pa.nulls(len(ids), pa.binary())], schema)
+            continue
+        blobs = part.column("keys").to_pylist()
+        keys = np.frombuffer(b"".join(blobs), "<u4")
+        docs = np.repeat(np.frombuffer(b"".join(part.column("docs").to_pylist()), "<i8"), np.frombuffer(b"".join(part.column("runs").to_pylist()), "<u4"))
+        counts, first = np.ones(len(keys), np.int64), 0
+        for blob, several in zip(blobs, part.column("several").to_pylist(), strict=True):
+            at, n = np.frombuffer(several, "<u4").reshape(2, -1)
+            counts[first + at] = n
+            first += len(blob) // 4
+        order = np.argsort(keys, kind="stable")
+        edges = bounds(keys[order])
+        total = np.repeat(np.add.reduceat(counts[order], edges[:-1]), np.diff(edges))
+        spread = np.empty(len(keys), np.int64)
+        spread[order] = total
+        shared = np.flatnonzero((spread > 1) & (counts == 1))
+        shared = shared[np.argsort(docs[shared], kind="stable")]
+        cut_here = bounds(docs[shared])
+        rows = [(int(docs[shared[a]]), keys[shared[a:b]].tobytes(), None) for a, b in zip(cut_here[:-1].tolist(), cut_here[1:].tolist(), strict=True)]
+        hot = order[edges[:-1]]
+        hot = hot[spread[hot] > hot_from]
+        if len(hot):
+            rows.append((None, keys[hot].tobytes(), spread[hot].astype("<i8").tobytes()))
+        if not rows:
+            continue
+        columns = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], schema)
 
 
 def _member(documents: np.ndarray, keys: np.ndarray, lists: list) -> np.ndarray:
     """Whether each (document, key) is among the lists of bytes of its document."""
     joined = [b"".join(x for x in blobs if x) if blobs else b"" for blobs in lists]
-    own = np.repeat(np.arange(len(joined)), [len(x) // 8 for x in joined]).astype(np.uint64)
-    known = np.frombuffer(b"".join(joined), "<u8")
-    salt = np.uint64(0xD6E8FEB86659FD93)
-    return np.isin(_mix(keys ^ (documents.astype(np.uint64) * salt)), _mix(known ^ (own * salt)))
+    own = np.repeat(np.arange(len(joined)), [len(x) // 4 for x in joined]).astype(np.uint64)
+    known = np.frombuffer(b"".join(joined), "<u4").astype(np.uint64)
+    return np.isin(documents.astype(np.uint64) << np.uint64(32) | _short(keys), own << np.uint64(32) | known)
 
 
 def _strings(size: int, frequent: np.ndarray):
     """Strings of the shared minimizers for the construction, and spans that the batch alone decides.
 
-    Of equal strings in a batch only those of its smallest document go on: the others repeat that document.
+    Of equal strings in a batch only that of its smallest document goes on, with all its places there: the others
+    repeat that document.
     """
-    names = ["key", "_id", "_h", "start", "column", "data", "spans"]
+    names = ["key", "_id", "_h", "starts", "column", "data", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +249,7 @@ def _strings(size: int, frequent: np.ndarray):
                     continue
                 keys = grams[place]
                 shared = _member(document, keys, some.column("_keys").to_pylist())
-                hot = np.isin(keys, frequent)
+                hot = np.isin(_short(keys), frequent)
                 document, first, count, place, keys, hot = (x[shared] for x in (document, first, count, place, keys, hot))
                 column = first - (place - (size - GRAM))
                 if hot.any():
@@ -242,22 +262,25 @@ def _strings(size: int, frequent: np.ndarray):
                     continue
                 prints = _mix(rolling(data, size))
                 keys = np.where(hot, prints[first], keys)
-                ids = some.column("_id").to_numpy()[document]
+                ids = pc.fill_null(some.column("_id"), 0).to_numpy()[document]
                 hashes = some.column("_h").to_numpy()[document]
                 head, tail = prints[first], prints[first + count - 1]
-                order = np.lexsort((first, ids, tail, head, count))
+                order = np.lexsort((first, hashes, ids, tail, head, count))
                 edges = bounds(count[order], head[order], tail[order])
                 smallest = np.repeat(ids[order][edges[:-1]], np.diff(edges))
                 repeated = order[ids[order] > smallest]
                 kept = order[ids[order] == smallest]
-                start = first - ends[document]
+                start = (first - ends[document]).astype("<i4")
+                same = bounds(count[kept], head[kept], tail[kept], ids[kept], hashes[kept])
+                starts = [start[kept[a:b]].tobytes() for a, b in zip(same[:-1].tolist(), same[1:].tolist(), strict=True)]
+                kept = kept[same[:-1]]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[kept].view(np.int64)), pa.array(ids[kept]), pa.array(hashes[kept]), pa.array(start[kept].astype(np.int32)), pa.array(column[kept].astype(np.int32)),
+                    pa.array(keys[kept].view(np.int64)), pa.array(ids[kept]), pa.array(hashes[kept]), pa.array(starts, pa.binary()), pa.array(column[kept].astype(np.int32)),
                     pa.array([data[a:b].tobytes() for a, b in zip(first[kept].tolist(), (first + count + size - 1)[kept].tolist(), strict=True)], pa.binary()), pa.nulls(len(kept), pa.binary()),
                 ], names)
                 if len(repeated):
                     doc, h, spans = _per_document(ids[repeated], hashes[repeated], start[repeated], (start + count - 1 + size)[repeated])
-                    yield pa.RecordBatch.from_arrays([pa.array(_mix(h.view(np.uint64)).view(np.int64)), pa.array(doc), pa.array(h), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary()), pa.array(spans, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(_mix(h.view(np.uint64) ^ _mix(doc.view(np.uint64))).view(np.int64)), pa.array(doc), pa.array(h), pa.nulls(len(doc), pa.binary()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary()), pa.array(spans, pa.binary())], names)
 
     return run
 
@@ -277,7 +300,9 @@ def _decide(size: int):
                 continue
             data, ends = binary_rows(table.column("data").chunk(0))
             lengths = np.diff(ends)
-            ids, h, start, column = (table.column(c).to_numpy() for c in ("_id", "_h", "start", "column"))
+            ids, h, column = (table.column(c).to_numpy() for c in ("_id", "_h", "column"))
+            blobs = table.column("starts").to_pylist()
+            starts, times = np.frombuffer(b"".join(blobs), "<i4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
             symbols = np.zeros((len(ids), width), np.int16)
             row = np.repeat(np.arange(len(ids)), lengths)
             at = np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], lengths) + np.repeat(column, lengths)
@@ -285,7 +310,11 @@ def _decide(size: int):
             least = least_owner(symbols, ids, size)
             row, first, last = _spans(least < ids[:, None], size)
             if len(row):
-                shift = (start - column)[row]
+                k = times[row]  # a string that stands at several places of its document is decided once
+                at = np.repeat(np.arange(len(row)), k)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
+                row, first, last = row[at], first[at], last[at]
+                shift = starts[(np.cumsum(times) - times)[row] + nth] - column[row]
                 doc, hh, spans = _per_document(ids[row], h[row], first + shift, last + shift)
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(hh), pa.array(spans, pa.binary())], names)
 
@@ -340,22 +369,22 @@ def _cut_batch(batch: pa.RecordBatch, characters: bool) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([some.column("_id"), some.column("_text"), pa.ListArray.from_arrays(ends, pair), pa.array(kept, pa.binary())], ["_id", "_text", "spans", "kept"])
 
 
-def _frequent(answered: DataFrame) -> np.ndarray:
-    """Minimizers in more than ``HOT`` documents, at most ``MOST_HOT`` of them: the threshold rises until they fit."""
+def _frequent(answered: DataFrame, hot_from: int) -> np.ndarray:
+    """Minimizers in more than ``hot_from`` documents, at most ``MOST_HOT`` of them: the threshold rises until they fit."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(counts, "<i8"))], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<u4").astype(np.int64)), pa.array(np.frombuffer(counts, "<i8"))], ["key", "n"])
 
     found = answered.where("_id IS NULL").select("keys", "counts").mapInArrow(unpack, "key long, n long")
-    limit = HOT
+    limit = hot_from
     while len(rows := found.where(F.col("n") > limit).limit(MOST_HOT + 1).toPandas()) > MOST_HOT:
         limit *= 2
-    return rows["key"].to_numpy(np.int64).view(np.uint64)
+    return rows["key"].to_numpy(np.int64).astype("<u4")
 
 
-def repeated_spans(rows: DataFrame, id: str = "doc_id", text: str = "text", size: int = 50, characters: bool = False) -> DataFrame:
+def repeated_spans(rows: DataFrame, id: str = "doc_id", text: str = "text", size: int = 50, characters: bool = False, hot: int = HOT) -> DataFrame:
     """``id``, ``text`` (binary), ``spans`` (first byte, end) and ``kept`` (binary) of every row.
 
     A byte is in a span if a string of ``size`` bytes that covers it also starts in a row with a smaller id. Null
@@ -371,11 +400,11 @@ def repeated_spans(rows: DataFrame, id: str = "doc_id", text: str = "text", size
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(16, total // (16 << 20))
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
-    asked = docs.where(F.col("_id").isNotNull() & (F.length("_text") >= size)).select("_id", "_text").mapInArrow(_asks(size, buckets), "bucket long, keys binary, docs binary, counts binary")
-    answered = stored(asked.repartition(min(parts, 2 * buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "_id long, keys binary, counts binary"), "minimizers")
+    asked = docs.where(F.col("_id").isNotNull() & (F.length("_text") >= size)).select("_id", "_text").mapInArrow(_asks(size, buckets), "bucket long, keys binary, docs binary, runs binary, several binary")
+    answered = stored(asked.repartition(min(parts, 2 * buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_answers(hot), "_id long, keys binary, counts binary"), "minimizers")
     keys = answered.where("_id IS NOT NULL").groupBy("_id").agg(F.collect_list("keys").alias("_keys"))
     marked = docs.join(keys, "_id", "left").select("_id", "_h", "_keys", F.when(F.col("_keys").isNotNull(), F.col("_text")).alias("_text"))
-    strings = marked.mapInArrow(_strings(size, _frequent(answered)), "key long, _id long, _h long, start int, column int, data binary, spans binary")
+    strings = marked.mapInArrow(_strings(size, _frequent(answered, hot)), "key long, _id long, _h long, starts binary, column int, data binary, spans binary")
     decided = strings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_decide(size), "_id long, _h long, spans binary")
     spans = decided.groupBy("_id").agg(F.collect_list(F.struct("_h", "spans")).alias("_spans"))
     joined = docs.join(spans, "_id", "left").select("_id", "_h", "_text", "_spans")

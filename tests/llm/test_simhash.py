@@ -87,5 +87,5 @@ def test_similarity_is_checked_exactly(spark):
 
     pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len((x := shingles(rows[a][1])) & (y := shingles(rows[b][1]))) >= 0.8 * len(x | y)]
     roots = union_find(len(rows), np.array(pairs))
-    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, bits=512, tau=112, m=128, chain=5, halves=False, ring=8, similarity=0.8)
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, bits=512, tau=112, m=21, chain=1, halves=False, rings=5, ring=8, similarity=0.8)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {rows[k][0]: rows[r][0] for k, r in enumerate(roots)}
