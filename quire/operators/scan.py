@@ -16,6 +16,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -184,6 +186,13 @@ class GroupFirst:
         return carried
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, as windows and groups take it; the left keys stay."""
+    other = right.withColumnsRenamed({key: f"_join_{i}" for i, key in enumerate(keys)})
+    match = reduce(and_, [left[key].eqNullSafe(other[f"_join_{i}"]) for i, key in enumerate(keys)])
+    return left.join(other, match, how).drop(*[f"_join_{i}" for i in range(len(keys))])
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str], specs: list, split: bool | None = None) -> DataFrame:
     """Add one column per spec, computed over each group in ``order``.
 
@@ -208,7 +217,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], specs: list, split: b
         )
     )
     inner = chunked.select("*", *[spec.inner(cell, order).alias(f"_scan_i{i}") for i, spec in enumerate(specs)])
-    merged = inner.join(carried, cell, "left")
+    merged = join_null_safe(inner, carried, cell, "left")
     return merged.select(
         *kept,
         *[spec.merge(F.col(f"_scan_i{i}"), F.col(f"_scan_c{i}")).alias(spec.out) for i, spec in enumerate(specs)],
@@ -236,7 +245,7 @@ def with_positions(
     runs = stamped.groupBy(*keys, "_run_part").agg(F.min("_run_row").alias("_run_first"), F.count(F.lit(1)).alias("_run_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_run_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.select(*keys, "_run_part", "_run_first", F.coalesce(F.sum("_run_rows").over(earlier), F.lit(0)).alias("_run_before"))
-    return stamped.join(starts, [*keys, "_run_part"]).select(
+    return join_null_safe(stamped, starts, [*keys, "_run_part"]).select(
         *df.columns, (F.col("_run_row") - F.col("_run_first") + F.col("_run_before") + 1).cast("bigint").alias(out)
     )
 
