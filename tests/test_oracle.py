@@ -4,9 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from quire.plans import load_queries
+from quire.plans.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+load_queries()
+STATEMENTS = ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -14,8 +17,9 @@ def connection():
     return oracle.connect(SF_DIR)
 
 
-def test_every_query_has_a_statement():
-    assert set(QUERIES) == set(STATEMENTS)
+def test_every_query_has_a_statement_and_is_exposed():
+    assert set(QUERIES) == set(STATEMENTS) <= set(entry.queries())
+    assert set(STATEMENTS) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
