@@ -147,7 +147,7 @@ def within(x: np.ndarray, y: np.ndarray, bits: int, m: int, tau: int) -> np.ndar
     return keep
 
 
-def _links(bits: int, ring: int, tau: int, nearest: bool, most_pairs: int = 1 << 18):
+def _links(bits: int, ring: int, tau: int, nearest: bool, most_pairs: int = 1 << 16):
     """Links of each block pair, thinned to chains that connect the same fingerprints; or, for links that are checked
     later, to a spanning forest of the nearest pairs, which connects what any threshold on the distance connects."""
 
@@ -201,25 +201,17 @@ def similar(links: DataFrame, rows: DataFrame, threshold: float, id: str, text:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "_text"):
-                sets = [np.unique(shingle_hashes(t or b"", words)).astype("<u8").tobytes() for t in some.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, "sa"):
-                keep = []
-                for x, y in zip(some.column("sa").to_pylist(), some.column("sb").to_pylist(), strict=True):
-                    p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(both >= threshold * (len(p) + len(q) - both))
-                yield some.select(["a", "b"]).filter(pa.array(keep))
+                sets = [np.unique(shingle_hashes(t or b"", words)) for t in some.column("_text").to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "set"])
 
     links = stored(links, "candidates")
     needed = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     texts = rows.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text")).join(needed, "id", "left_semi")
-    sets = stored(texts.dropDuplicates(["id"]).mapInArrow(hashed, "id long, set binary"), "shingles")
+    sets = stored(texts.dropDuplicates(["id"]).mapInArrow(hashed, "id long, set array<bigint>"), "shingles")
     first = links.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    return first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").mapInArrow(compared, "a long, b long")
+    paired = first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").withColumn("_both", F.size(F.array_intersect("sa", "sb")))
+    return paired.where(F.col("_both") >= threshold * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b")
 
 
 def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, tau: int = 4, m: int = 5, chain: int = 1, halves: bool = True, rings: int = 1, ring: int | None = None, similarity: float | None = None) -> DataFrame:
