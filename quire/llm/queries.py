@@ -73,7 +73,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op7_suffix_array")
+@query("op7_suffix_array", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+c AS (SELECT w.doc_id, i, lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) AS before FROM w JOIN f ON w.s = f.s WHERE first < w.doc_id),
+g AS (SELECT doc_id, i, count(*) FILTER (before IS NULL OR i - before > 50) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT r.*, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS from_here FROM r),
+t AS (
+  SELECT d.doc_id, string_agg(substr(h, 2 * from_here + 1, 2 * (a - from_here)), '' ORDER BY run) || substr(any_value(h), 2 * max(b) + 1) AS kept,
+    sum(b - a) AS gone, count(*) AS spans FROM d JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id""")
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeated_spans(table(spark, sf_dir, "documents"), size=50)
     return found.select(
@@ -139,7 +152,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op10_warc")
+@query("op10_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+f AS (SELECT *, strlen(html) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN n >= {warc.LEAST_SHARED} AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= {warc.LEAST_SHARED} AND first < page_id THEN first END AS refers_to FROM f""")
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archive = warc.write(pages)

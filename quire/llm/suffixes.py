@@ -231,17 +231,40 @@ def _member(documents: np.ndarray, keys: np.ndarray, lists: list) -> np.ndarray:
     return np.isin(documents.astype(np.uint64) << np.uint64(32) | _short(keys), own << np.uint64(32) | known)
 
 
-def _strings(size: int, frequent: np.ndarray):
-    """Strings of the shared minimizers for the construction, and spans that the batch alone decides.
+_STRINGS = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("starts", pa.binary()), ("column", pa.int16()), ("data", pa.binary())])
+
+
+def _packed(ids: np.ndarray, hashes: np.ndarray, starts: list[bytes], columns: np.ndarray, data: list[bytes]) -> bytes:
+    """Strings of one bucket as a compressed Arrow stream: less to shuffle, and one row instead of hundreds."""
+    sink = pa.BufferOutputStream()
+    arrays = [pa.array(x, f.type) for x, f in zip((ids, hashes, starts, columns.astype(np.int16), data), _STRINGS, strict=True)]
+    with pa.ipc.new_stream(sink, _STRINGS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(arrays, schema=_STRINGS))
+    return sink.getvalue().to_pybytes()
+
+
+def _strings(size: int, frequent: np.ndarray, buckets: int):
+    """Strings of the shared minimizers for the construction, packed per bucket, and spans that the batch alone decides.
 
     Of equal strings in a batch only that of its smallest document goes on, with all its places there: the others
     repeat that document.
     """
-    names = ["key", "_id", "_h", "starts", "column", "data", "spans"]
+    names = ["bucket", "_id", "_h", "strings", "spans"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
+    def rows(bucket, ids, hashes, strings, spans) -> pa.RecordBatch:
+        n = len(bucket)
+        columns = [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip((bucket, ids, hashes, strings, spans), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "_text", BATCH_BYTES):
+                copies = some.filter(pc.fill_null(some.column("_copy"), False))
+                if copies.num_rows:  # a smaller document has the same text
+                    whole = [np.array([0, n], "<i4").tobytes() for n in pc.binary_length(copies.column("_text")).to_pylist()]
+                    yield rows(_mix(copies.column("_h").to_numpy().view(np.uint64)).view(np.int64) % buckets, copies.column("_id"), copies.column("_h"), None, whole)
+                some = some.filter(pc.invert(pc.fill_null(some.column("_copy"), False)))
                 data, ends = binary_rows(some.column("_text"))
                 data, ends = data[ends[0] : ends[-1]], ends - ends[0]
                 (document, first, count, place), grams = minimizers(data, ends, size)
@@ -274,13 +297,18 @@ def _strings(size: int, frequent: np.ndarray):
                 same = bounds(count[kept], head[kept], tail[kept], ids[kept], hashes[kept])
                 starts = [start[kept[a:b]].tobytes() for a, b in zip(same[:-1].tolist(), same[1:].tolist(), strict=True)]
                 kept = kept[same[:-1]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[kept].view(np.int64)), pa.array(ids[kept]), pa.array(hashes[kept]), pa.array(starts, pa.binary()), pa.array(column[kept].astype(np.int32)),
-                    pa.array([data[a:b].tobytes() for a, b in zip(first[kept].tolist(), (first + count + size - 1)[kept].tolist(), strict=True)], pa.binary()), pa.nulls(len(kept), pa.binary()),
-                ], names)
+                bucket = (keys[kept] % np.uint64(buckets)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                cut = bounds(bucket[by])
+                packed = []
+                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    own = by[a:b]
+                    k = kept[own]
+                    packed.append(_packed(ids[k], hashes[k], [starts[x] for x in own], column[k], [data[x:y].tobytes() for x, y in zip(first[k].tolist(), (first + count + size - 1)[k].tolist(), strict=True)]))
+                yield rows(bucket[by][cut[:-1]], None, None, packed, None)
                 if len(repeated):
                     doc, h, spans = _per_document(ids[repeated], hashes[repeated], start[repeated], (start + count - 1 + size)[repeated])
-                    yield pa.RecordBatch.from_arrays([pa.array(_mix(h.view(np.uint64) ^ _mix(doc.view(np.uint64))).view(np.int64)), pa.array(doc), pa.array(h), pa.nulls(len(doc), pa.binary()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary()), pa.array(spans, pa.binary())], names)
+                    yield rows(_mix(h.view(np.uint64) ^ _mix(doc.view(np.uint64))).view(np.int64) % buckets, doc, h, None, spans)
 
     return run
 
@@ -291,32 +319,35 @@ def _decide(size: int):
     width = 2 * size - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key"]):
+        for table in whole_groups(batches, ["bucket"]):
             local = table.filter(pc.is_valid(table.column("spans")))
             if local.num_rows:
                 yield from local.select(names).combine_chunks().to_batches()
-            table = table.filter(pc.is_valid(table.column("data"))).combine_chunks()
-            if table.num_rows < 2:
-                continue
-            data, ends = binary_rows(table.column("data").chunk(0))
-            lengths = np.diff(ends)
-            ids, h, column = (table.column(c).to_numpy() for c in ("_id", "_h", "column"))
-            blobs = table.column("starts").to_pylist()
-            starts, times = np.frombuffer(b"".join(blobs), "<i4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-            symbols = np.zeros((len(ids), width), np.int16)
-            row = np.repeat(np.arange(len(ids)), lengths)
-            at = np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], lengths) + np.repeat(column, lengths)
-            symbols[row, at] = data[ends[0] : ends[-1]].astype(np.int16) + 1
-            least = least_owner(symbols, ids, size)
-            row, first, last = _spans(least < ids[:, None], size)
-            if len(row):
-                k = times[row]  # a string that stands at several places of its document is decided once
-                at = np.repeat(np.arange(len(row)), k)
-                nth = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
-                row, first, last = row[at], first[at], last[at]
-                shift = starts[(np.cumsum(times) - times)[row] + nth] - column[row]
-                doc, hh, spans = _per_document(ids[row], h[row], first + shift, last + shift)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(hh), pa.array(spans, pa.binary())], names)
+            table = table.filter(pc.is_valid(table.column("strings")))
+            edges = bounds(table.column("bucket").to_numpy())
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield from decided(pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("strings").slice(lo, hi - lo)]).combine_chunks())
+
+    def decided(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        data, ends = binary_rows(table.column("data").chunk(0))
+        lengths = np.diff(ends)
+        ids, h, column = (table.column(c).to_numpy() for c in ("_id", "_h", "column"))
+        blobs = table.column("starts").to_pylist()
+        starts, times = np.frombuffer(b"".join(blobs), "<i4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        symbols = np.zeros((len(ids), width), np.int16)
+        row = np.repeat(np.arange(len(ids)), lengths)
+        at = np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], lengths) + np.repeat(column, lengths)
+        symbols[row, at] = data[ends[0] : ends[-1]].astype(np.int16) + 1
+        least = least_owner(symbols, ids, size)
+        row, first, last = _spans(least < ids[:, None], size)
+        if len(row):
+            k = times[row]  # a string that stands at several places of its document is decided once
+            at = np.repeat(np.arange(len(row)), k)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
+            row, first, last = row[at], first[at], last[at]
+            shift = starts[(np.cumsum(times) - times)[row] + nth] - column[row]
+            doc, hh, spans = _per_document(ids[row], h[row], first + shift, last + shift)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(hh), pa.array(spans, pa.binary())], names)
 
     return run
 
@@ -402,10 +433,18 @@ def repeated_spans(rows: DataFrame, id: str = "doc_id", text: str = "text", size
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
     asked = docs.where(F.col("_id").isNotNull() & (F.length("_text") >= size)).select("_id", "_text").mapInArrow(_asks(size, buckets), "bucket long, keys binary, docs binary, runs binary, several binary")
     answered = stored(asked.repartition(min(parts, 2 * buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_answers(hot), "_id long, keys binary, counts binary"), "minimizers")
-    keys = answered.where("_id IS NOT NULL").groupBy("_id").agg(F.collect_list("keys").alias("_keys"))
-    marked = docs.join(keys, "_id", "left").select("_id", "_h", "_keys", F.when(F.col("_keys").isNotNull(), F.col("_text")).alias("_text"))
-    strings = marked.mapInArrow(_strings(size, _frequent(answered, hot)), "key long, _id long, _h long, starts binary, column int, data binary, spans binary")
-    decided = strings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_decide(size), "_id long, _h long, spans binary")
+    keys = answered.where("_id IS NOT NULL").groupBy("_id").agg(F.collect_list("keys").alias("_keys")).withColumn("_same", F.lit(None).cast("array<bigint>"))
+    # copies of a whole text need no strings: all but the first are covered from end to end
+    prints = docs.where(F.col("_id").isNotNull() & (F.length("_text") >= size)).select("_id", "_h", F.xxhash64(F.lit(1), "_text").alias("_h2"), F.length("_text").alias("_n"))
+    prints = stored(prints, "prints")
+    firsts = prints.groupBy("_h", "_h2", "_n").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
+    copies = prints.join(firsts, ["_h", "_h2", "_n"]).where("_id > _first").groupBy("_id").agg(F.collect_set("_h").alias("_same"))
+    known = keys.unionByName(copies.withColumn("_keys", F.lit(None).cast("array<binary>"))).groupBy("_id").agg(F.first("_keys", True).alias("_keys"), F.first("_same", True).alias("_same"))
+    marked = docs.join(known, "_id", "left").select("_id", "_h", "_keys", F.array_contains("_same", F.col("_h")).alias("_copy"), "_text")
+    marked = marked.withColumn("_text", F.when(F.col("_keys").isNotNull() | F.col("_copy"), F.col("_text")))
+    packs = max(parts, total // (4 << 20))
+    strings = marked.mapInArrow(_strings(size, _frequent(answered, hot), packs), "bucket long, _id long, _h long, strings binary, spans binary")
+    decided = strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(size), "_id long, _h long, spans binary")
     spans = decided.groupBy("_id").agg(F.collect_list(F.struct("_h", "spans")).alias("_spans"))
     joined = docs.join(spans, "_id", "left").select("_id", "_h", "_text", "_spans")
     cut = joined.mapInArrow(_cut(characters), "_id long, _text binary, spans array<struct<first: int, last: int>>, kept binary")
