@@ -25,6 +25,8 @@ GRAM = 20
 HOT = 4096
 #: Such minimizers that tasks are told of; where more pass ``HOT``, the most frequent ones count.
 MOST_HOT = 200_000
+#: Blocks of hashes that questions are dealt to, at least: fewer would leave executors idle.
+LEAST_BUCKETS = 64
 #: Text handled at a time in a task.
 BATCH_BYTES = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -429,7 +431,7 @@ def repeated_spans(rows: DataFrame, id: str = "doc_id", text: str = "text", size
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     docs = rows.select(F.col(id).cast("long").alias("_id"), F.xxhash64(body).alias("_h"), body.alias("_text"))
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(16, total // (16 << 20))
+    buckets = max(LEAST_BUCKETS, total // (16 << 20))
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
     asked = docs.where(F.col("_id").isNotNull() & (F.length("_text") >= size)).select("_id", "_text").mapInArrow(_asks(size, buckets), "bucket long, keys binary, docs binary, runs binary, several binary")
     answered = stored(asked.repartition(min(parts, 2 * buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_answers(hot), "_id long, keys binary, counts binary"), "minimizers")
