@@ -31,9 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, stays of each group of near duplicates.
 
-    Fingerprints have 512 bits over five-word shingles. 112 differing bits lie above what shingle sets with a
-    similarity of 0.8 give (74 on average, below 96 in 19 of 20 cases); candidates share one of 21 segments in one of
-    five orders of the bits (at that distance 9 in 10 do, at 0.9 all), and links stand if the sets of shingles have a similarity of 0.8 or more.
+    Near duplicates are linked by sets of five-word shingles with a similarity of 0.8 or more, all of them: 512-bit
+    fingerprints connect most (candidates share one of 21 segments in one of five orders of the bits), and a prefix
+    filter over the sets completes the rest.
     """
     reachable(spark)
     found = simhash.near_duplicates(docs, words=5, bits=512, tau=112, m=21, chain=1, halves=False, rings=5, ring=8, similarity=0.8)

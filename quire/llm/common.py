@@ -98,14 +98,16 @@ def bounds(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(changed), n)
 
 
-def in_blocks(rows: DataFrame, keys: list[str], member: str, limit: int = 512) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], member: str, limit: int = 512, differing: str | None = None) -> DataFrame:
     """Rows of every group with at least two members, dealt so that any two members of a group meet in a task.
 
     A group of up to ``limit`` rows is one block pair (0, 0). A larger one is cut into blocks by a hash of
     ``member``, and each block is sent to its pair with every block (``_i`` <= ``_j``; the row's own is ``_own``),
-    so that no task ever holds more than two blocks of a group, however large the group is.
+    so that no task ever holds more than two blocks of a group, however large the group is. Groups with one value of
+    ``differing`` are left out.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *([F.min(differing).alias("_low"), F.max(differing).alias("_high")] if differing else []))
+    counts = counts.where("_n > 1" + (" AND _low < _high" if differing else "")).select(*keys, "_n")
     blocks = F.ceil(F.col("_n") / limit).cast("int")
     dealt = rows.join(counts, keys).withColumn("_b", blocks)
     dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_b")).cast("int"))

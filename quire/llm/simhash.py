@@ -1,8 +1,9 @@
-"""SimHash near-duplicates found by pigeonring filtering."""
+"""SimHash near-duplicates found by pigeonring filtering, and completed by a prefix filter where sets of shingles decide."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,12 @@ from quire.llm.common import bounds, chained, components, in_blocks, slices, spa
 SEED = 42
 #: Shingles whose bits are counted at a time.
 STEP = 1 << 14
+#: Rows from which common shingles are estimated; the estimate decides the order of shingles, never a result.
+SAMPLE = 4000
+#: Most shingles with an estimate; all others count as rare.
+MOST_COMMON = 1 << 18
+#: Bits of the parity maps that bound the overlap of two sets.
+MAP_BITS = 2048
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -45,7 +52,10 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int, bits: int = 64) -> bytes:
     """Big-endian fingerprint: a bit is 1 if it is set in over half the shingle hashes; zero without shingles."""
-    h = shingle_hashes(text, words)
+    return _majority(shingle_hashes(text, words), bits)
+
+
+def _majority(h: np.ndarray, bits: int) -> bytes:
     out = []
     for k in range(bits // 64):
         counts = np.zeros(64, np.int64)
@@ -70,6 +80,66 @@ def fingerprints(rows: DataFrame, id: str = "doc_id", text: str = "text", words:
     return rows.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text")).mapInArrow(run, "id long, fingerprint binary")
 
 
+def prefix_size(n: int, threshold: float) -> int:
+    """Members of a set of ``n``, the first in any order common to all sets, of which one must be shared with the first
+    members of every set that is ``threshold`` similar."""
+    return n - int(np.ceil(threshold * n - 1e-9)) + 1 if n else 0
+
+
+def parity_map(unique: np.ndarray) -> bytes:
+    """``MAP_BITS`` bits, each the parity of the members that fall on it; two maps differ in no more bits than the sets in members."""
+    counts = np.bincount((_mixed(unique, 2) % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def common_shingles(rows: DataFrame, id: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that at least three of about ``SAMPLE`` rows hold, and in how many."""
+    every = max(1, rows.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "_text", 1 << 20):
+                found = [np.unique(shingle_hashes(t or b"", words)) for t in some.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    some = rows.where(F.col(id).isNotNull() & (F.pmod(F.xxhash64(F.col(id), F.lit(11)), F.lit(every)) == 0)).select(F.col(text).cast("binary").alias("_text"))
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    h, n = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def described(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], id: str, text: str, words: int, bits: int, threshold: float) -> DataFrame:
+    """``id``, ``fingerprint``, and of the set of shingles: a 128-bit hash (``shingles``), the size (``n``), the members of its
+    prefix from the rarest on (``prefix``) and its parity map (``map``)."""
+    hashes, counts = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "_text"):
+                prints, names, sizes, prefixes, maps = [], [], [], [], []
+                for t in some.column("_text").to_pylist():
+                    h = shingle_hashes(t or b"", words)
+                    unique = np.unique(h)
+                    rank = np.zeros(len(unique), np.int64)
+                    if len(hashes):
+                        at = np.minimum(np.searchsorted(hashes, unique), len(hashes) - 1)
+                        rank = np.where(hashes[at] == unique, counts[at], 0)
+                    prints.append(_majority(h, bits))
+                    names.append(blake2b(unique.astype("<u8").tobytes(), digest_size=16).digest())
+                    sizes.append(len(unique))
+                    prefixes.append(unique[np.lexsort((unique, rank))[: prefix_size(len(unique), threshold)]])
+                    maps.append(parity_map(unique))
+                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
+                columns = [some.column("id"), pa.array(prints, pa.binary()), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), prefix, pa.array(maps, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "fingerprint", "shingles", "n", "prefix", "map"])
+
+    schema = "id long, fingerprint binary, shingles binary, n int, prefix array<bigint>, map binary"
+    return rows.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+
+
 def segments(bits: int, m: int) -> list[tuple[int, int]]:
     """First bit and end of each of m segments of about equal size."""
     edges = [round(i * bits / m) for i in range(m + 1)]
@@ -192,6 +262,55 @@ def _links(bits: int, ring: int, tau: int, nearest: bool, most_pairs: int = 1 <<
     return run
 
 
+def _crossing(threshold: float, most_pairs: int = 1 << 16):
+    """Pairs of each block pair that lie in different components and may have the similarity: bounded by the sizes, by the
+    places of the shared member and by the parity maps. The bound of the places holds at the first member that a pair
+    shares, and every similar pair meets there; all bounds are exact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["key", "_i", "_j"]):
+            key, i, j, own, id, component, n, place = (table.column(c).to_numpy() for c in ("key", "_i", "_j", "_own", "id", "component", "n", "place"))
+            maps = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint8).reshape(len(id), MAP_BITS // 8).view(np.uint64)
+            edges = bounds(key, i, j)
+            sizes = np.diff(edges)
+            found = [np.zeros((0, 2), np.int64)]
+            for size in np.unique(sizes[sizes > 1]):
+                starts = edges[:-1][sizes == size]
+                x, y = np.triu_indices(size, 1)
+                at_once = max(1, most_pairs // len(x))
+                for lo in range(0, len(starts), at_once):
+                    base = starts[lo : lo + at_once, None]
+                    a, b = (base + x).ravel(), (base + y).ravel()
+                    total = n[a].astype(np.int64) + n[b]
+                    need = np.ceil(threshold / (1 + threshold) * total - 1e-9).astype(np.int64)
+                    ok = (component[a] != component[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
+                    ok &= np.minimum(n[a] - place[a], n[b] - place[b]) >= need
+                    a, b, total, need = (v[ok] for v in (a, b, total, need))
+                    for at in range(0, len(a), most_pairs):
+                        some = slice(at, at + most_pairs)
+                        far = np.bitwise_count(maps[a[some]] ^ maps[b[some]]).sum(axis=1, dtype=np.int64)
+                        near = far <= total[some] - 2 * need[some]
+                        found.append(np.stack([id[a[some][near]], id[b[some][near]]], axis=1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def crossing(sets: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (``a``, ``b``) of sets in different components, among them all of the given similarity.
+
+    ``sets`` has ``id``, ``component``, ``n``, ``prefix`` and ``map``. Similar sets share a member of their prefixes, which are
+    ordered from the rarest member on, so that what many texts hold is asked of few. A member whose sets all lie in
+    one component is left out; the others are compared in bounded blocks.
+    """
+    keyed = sets.select("id", "component", "n", F.posexplode("prefix").alias("place", "key"))
+    met = in_blocks(keyed, ["key"], "id", differing="component").join(sets.select("id", "map"), "id")
+    dealt = met.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "id")
+    return dealt.select("key", "_i", "_j", "_own", "id", "component", "n", "place", "map").mapInArrow(_crossing(threshold), "a long, b long").distinct()
+
+
 def similar(links: DataFrame, rows: DataFrame, threshold: float, id: str, text: str, words: int) -> DataFrame:
     """Links (``a``, ``b``) whose rows share at least ``threshold`` of the union of their shingles.
 
@@ -221,16 +340,24 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
     row per class is compared, so copies cost nothing. Candidates share the bits that ``ring_keys`` requires; with
     chain * tau < m (and, for ``halves``, (chain + 1) * tau < 2 * m) no pair is missed. A longer chain asks more of a
     candidate than the budgets do: it finds a pair only if some chain of that length agrees entirely, in one of ``rings`` orders of the bits. The filter before the full comparison takes
-    ``ring`` segments (``m`` unless given). With ``similarity``, links of differing fingerprints stand only if the sets of
-    shingles are that similar (Jaccard); those of equal fingerprints stand. A null text
+    ``ring`` segments (``m`` unless given). With ``similarity``, links of differing fingerprints stand only if the sets of shingles are that similar
+    (Jaccard); those of equal fingerprints stand; what fingerprints did not connect
+    is completed by ``crossing``, so that any two rows that similar share a component. A null text
     counts as empty; texts without words have fingerprint zero. Ids are taken to be unique; rows that share one
-    share its component, and a null id is compared with nothing unless its fingerprint is another row's. Groups of any size are compared in bounded blocks.
+    share its component, and a null id is compared with nothing unless its class is another row's. Groups of any size are compared in bounded blocks.
     """
     spark = rows.sparkSession
     if halves and (chain > 1 or rings > 1):
         raise ValueError("halves go with a chain of one segment on one ring")
-    prints = stored(fingerprints(rows, id, text, words, bits), "fingerprints")
-    classes = stored(prints.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("id")), "classes")
+    if similarity is None:
+        same, prints = "fingerprint", stored(fingerprints(rows, id, text, words, bits), "fingerprints")
+        classes = stored(prints.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("id")), "classes")
+    else:
+        if bits % 64:
+            raise ValueError("bits must be a multiple of 64")
+        common = common_shingles(rows, id, text, words)
+        same, prints = "fingerprint", stored(described(rows, common, id, text, words, bits, similarity), "fingerprints")
+        classes = stored(prints.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("id")), "classes")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +374,10 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
     dealt = met.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "id")
     links = dealt.select("key", "_i", "_j", "_own", "id", "fingerprint").mapInArrow(_links(bits, ring or m, tau, similarity is not None), "a long, b long")
     if similarity is not None:
-        links = similar(links.distinct(), rows, similarity, id, text, words)
+        near = stored(similar(links.distinct(), rows, similarity, id, text, words), "near")
+        known = classes.select("fingerprint", "id").join(components(near), "id", "left").select("fingerprint", "id", F.coalesce("component", "id").alias("component"))
+        sets = stored(prints.join(known, ["fingerprint", "id"]).select("id", "component", "n", "prefix", "map"), "sets")
+        links = near.union(similar(crossing(sets, similarity), rows, similarity, id, text, words))
     reached = components(links)
-    named = classes.join(reached, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "fingerprint", "left").select(F.col("id").alias(id), "fingerprint", "component_id")
+    named = classes.join(reached, "id", "left").select(same, F.coalesce("component", "id").alias("component_id"))
+    return prints.join(named, same, "left").select(F.col("id").alias(id), "fingerprint", "component_id")

@@ -89,3 +89,38 @@ def test_similarity_is_checked_exactly(spark):
     roots = union_find(len(rows), np.array(pairs))
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, bits=512, tau=112, m=21, chain=1, halves=False, rings=5, ring=8, similarity=0.8)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {rows[k][0]: rows[r][0] for k, r in enumerate(roots)}
+
+
+PIPELINE = dict(words=5, bits=512, tau=112, m=21, chain=1, halves=False, rings=5, ring=8, similarity=0.8)
+
+
+def shingle_set(text):
+    w = text.split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+
+def by_similarity(texts):
+    """Smallest place that links of similarity 0.8 reach, by comparing all pairs."""
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)]
+    return union_find(len(texts), np.array(pairs or [(0, 0)])).tolist(), pairs
+
+
+def linked(spark, texts):
+    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), **PIPELINE).collect()
+    return [c for _, c in sorted((r["doc_id"], r["component_id"]) for r in found)]
+
+
+def test_every_pair_just_above_the_similarity_is_found(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"v{k}" for k in range(20_000)]
+    texts = []
+    for k in range(400):  # one text and one with a stretch of other words: a similarity of 0.78 to 0.84
+        base = rng.choice(vocabulary, int(rng.integers(60, 400))).tolist()
+        n = len(base) - 4
+        gone = max(1, round(n * (1 - (s := 0.78 + 0.06 * k / 400)) / (1 + s)) - 4)
+        at = int(rng.integers(0, len(base) - gone))
+        texts += [" ".join(base), " ".join([*base[:at], *(f"n{k}x{i}" for i in range(gone)), *base[at + gone :]])]
+    expected, pairs = by_similarity(texts)
+    assert 150 < len(pairs) < 400
+    assert linked(spark, texts) == expected
