@@ -124,3 +124,17 @@ def test_every_pair_just_above_the_similarity_is_found(spark):
     expected, pairs = by_similarity(texts)
     assert 150 < len(pairs) < 400
     assert linked(spark, texts) == expected
+
+
+def test_a_family_around_the_similarity_keeps_all_links(spark):
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for k in range(120):  # each pair of variants differs in two stretches of its own
+        gone, at = int(rng.integers(10, 40)), int(rng.integers(0, 260))
+        texts.append(" ".join([*base[:at], *(f"n{k}x{i}" for i in range(gone)), *base[at + gone :]]))
+    expected, _ = by_similarity(texts)
+    assert linked(spark, texts) == expected
+    # a common passage shared by texts of their own
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [f"{passage} " + " ".join(rng.choice([f"v{k}" for k in range(3000)], 40 + k % 50)) for k in range(1200)]
+    assert linked(spark, texts) == list(range(1200))
