@@ -340,8 +340,8 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
     row per class is compared, so copies cost nothing. Candidates share the bits that ``ring_keys`` requires; with
     chain * tau < m (and, for ``halves``, (chain + 1) * tau < 2 * m) no pair is missed. A longer chain asks more of a
     candidate than the budgets do: it finds a pair only if some chain of that length agrees entirely, in one of ``rings`` orders of the bits. The filter before the full comparison takes
-    ``ring`` segments (``m`` unless given). With ``similarity``, links of differing fingerprints stand only if the sets of shingles are that similar
-    (Jaccard); those of equal fingerprints stand; what fingerprints did not connect
+    ``ring`` segments (``m`` unless given). With ``similarity``, links stand only if the sets of shingles are that similar
+    (Jaccard), whatever the fingerprints; classes are formed by equal sets of shingles, and what fingerprints did not connect
     is completed by ``crossing``, so that any two rows that similar share a component. A null text
     counts as empty; texts without words have fingerprint zero. Ids are taken to be unique; rows that share one
     share its component, and a null id is compared with nothing unless its class is another row's. Groups of any size are compared in bounded blocks.
@@ -356,8 +356,8 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
         if bits % 64:
             raise ValueError("bits must be a multiple of 64")
         common = common_shingles(rows, id, text, words)
-        same, prints = "fingerprint", stored(described(rows, common, id, text, words, bits, similarity), "fingerprints")
-        classes = stored(prints.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("id")), "classes")
+        same, prints = "shingles", stored(described(rows, common, id, text, words, bits, similarity), "fingerprints")
+        classes = stored(prints.where("id IS NOT NULL").groupBy("shingles").agg(F.min("id").alias("id"), F.min_by("fingerprint", "id").alias("fingerprint")), "classes")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,8 +375,8 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
     links = dealt.select("key", "_i", "_j", "_own", "id", "fingerprint").mapInArrow(_links(bits, ring or m, tau, similarity is not None), "a long, b long")
     if similarity is not None:
         near = stored(similar(links.distinct(), rows, similarity, id, text, words), "near")
-        known = classes.select("fingerprint", "id").join(components(near), "id", "left").select("fingerprint", "id", F.coalesce("component", "id").alias("component"))
-        sets = stored(prints.join(known, ["fingerprint", "id"]).select("id", "component", "n", "prefix", "map"), "sets")
+        known = classes.select("shingles", "id").join(components(near), "id", "left").select("shingles", "id", F.coalesce("component", "id").alias("component"))
+        sets = stored(prints.join(known, ["shingles", "id"]).select("id", "component", "n", "prefix", "map"), "sets")
         links = near.union(similar(crossing(sets, similarity), rows, similarity, id, text, words))
     reached = components(links)
     named = classes.join(reached, "id", "left").select(same, F.coalesce("component", "id").alias("component_id"))

@@ -138,3 +138,12 @@ def test_a_family_around_the_similarity_keeps_all_links(spark):
     passage = " ".join(f"p{k}" for k in range(60))
     texts = [f"{passage} " + " ".join(rng.choice([f"v{k}" for k in range(3000)], 40 + k % 50)) for k in range(1200)]
     assert linked(spark, texts) == list(range(1200))
+
+
+def test_equal_fingerprints_of_different_texts_are_no_duplicates(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(["again"] * 600 + rng.choice([f"v{k}" for k in range(5000)], 200).tolist()) for _ in range(6)]
+    texts.append(texts[0] + " again" * 50)  # another text of a similar set
+    assert len({simhash.fingerprint(t.encode(), 5, 512) for t in texts}) == 1
+    expected, _ = by_similarity(texts)
+    assert linked(spark, texts) == expected and len(set(expected)) == 6
