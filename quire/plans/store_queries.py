@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import layout
+from quire.operators import findings, layout
 from quire.operators.scan import scratch_path
 from quire.plans import fixtures as fx
-from quire.plans.finding_queries import SPANS4, sectioned_parts
+from quire.plans.finding_queries import SPANS4, paginate_rejects, sectioned_parts
 from quire.plans.registry import query, statement
 from quire.sources import blobs, manifests, reports
 
@@ -70,17 +70,26 @@ def scan_blobs(spark, sf_dir):
     return blobs.blob_facts(both, F.col("content"), "<title>")
 
 
+def turn_findings(spark, sf_dir):
+    """Turns taller than a page of 25 points, as findings in the order of the turns."""
+    turns, _ = fx.conversation_turns(spark, sf_dir)
+    high = paginate_rejects(spark, sf_dir).select("packet_id", "pos")
+    found = turns.select("packet_id", "pos", "ref").join(high, ["packet_id", "pos"], "left_semi")
+    return findings.with_codes(found.select("packet_id", F.col("pos").alias("order"), F.lit("text_overflow").alias("code"), F.col("ref").alias("file"), F.array("ref").alias("items")))
+
+
 def saved_reports(spark, sf_dir):
     """Reports of all conversations, written and read back."""
     parts, headings, split = sectioned_parts(spark, sf_dir)
     spans = layout.section_spans(headings, parts)
     labelled = layout.label_pages(parts.withColumns({"mode": F.lit("physical"), "start": F.lit(1), "enabled": F.col("kind") != "padding"}), split=split)
-    headers = layout.page_totals(parts).withColumn("status", F.lit("ok"))
+    found = turn_findings(spark, sf_dir)
+    totals = layout.page_totals(parts)
+    headers = totals.join(findings.packet_status(totals, found), "packet_id")
     rows = labelled.withColumns({"order": F.struct("pos", "band"), "item": F.col("ref")})
     titled = spans.withColumns({"order": F.col("pos"), "item": F.col("section"), "target_page": F.col("target")})
-    none = rows.limit(0).select("packet_id", "order")
     path = scratch_path(spark, "reports")
-    reports.write_reports(reports.report_records(headers, rows, titled, none), path)
+    reports.write_reports(reports.report_records(headers, rows, titled, found), path)
     return reports.read_reports(spark, path)
 
 

@@ -93,3 +93,22 @@ def test_publish_never_replaces_an_input(spark, tmp_path):
         with pytest.raises(reports.PublishRefused):
             reports.publish(frame, path, [source], overwrite=True)
     assert spark.read.parquet(source).count() == 3
+
+
+def test_saved_reports_keep_their_findings(spark):
+    from quire.plans import load_queries
+
+    load_queries()
+    from quire.plans import store_queries
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    high = {(str(r.conv_id), f"turn/{r.conv_id}/{r.turn}") for r in turns if 12 + 6 * (len(r.text) % 4) > 25}
+    both = store_queries.saved_reports(spark, "/root/testdata/sf0.001")
+    saved = both.findings.collect()
+    assert {h.packet_id for h in both.headers.collect() if h.status == "invalid"} == {p for p, _ in high}
+    assert high and {(f.packet_id, f.file) for f in saved} == high and len(saved) == len(high)
+    assert all(f.code == "text_overflow" and f.severity == "error" and f["items"] == [f.file] for f in saved)
+    places = {}
+    for f in saved:
+        places.setdefault(f.packet_id, []).append(f.place)
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
