@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, hosts, langid, lattice, lines, mtree, packing, simhash, suffixes, warc
+from quire.llm import bpe, hosts, langid, lattice, lines, mtree, packing, periods, repair, simhash, suffixes, warc
 from quire.llm.registry import query, table
 
 #: Added token of byte_bpe_50k.json and the id that closes a document.
@@ -181,3 +181,51 @@ ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""")
 def op5_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with the faults of the task; null roles and texts are one space."""
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    fault = F.crc32(key.cast("binary")) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    rows = conversations.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"), F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(fault == 0, F.array().cast("array<int>")).when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy"))
+    return rows.drop("_copy")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.repair(damaged(conversations))
+    every = conversations.select(F.col("conv_id").alias("_id")).distinct()
+    counts, said = found.conversations, repair.digests(found.pieces).withColumnRenamed("conv_id", "_said")
+    joined = every.join(counts, F.col("_id").eqNullSafe(F.col("conv_id")), "left").join(said, F.col("_id").eqNullSafe(F.col("_said")), "left")
+    return joined.select(
+        F.col("_id").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ["gaps", *repair.COUNTS]],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def planted(documents: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text) where the ends of some texts repeat themselves, as the task plants them; a document
+    without an id stays as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = documents.withColumn("_w", F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    rows = rows.withColumn("_n", F.size("_w").cast("long")).withColumn("_g", F.expr("CAST(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) div 10 AS LONG)"))
+    rows = rows.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    rows = rows.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    repeated = F.expr("array_join(transform(sequence(0L, _n - 1), i -> _w[CAST(if(i < _a, i, _a + (i - _a) % _p) AS INT)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("_n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # the greatest length / period, compared exactly by cross products; runs come by start and period, so ties keep the first
+    best = F.expr("aggregate(runs, CAST(NULL AS struct<start:bigint,length:bigint,period:bigint>), (b, r) -> if(b IS NULL OR CAST(r.length AS DECIMAL(19,0)) * b.period > CAST(b.length AS DECIMAL(19,0)) * r.period, r, b))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    named = found.withColumn("_best", best)
+    return named.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_best.start").alias("start"), F.col("_best.length").alias("length"), F.col("_best.period").alias("period"),
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
