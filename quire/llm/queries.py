@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, hosts, langid, lattice, lines, mtree, packing, periods, repair, simhash, suffixes, warc
+from quire.llm import bpe, hosts, langid, lattice, lines, mtree, packing, periods, quality, repair, simhash, suffixes, warc
+from quire.llm.common import stored
 from quire.llm.registry import query, table
 
 #: Added token of byte_bpe_50k.json and the id that closes a document.
@@ -229,3 +230,10 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_best.start").alias("start"), F.col("_best.length").alias("length"), F.col("_best.period").alias("period"),
         F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op11_quality_rules")
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
+    judged = quality.judge(found, quality.learn(found, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", *quality.STATISTICS[:5], "base_failed", "kept", "rule")
