@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.operators.scan import durable, exceeds_group_limit, with_positions
+from quire.operators.ranges import lookup_at
+from quire.operators.scan import CarryLast, RunningSum, durable, exceeds_group_limit, scan, with_positions
 from quire.operators.tree import clean_path
 
 DEFAULT_PREFIX = "packet.destination"
@@ -20,41 +25,171 @@ def rename_collisions(names: DataFrame, prefix: str = DEFAULT_PREFIX, split: boo
 
     ``names``: packet_id, part, name, page; one row per name of a part.  Names without a page
     are dropped and not counted.  The first use keeps its name; a later one becomes
-    ``prefix.N`` with N the running number of kept names.  Authored names that look like
-    ``prefix.N`` themselves can push N further, which the probe rounds settle.
+    ``prefix.N`` with N the running number of kept names.  Where authored names look like ``prefix.N``
+    themselves, N is the next number that neither an earlier name nor a name of the same part
+    (kept or dropped) has; see ``_allocate``.
     """
     if split is None:
         split = exceeds_group_limit(names, ["packet_id"])
     kept = with_positions(names.filter(F.col("page").isNotNull()), ["packet_id"], ["part", "name"], "n", split)
     first = kept.groupBy("packet_id", "name").agg(F.min("n").alias("_first"))
-    joined = kept.join(first, ["packet_id", "name"])
-    renamed = joined.withColumn("renamed", F.col("n") > F.col("_first")).drop("_first")
-    mapped = renamed.withColumn("to", F.when(F.col("renamed"), F.concat_ws(".", F.lit(prefix), F.col("n").cast("string"))).otherwise(F.col("name")))
-    shape = F.col("name").rlike("^" + prefix.replace(".", r"\.") + r"\.[0-9]+$")
-    shaped = durable(names.filter(shape).select("packet_id").distinct())
+    renamed = kept.join(first, ["packet_id", "name"]).withColumn("renamed", F.col("n") > F.col("_first")).drop("_first")
+    label = lambda number: F.concat_ws(".", F.lit(prefix), number.cast("string"))
+    mapped = renamed.withColumn("to", F.when(F.col("renamed"), label(F.col("n"))).otherwise(F.col("name")))
+    # numbers that a generated name can have: no leading zeros, within a long
+    shape = "^" + prefix.replace(".", r"\.") + r"\.([1-9][0-9]{0,17})$"
+    number = F.when(F.col("name").rlike(shape), F.regexp_extract("name", shape, 1).cast("bigint"))
+    shaped = names.withColumn("number", number).filter(F.col("number").isNotNull())
+    shaped = durable(shaped.groupBy("packet_id", "part", "number").agg(F.max(F.col("page").isNotNull()).alias("held")))
     if shaped.isEmpty():
         return mapped
-    plain = mapped.join(shaped, "packet_id", "left_anti")
-    reserved = names.filter(shape).select("packet_id", "part", F.col("name").alias("to")).distinct()
-    return plain.unionByName(_probe(mapped.join(shaped, "packet_id", "left_semi"), reserved, prefix).select(*plain.columns))
-
-
-def _probe(mapped: DataFrame, reserved: DataFrame, prefix: str) -> DataFrame:
-    """Settle one name per packet and round: the first that is taken moves to the next number."""
-    state = durable(mapped.withColumn("_try", F.col("n")))
-    while True:
-        owners = state.groupBy("packet_id", "to").agg(F.min("n").alias("_owner"))
-        taken = state.join(owners, ["packet_id", "to"]).filter(F.col("n") > F.col("_owner")).select("packet_id", "n")
-        blocked = state.filter("renamed").join(reserved, ["packet_id", "part", "to"], "left_semi").select("packet_id", "n")
-        bad = durable(taken.union(blocked).groupBy("packet_id").agg(F.min("n").alias("n")).withColumn("_move", F.lit(True)))
-        if bad.isEmpty():
-            return state.drop("_try")
-        moved = state.join(bad, ["packet_id", "n"], "left")
-        hit = F.coalesce("_move", F.lit(False))
-        number = F.when(hit & F.col("renamed"), F.col("_try") + 1).otherwise(F.col("_try"))
-        moved = moved.withColumn("_try", number).withColumn("renamed", F.col("renamed") | hit)
-        name = F.when(F.col("renamed"), F.concat_ws(".", F.lit(prefix), F.col("_try").cast("string"))).otherwise(F.col("name"))
-        state = durable(moved.withColumn("to", name).select(*state.columns))
+    packets = shaped.select("packet_id").distinct()
+    rows = durable(renamed.join(packets, "packet_id", "left_semi").withColumn("_number", number))
+    found = _allocate(rows, shaped, split).withColumn("to", F.when(F.col("renamed"), label(F.col("_to"))).otherwise(F.col("name")))
+    return mapped.join(packets, "packet_id", "left_anti").unionByName(found.select(*mapped.columns))
+
+
+def _allocate(rows: DataFrame, shaped: DataFrame, split: bool) -> DataFrame:
+    """Numbers (``_to``) for the renamed rows of packets with authored ``prefix.N`` names, and ``renamed``.
+
+    Numbers are handed out in row order, upwards from the row's own running number, so what was
+    handed out last and the row's number decide, but for authored numbers in between.  Only rows at which authored
+    numbers matter need to be looked at one by one: authored rows, the borders of their parts, and rows whose running
+    number is an authored one.  Between them stretches of renamed rows are summed up as (rows, first, last); the
+    fold runs over these summaries, whose number follows the authored names and not the packet.
+    A row of a stretch then gets the larger of its own number and its place plus the stretch's base.
+    """
+    packet = ["packet_id"]
+    bounds = rows.groupBy("packet_id", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    reserved = durable(shaped.join(bounds, ["packet_id", "part"]))
+    plain = scan(rows, packet, ["n"], [RunningSum("_rn", F.when(F.col("renamed") & F.col("_number").isNull(), 1).otherwise(0))], split)
+    plain = durable(plain.filter(F.col("renamed") & F.col("_number").isNull()))
+    # numbers reserved by dropped names are free again after their part: as many rows as such names may take them
+    freed = reserved.filter(~F.col("held")).groupBy("packet_id", "part").agg(F.count(F.lit(1)).alias("_freed"), F.first("hi").alias("hi"))
+    totals = rows.groupBy("packet_id", "part").agg(F.sum(F.when(F.col("renamed") & F.col("_number").isNull(), 1).otherwise(0)).alias("_r"))
+    totals = scan(totals, packet, ["part"], [RunningSum("_until", F.col("_r"))], split)
+    takers = freed.join(totals.select("packet_id", "part", "_until"), ["packet_id", "part"])
+    takers = takers.select("packet_id", F.explode(F.expr("sequence(_until + 1, _until + _freed)")).alias("_rn")).distinct().join(plain.select("packet_id", "_rn", "n"), ["packet_id", "_rn"])
+    border = lambda frame, *columns: frame.select("packet_id", F.explode(F.array(*columns)).alias("n"))
+    one = lambda frame, name: border(frame, F.col(name), F.col(name) + 1)
+    borders = border(reserved, F.col("lo"), F.col("hi") + 1).unionByName(one(reserved, "number")).unionByName(one(takers, "n"))
+    borders = borders.unionByName(one(rows.filter(F.col("_number").isNotNull()), "n")).distinct()
+    marked = borders.select("packet_id", "n", F.lit(0).alias("_side")).unionByName(plain.select("packet_id", "n", F.lit(1).alias("_side")))
+    marked = scan(marked, packet, ["n", "_side"], [CarryLast("_stretch", F.when(F.col("_side") == 0, F.col("n")))], split).filter("_side = 1")
+    stretches = marked.select("packet_id", "n", F.coalesce("_stretch", F.lit(0)).alias("_stretch"))
+    stretches = durable(scan(stretches, ["packet_id", "_stretch"], ["n"], [RunningSum("_j", F.lit(1))], split))
+    sums = stretches.groupBy("packet_id", "_stretch").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("at"), F.max("n").alias("last"))
+    event = lambda frame, kind, at, number="0", last="0", count="0": frame.selectExpr(
+        "packet_id", f"{kind} AS kind", f"{at} AS at", f"CAST({number} AS BIGINT) AS number", f"CAST({last} AS BIGINT) AS last", f"CAST({count} AS BIGINT) AS rows")
+    events = (
+        event(reserved.select("packet_id", "part", "hi").distinct(), "0", "hi + 1")
+        .unionByName(event(reserved.filter("held"), "1", "lo", "number", "1"))
+        .unionByName(event(reserved.filter("NOT held"), "1", "lo", "number"))
+        .unionByName(event(sums, "2", "at", "_stretch", "last", "rows"))
+        .unionByName(event(rows.filter(F.col("_number").isNotNull()), "3", "n", "_number"))
+    )
+    kind = rows.schema["packet_id"].dataType.simpleString()
+    schema = T.StructType.fromDDL(f"packet_id {kind}, at bigint, stretch bigint, j_first bigint, j_last bigint, base bigint, renamed boolean")
+    arrow = to_arrow_schema(schema)
+    ordered = events.repartition("packet_id").sortWithinPartitions("packet_id", "at", "kind", "number")
+    given = durable(ordered.mapInArrow(lambda batches: _fold_packets(batches, arrow), schema))
+    authored = rows.filter(F.col("_number").isNotNull()).drop("renamed").join(
+        given.filter("stretch IS NULL").select("packet_id", F.col("at").alias("n"), "renamed", F.col("base").alias("_to")), ["packet_id", "n"])
+    bases = given.filter("stretch IS NOT NULL").select("packet_id", F.col("stretch").alias("_stretch"), "j_first", "j_last", "base")
+    placed = lookup_at(stretches, bases, ["packet_id", "_stretch"], "_j", "j_first", "j_last", ["base"], split)
+    numbered = placed.select("packet_id", "n", F.greatest(F.col("_j") + F.col("base"), F.col("n")).alias("_to"))
+    later = plain.drop("_rn").join(numbered, ["packet_id", "n"])
+    same = rows.filter(F.col("_number").isNull() & ~F.col("renamed")).withColumn("_to", F.lit(None).cast("bigint"))
+    return authored.select(*same.columns).unionByName(later.select(*same.columns)).unionByName(same)
+
+
+def _fold_packets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``_fold`` for every packet of ordered events."""
+    packet, events, found = None, [], []
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("packet_id", "kind", "at", "number", "last", "rows")]):
+            if events and row[0] != packet:
+                found += [(packet, *f) for f in _fold(events)]
+                events = []
+            packet = row[0]
+            events.append(row[1:])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+            found = []
+    found = [(packet, *f) for f in _fold(events)] if events else []
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+
+def _fold(events: list[tuple]) -> list[tuple]:
+    """(at, stretch, first and last place, base, renamed) of the stretches and authored rows of one packet.
+
+    Events are (kind, at, number, last, rows) in order of place and kind: 0 a part ends, 1 a number is reserved (``last``
+    1: by a name with a page), 2 a stretch, 3 an authored row.
+    """
+    known = sorted({e[2] for e in events if e[0] in (1, 3)})
+    held: list[int] = []  # numbers of names with a page, of this and earlier parts
+    dropped: list[int] = []  # numbers of names without a page of this part
+    skipped: list[int] = []  # of these, numbers passed over in this part
+    holes: list[int] = []  # such numbers of earlier parts
+    owned: set[int] = set()  # numbers that names have
+    found, last = [], 0  # the largest number handed out
+
+    def blocked(x: int) -> bool:
+        for numbers in (held, dropped):
+            k = bisect_left(numbers, x)
+            if k < len(numbers) and numbers[k] == x:
+                return True
+        return False
+
+    def free(x: int) -> int:
+        while blocked(x):
+            if x in dropped:
+                skipped.append(x)
+            x += 1
+        return x
+
+    def single(n: int) -> int:
+        nonlocal last
+        fits = [h for h in holes if h >= n and h not in owned and not blocked(h)]
+        if fits:
+            number = min(fits)
+            holes.remove(number)
+        else:
+            number = last = free(max(last + 1, n))
+        owned.add(number)
+        return number
+
+    for kind, at, number, end, rows in events:
+        if kind == 0:
+            holes = sorted({h for h in [*holes, *skipped] if h >= at})
+            dropped, skipped = [], []
+        elif kind == 1:
+            numbers = held if end else dropped
+            k = bisect_left(numbers, number)
+            if k == len(numbers) or numbers[k] != number:
+                numbers.insert(k, number)
+        elif kind == 3:
+            taken = number in owned
+            to = single(at) if taken else None
+            owned.add(number)
+            found.append((at, None, None, None, to, taken))
+        elif rows == 1:
+            found.append((at, number, 1, 1, single(at) - 1, True))
+        else:
+            start, j, x = last, 0, last + 1
+            while j < rows:
+                x = free(x)
+                nexts = [numbers[k] for numbers in (held, dropped) if (k := bisect_left(numbers, x)) < len(numbers)]
+                n = min([rows - j, *[b - x for b in nexts]])
+                found.append((at, number, j + 1, j + n, x - (j + 1), True))
+                j, x = j + n, x + n
+            last = max(x - 1, end)
+            # numbers beyond the stretch's own are reached by running ahead, one after the other
+            for k in range(bisect_left(known, max(end, start) + 1), bisect_left(known, last + 1)):
+                if not blocked(known[k]):
+                    owned.add(known[k])
+    return found
 
 
 def rewrite_names(links: DataFrame, mapping: DataFrame) -> DataFrame:

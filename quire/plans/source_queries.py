@@ -120,6 +120,36 @@ def rename_collisions(spark, sf_dir):
     return names.rename_collisions(rows, split=split).select("packet_id", "part", "name", F.col("to").alias("new_name"), "renamed")
 
 
+AUTHORED = """authored AS MATERIALIZED (
+  SELECT packet_id, pos AS part, name, CASE WHEN l_suppkey % 10 <> 0 THEN source_pages END AS page FROM fx2 WHERE name IS NOT NULL
+  UNION ALL SELECT packet_id, pos, 'size ' || source_pages % 5, 1 FROM fx2 WHERE name IS NOT NULL
+  UNION ALL SELECT packet_id, pos, 'packet.destination.' || (1 + l_suppkey % 12), CASE WHEN l_partkey % 5 <> 0 THEN 1 END FROM fx2 WHERE name IS NOT NULL AND line % 3 <> 0),
+numbered AS MATERIALIZED (
+  SELECT packet_id, part, name, row_number() OVER (PARTITION BY packet_id ORDER BY part, name) AS n FROM authored WHERE page IS NOT NULL),
+listed AS MATERIALIZED (SELECT packet_id, part, list(name) AS reserved FROM authored GROUP BY ALL),
+ahead AS MATERIALIZED (SELECT n.*, l.reserved FROM numbered n JOIN listed l USING (packet_id, part)),
+steps(packet_id, n, used, part, name, new_name) AS (
+  SELECT DISTINCT packet_id, 0::BIGINT, []::VARCHAR[], NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM numbered
+  UNION ALL
+  SELECT packet_id, n, list_append(used, chosen), part, name, chosen FROM (
+    SELECT a.packet_id, a.n, s.used, a.part, a.name, CASE WHEN NOT list_contains(s.used, a.name) THEN a.name
+      ELSE 'packet.destination.' || list_filter(range(a.n, a.n + 60), lambda x: NOT list_contains(s.used, 'packet.destination.' || x) AND NOT list_contains(a.reserved, 'packet.destination.' || x))[1] END AS chosen
+    FROM steps s JOIN ahead a ON a.packet_id = s.packet_id AND a.n = s.n + 1))"""
+
+
+@query("rename_authored_collisions", statement(fx.FX2, AUTHORED, recursive=True, body="""
+SELECT packet_id, part, name, new_name, name <> new_name AS renamed FROM steps WHERE n > 0"""))
+def rename_authored_collisions(spark, sf_dir):
+    """A third name of most sources looks like a generated one; some of these lack a page."""
+    rows, split = source_names(spark, sf_dir)
+    items, _ = fx.order_items(spark, sf_dir)
+    shaped = items.filter(F.col("name").isNotNull() & (F.col("line") % 3 != 0)).select(
+        "packet_id", F.col("pos").alias("part"), F.concat(F.lit("packet.destination."), (1 + F.col("l_suppkey") % 12).cast("string")).alias("name"),
+        F.when(F.col("l_partkey") % 5 != 0, 1).cast("bigint").alias("page"))
+    mapped = names.rename_collisions(rows.unionByName(shaped), split=split)
+    return mapped.select("packet_id", "part", "name", F.col("to").alias("new_name"), "renamed")
+
+
 @query("rewrite_names", statement(fx.FX2, NAMED, body="""
 SELECT f.packet_id, f.pos AS part, f.line, coalesce(m.new_name, f.name) AS name
 FROM fx2 f LEFT JOIN mapped m ON m.packet_id = f.packet_id AND m.part = f.pos AND m.name = f.name WHERE f.name IS NOT NULL"""))
