@@ -1,8 +1,13 @@
 """Hierarchies: document order, inheritance, sections, closures and navigation trees.
 
 Nodes carry ``path`` (ids from the root down to the node itself) and ``order_path`` (sibling
-positions along it).  Depth is bounded by the nesting limit, so exploding a path multiplies
-rows by a small constant and every step is an equality join or a combinable aggregate.
+positions along it).  Depth is bounded by the nesting limit.
+
+What a node needs from its ancestors or descendants is found in one ordered sweep, without joining nodes to
+ancestors.  In document order the ancestor at level d of a node is the last node of level d before it, and its
+subtree ends before the next node of its own level or a higher one.  So one carried value per level is the whole
+state of a sweep (the stack of open nodes), forwards for ancestors and backwards for ends; in a packet that outgrows a task
+every chunk of the order is summed up as the stack it leaves behind (see ``scan``).
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.limits import MAX_NESTING
-from quire.operators.scan import RunningSum, durable, scan, with_positions
+from quire.operators.scan import CarryLast, GroupFirst, Previous, RunningSum, durable, group_limit, scan, with_positions
 
 DIVIDER_POSITION = -1
 
@@ -50,6 +55,39 @@ def ancestors(nodes: DataFrame, fields: tuple = (), own: bool = True) -> DataFra
     return rows
 
 
+class Sweep:
+    """Nodes in document order: ``rows`` with ``_enter`` (1, 2, ...) and ``_depth`` (0 = root).
+
+    ``levels`` bounds the depth and ``split`` says whether a packet outgrows a task; what the caller does not know is
+    measured in one pass.  ``order`` is ``path`` where any order of siblings will do.
+    """
+
+    def __init__(self, nodes: DataFrame, order: str = "path", split: bool | None = None, levels: int | None = None):
+        if split is None or levels is None:
+            sizes = nodes.groupBy("packet_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("path")).alias("_d"))
+            rows, deepest = sizes.agg(F.max("_n"), F.max("_d")).first()
+            split = (rows or 0) > group_limit(nodes.sparkSession) if split is None else split
+            levels = (deepest or 1) if levels is None else levels
+        self.split, self.levels = split, levels
+        placed = nodes.withColumn("_depth", F.size("path") - 1)
+        self.rows = with_positions(placed, ["packet_id"], [order], "_enter", split)
+
+    def scan(self, specs: list, rows: DataFrame | None = None, back: bool = False) -> DataFrame:
+        """Ordered columns of ``scan``, from the last node to the first if ``back``."""
+        rows = self.rows if rows is None else rows
+        if not back:
+            return scan(rows, ["packet_id"], ["_enter"], specs, self.split)
+        return scan(rows.withColumn("_back", -F.col("_enter")), ["packet_id"], ["_back"], specs, self.split).drop("_back")
+
+    def above(self, fields: list[str], specs: list = ()) -> tuple[DataFrame, list[Column]]:
+        """The rows, and one struct (``node`` and ``fields``) per level: the strict ancestor there, else null."""
+        carried = [CarryLast(f"_up{d}", F.when(F.col("_depth") == d, F.struct("node", *fields))) for d in range(self.levels - 1)]
+        found = self.scan([*carried, *specs]) if carried or specs else self.rows
+        # rows whose ancestor is missing meet another node there
+        real = [(F.col("_depth") > d) & (F.get("path", F.lit(d)) == F.col(f"_up{d}.node")) for d in range(self.levels - 1)]
+        return found, [F.when(r, F.col(f"_up{d}")) for d, r in enumerate(real)]
+
+
 def check_tree(nodes: DataFrame, limit: int = MAX_NESTING, declared: str | None = None) -> DataFrame:
     """Faults of an adjacency list: orphan, several parents, cycle, too deep, wrong leaf count.
 
@@ -111,21 +149,16 @@ def preorder(nodes: DataFrame, leaf: Column, divider: Column | None = None, spli
     )
 
 
-def inherit_nearest(nodes: DataFrame, columns: list[str], own: bool = True) -> DataFrame:
+def inherit_nearest(nodes: DataFrame, columns: list[str], own: bool = True, split: bool | None = None, levels: int | None = None) -> DataFrame:
     """For each column, the value of the nearest ancestor (the node itself if ``own``) that has one.
 
     The result columns are named ``<column>_inherited``.
     """
-    some = F.lit(False)
-    for name in columns:
-        some = some | F.col(name).isNotNull()
-    owners = nodes.filter(some).select("packet_id", F.col("node").alias("ancestor"), *columns)
-    found = (
-        ancestors(nodes, own=own).join(owners, ["packet_id", "ancestor"])
-        .groupBy("packet_id", "node")
-        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(f"{c}_inherited") for c in columns])
-    )
-    return nodes.join(found, ["packet_id", "node"], "left")
+    sweep = Sweep(nodes, "path", split, levels)
+    rows, above = sweep.above(columns)
+    nearest = lambda c: [F.col(c)] * own + [up.getField(c) for up in reversed(above)]
+    kind = {c: nodes.schema[c].dataType for c in columns}
+    return rows.select(*nodes.columns, *[F.coalesce(*nearest(c), F.lit(None).cast(kind[c])).alias(f"{c}_inherited") for c in columns])
 
 
 def layer_defaults(items: DataFrame, packets: DataFrame, fields: list[str], builtins: dict) -> DataFrame:
@@ -158,41 +191,32 @@ def clean_path(path: Column) -> Column:
     return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
 
 
-def scope_paths(nodes: DataFrame, base: Column) -> DataFrame:
+def scope_paths(nodes: DataFrame, base: Column, split: bool | None = None, levels: int | None = None) -> DataFrame:
     """Resolve ``source`` against the directories of the enclosing groups; an absolute step restarts.
 
     A group's own ``dir`` is for its children only, so only strict ancestors are looked at.
     """
-    dirs = nodes.filter(F.col("dir").isNotNull()).select("packet_id", F.col("node").alias("ancestor"), F.col("dir").alias("_dir"))
-    scopes = (
-        ancestors(nodes.filter(F.col("source").isNotNull()), own=False).join(dirs, ["packet_id", "ancestor"])
-        .groupBy("packet_id", "node")
-        # at most one entry per nesting level
-        .agg(F.array_sort(F.collect_list(F.struct("depth", "_dir"))).alias("_dirs"))
-    )
-    joined = nodes.filter(F.col("source").isNotNull()).join(scopes, ["packet_id", "node"], "left")
-    steps = F.concat(F.coalesce(F.col("_dirs._dir"), F.array().cast("array<string>")), F.array("source"))
+    rows, above = Sweep(nodes, "path", split, levels).above(["dir"])
+    dirs = [up.getField("dir") for up in above]
+    steps = F.filter(F.array(*dirs, F.col("source")), lambda step: step.isNotNull())
     whole = F.aggregate(
         steps, base, lambda acc, step: F.when(step.startswith("/"), step).otherwise(F.concat(acc, F.lit("/"), step))
     )
-    return joined.withColumn("resolved", clean_path(whole)).drop("_dirs")
+    return rows.filter(F.col("source").isNotNull()).select(*nodes.columns, clean_path(whole).alias("resolved"))
 
 
-def sections(nodes: DataFrame, split: bool | None = None) -> DataFrame:
+def sections(nodes: DataFrame, split: bool | None = None, levels: int | None = None) -> DataFrame:
     """Titled groups in document order with their parent section and depth.
 
     Untitled groups are transparent: the parent is the nearest titled ancestor.
     """
-    titled = nodes.filter("titled")
-    owners = titled.select("packet_id", F.col("node").alias("ancestor"))
-    above = (
-        ancestors(titled, own=False).join(owners, ["packet_id", "ancestor"])
-        .groupBy("packet_id", "node")
-        .agg(F.max_by("ancestor", "depth").alias("parent_section"), F.count(F.lit(1)).alias("_depth"))
-    )
-    placed = with_positions(titled, ["packet_id"], ["order_path"], "section_index", split)
-    return placed.join(above, ["packet_id", "node"], "left").select(
-        "packet_id", "node", "section_index", "parent_section", F.coalesce("_depth", F.lit(0)).alias("depth"), "own_name"
+    index = RunningSum("section_index", F.when(F.col("titled"), 1).otherwise(0))
+    rows, above = Sweep(nodes, "order_path", split, levels).above(["titled"], [index])
+    titled = [F.when(up.getField("titled"), up.getField("node")) for up in above]
+    none = F.lit(None).cast(nodes.schema["node"].dataType)
+    depth = sum((F.when(t.isNotNull(), 1).otherwise(0) for t in titled), F.lit(0)).cast("bigint")
+    return rows.filter("titled").select(
+        "packet_id", "node", F.col("section_index").cast("bigint"), F.coalesce(*reversed(titled), none).alias("parent_section"), depth.alias("depth"), "own_name"
     )
 
 
@@ -252,23 +276,30 @@ def resolve_aliases(links: DataFrame, standard: DataFrame | None = None) -> Data
     )
 
 
-def subtree_counts(nodes: DataFrame) -> DataFrame:
+def subtree_counts(nodes: DataFrame, split: bool | None = None, levels: int | None = None) -> DataFrame:
     """Leaves below each node, and visible descendants: those with no closed node in between.
 
     A node is visible from its ancestors at or below its nearest closed strict ancestor.  The
-    count of a closed node is negative.
+    count of a closed node is negative.  Both are differences of running counts between a node and the end of its subtree.
     """
-    shut = nodes.filter(~F.col("open")).select("packet_id", F.col("node").alias("ancestor"), F.lit(True).alias("_shut"))
-    pairs = ancestors(nodes, fields=("leaf",), own=False)
-    nearest = pairs.join(shut, ["packet_id", "ancestor"]).groupBy("packet_id", "node").agg(F.max("depth").alias("_wall"))
-    seen = pairs.join(nearest, ["packet_id", "node"], "left").withColumn("_seen", F.col("depth") >= F.coalesce("_wall", F.lit(0)))
-    counts = seen.groupBy("packet_id", F.col("ancestor").alias("node")).agg(
-        F.sum(F.col("leaf").cast("bigint")).alias("_leaves"), F.sum(F.col("_seen").cast("bigint")).alias("_visible")
-    )
-    leaves = F.when(F.col("leaf"), F.lit(1)).otherwise(F.coalesce("_leaves", F.lit(0)))
-    visible = F.coalesce("_visible", F.lit(0))
-    return nodes.join(counts, ["packet_id", "node"], "left").select(
-        "packet_id", "node", leaves.cast("bigint").alias("leaves"),
+    sweep = Sweep(nodes.select("packet_id", "node", "path", "open", "leaf"), "path", split, levels)
+    rows, above = sweep.above(["open"])
+    walls = [F.when(~up.getField("open"), d) for d, up in enumerate(above)]
+    walled = rows.select("packet_id", "node", "open", "leaf", "_depth", "_enter", F.coalesce(F.greatest(*walls) if len(walls) > 1 else F.coalesce(*walls, F.lit(None).cast("int")), F.lit(0)).alias("_wall"))
+    seen = lambda d: F.when((F.col("_wall") <= d) & (F.col("_depth") > d), 1).otherwise(0)
+    leaf = F.col("leaf").cast("int")
+    counted = sweep.scan([RunningSum("_l", leaf), *[RunningSum(f"_v{d}", seen(d)) for d in range(sweep.levels)]], walled)
+    # counts before a node, for the nodes whose subtree it ends; at the end of the packet, all
+    before = F.struct(F.col("_enter").alias("at"), (F.col("_l") - leaf).alias("l"), F.array(*[F.col(f"_v{d}") - seen(d) for d in range(sweep.levels)]).alias("v"))
+    everything = F.struct((F.col("_enter") + 1).alias("at"), F.col("_l").alias("l"), F.array(*[F.col(f"_v{d}") for d in range(sweep.levels)]).alias("v"))
+    boxed = counted.select("packet_id", "node", "open", "leaf", "_depth", "_enter", before.alias("_before"), everything.alias("_all"))
+    specs = [CarryLast(f"_next{d}", F.when(F.col("_depth") == d, F.col("_before"))) for d in range(sweep.levels)]
+    ended = sweep.scan([*specs, GroupFirst("_last", F.col("_all"))], boxed, back=True)
+    end = F.least(F.col("_last"), *[F.when(F.col("_depth") >= d, F.col(f"_next{d}")) for d in range(sweep.levels)])
+    own = ended.withColumn("_end", end)
+    visible = F.get("_end.v", "_depth") - F.get("_before.v", "_depth")
+    return own.select(
+        "packet_id", "node", F.when(F.col("leaf"), F.lit(1)).otherwise(F.col("_end.l") - F.col("_before.l")).cast("bigint").alias("leaves"),
         F.when(F.col("open"), visible).otherwise(-visible).cast("bigint").alias("visible"),
     )
 
@@ -313,18 +344,12 @@ def deep_outlines(occurrences: DataFrame, sections_: DataFrame, depths: DataFram
     )
 
 
-def qualified_names(fields: DataFrame) -> DataFrame:
+def qualified_names(fields: DataFrame, split: bool | None = None, levels: int | None = None) -> DataFrame:
     """Dotted full names of terminal fields; unnamed levels add nothing, the type is inherited."""
-    parents = fields.filter(F.col("parent").isNotNull()).select("packet_id", F.col("parent").alias("node")).distinct()
-    terminal = fields.join(parents, ["packet_id", "node"], "left_anti")
-    facts = fields.select("packet_id", F.col("node").alias("ancestor"), F.col("own_name").alias("_name"), F.col("type").alias("_type"))
-    return (
-        ancestors(terminal).join(facts, ["packet_id", "ancestor"])
-        .groupBy("packet_id", "node")
-        # one entry per level of the field tree
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("_name").isNotNull(), F.struct("depth", "_name")))).alias("_names"),
-            F.max_by("_type", F.when(F.col("_type").isNotNull(), F.col("depth"))).alias("type"),
-        )
-        .select("packet_id", "node", F.array_join(F.col("_names._name"), ".").alias("full_name"), "type")
-    )
+    sweep = Sweep(fields, "path", split, levels)
+    rows, above = sweep.above(["own_name", "type"])
+    below = sweep.scan([Previous("_next", F.col("path"))], rows, back=True)
+    terminal = ~F.coalesce(F.get("_next", "_depth") == F.col("node"), F.lit(False))
+    names = F.array(*[up.getField("own_name") for up in above], F.col("own_name"))  # one entry per level; nulls are left out
+    nearest = F.coalesce(F.col("type"), *[up.getField("type") for up in reversed(above)])
+    return below.filter(terminal).select("packet_id", "node", F.array_join(names, ".").alias("full_name"), nearest.alias("type"))

@@ -10,6 +10,10 @@ from quire.plans import fixtures as fx
 from quire.plans.registry import query, statement
 
 
+#: Region, nation, customer and order.
+LEVELS = 4
+
+
 def packet_tree(spark, sf_dir):
     nodes = fx.order_tree(spark, sf_dir)
     return nodes, exceeds_group_limit(nodes, ["packet_id"])
@@ -33,8 +37,8 @@ SELECT u.packet_id, u.node, arg_min(a.setting, u.distance) FILTER (a.setting IS
        arg_min(a.own_name, u.distance) FILTER (a.own_name IS NOT NULL) AS own_name_inherited
 FROM up u JOIN fx3 a ON a.node = u.ancestor GROUP BY u.packet_id, u.node"""))
 def inherit_nearest(spark, sf_dir):
-    nodes, _ = packet_tree(spark, sf_dir)
-    found = tree.inherit_nearest(nodes, ["setting", "own_name"])
+    nodes, split = packet_tree(spark, sf_dir)
+    found = tree.inherit_nearest(nodes, ["setting", "own_name"], split=split, levels=LEVELS)
     return found.select("packet_id", "node", "setting_inherited", "own_name_inherited")
 
 
@@ -78,7 +82,7 @@ SELECT packet_id, node,
 FROM placed"""))
 def scope_paths(spark, sf_dir):
     """Nations and customers set directories; orders name files below, beside or outside them."""
-    nodes, _ = packet_tree(spark, sf_dir)
+    nodes, split = packet_tree(spark, sf_dir)
     kind = F.substring("node", 1, 1)
     folder = (
         F.when(kind == "N", F.concat("own_name", F.lit("/./x/..")))
@@ -92,7 +96,7 @@ def scope_paths(spark, sf_dir):
         .when(F.col("pos") % 3 == 0, F.concat(F.lit("../"), number, F.lit(".pdf")))
         .otherwise(F.concat(F.lit("./"), number, F.lit(".pdf"))),
     )
-    resolved = tree.scope_paths(nodes.withColumns({"dir": folder, "source": source}), F.lit("/work"))
+    resolved = tree.scope_paths(nodes.withColumns({"dir": folder, "source": source}), F.lit("/work"), split, LEVELS)
     return resolved.select("packet_id", "node", "resolved")
 
 
@@ -104,7 +108,7 @@ SELECT t.packet_id, t.node, t.section_index, arg_min(u.ancestor, u.distance) FIL
 FROM titled t JOIN up u ON u.node = t.node JOIN fx3 a ON a.node = u.ancestor GROUP BY ALL"""))
 def sections(spark, sf_dir):
     nodes, split = packet_tree(spark, sf_dir)
-    return tree.sections(nodes, split)
+    return tree.sections(nodes, split, LEVELS)
 
 
 @query("subtree_counts", statement(fx.FX3, fx.FX3_UP, """walls AS (
@@ -114,8 +118,8 @@ counted AS (
   FROM up u JOIN fx3 x ON x.node = u.node LEFT JOIN walls w ON w.node = u.node GROUP BY u.ancestor)""", recursive=True, body="""
 SELECT f.packet_id, f.node, leaves, CASE WHEN f.open THEN visible ELSE -visible END AS visible FROM fx3 f JOIN counted USING (node)"""))
 def subtree_counts(spark, sf_dir):
-    nodes, _ = packet_tree(spark, sf_dir)
-    return tree.subtree_counts(nodes)
+    nodes, split = packet_tree(spark, sf_dir)
+    return tree.subtree_counts(nodes, split, LEVELS)
 
 
 @query("prune_tree", statement(fx.FX3, fx.FX3_UP, recursive=True, body="""
@@ -133,7 +137,7 @@ def navigation(spark, sf_dir):
     nodes, split = packet_tree(spark, sf_dir)
     events = tree.preorder(nodes, F.col("leaf"), None, split)
     section = F.when(F.col("titled"), F.col("node"))
-    owned = tree.inherit_nearest(events.withColumn("section", section), ["section"])
+    owned = tree.inherit_nearest(events.withColumn("section", section), ["section"], split=split, levels=LEVELS)
     occurrences = owned.filter("leaf").select(
         "packet_id", F.col("node").alias("occurrence"), "event", F.col("section_inherited").alias("section"), F.col("node").alias("source")
     )
@@ -147,7 +151,7 @@ def navigation(spark, sf_dir):
         F.array(entry("top", None, 1, F.col("o_orderpriority")), entry("below", "top", 1, F.col("o_orderstatus"))),
     ).otherwise(F.array(entry("top", None, 1, F.col("o_orderpriority"))))
     outlines = orders.select(source.alias("source"), F.inline(outline))
-    headings = tree.sections(nodes, split).join(events.select("packet_id", "node", "event"), ["packet_id", "node"])
+    headings = tree.sections(nodes, split, LEVELS).join(events.select("packet_id", "node", "event"), ["packet_id", "node"])
     return headings.withColumnRenamed("own_name", "title"), occurrences, outlines
 
 
@@ -192,33 +196,35 @@ def deep_outlines(spark, sf_dir):
   FROM fx3 c JOIN fx3 n ON n.node = c.parent WHERE left(c.node, 1) = 'C' AND c.node NOT IN (SELECT parent FROM fx3 WHERE parent IS NOT NULL))""", body="""
 SELECT packet_id, node, full_name, type FROM named"""))
 def qualified_names(spark, sf_dir):
-    nodes, _ = packet_tree(spark, sf_dir)
+    nodes, split = packet_tree(spark, sf_dir)
     kind = F.substring("node", 1, 1)
     fields = nodes.withColumns({
         "own_name": F.when(kind == "O", F.when(F.col("pos") % 2 == 0, F.col("pos").cast("string"))).otherwise(F.col("own_name")),
         "type": F.when(kind == "N", "text").when((kind == "C") & (F.col("pos") % 3 == 0), "choice"),
     })
-    return tree.qualified_names(fields)
+    return tree.qualified_names(fields, split, LEVELS)
 
 
-@query("renamed_fields", statement(fx.FX3, """leaves AS (
-  SELECT o.packet_id, o.node, o.pos, n.own_name AS nation, c.own_name AS segment FROM fx3 o JOIN fx3 c ON c.node = o.parent JOIN fx3 n ON n.node = c.parent WHERE o.leaf)""", body="""
-SELECT packet_id, node, nation || '.' || segment || '.' || pos AS before, nation || '.scope.' || pos AS after
-FROM leaves WHERE segment = 'BUILDING'"""))
+@query("renamed_fields", statement(fx.FX3, """terminal AS (
+  SELECT o.packet_id, o.node, n.own_name AS nation, c.own_name AS segment, '.' || o.pos AS rest FROM fx3 o JOIN fx3 c ON c.node = o.parent JOIN fx3 n ON n.node = c.parent WHERE o.leaf
+  UNION ALL
+  SELECT c.packet_id, c.node, n.own_name, c.own_name, '' FROM fx3 c JOIN fx3 n ON n.node = c.parent
+  WHERE left(c.node, 1) = 'C' AND c.node NOT IN (SELECT parent FROM fx3 WHERE parent IS NOT NULL))""", body="""
+SELECT packet_id, node, nation || '.' || segment || rest AS before, nation || '.scope' || rest AS after
+FROM terminal WHERE segment = 'BUILDING'"""))
 def renamed_fields(spark, sf_dir):
     """Fields whose full name changes when one market segment is renamed to 'scope'."""
     from quire.operators.names import renamed_fields as renamed
 
-    nodes, _ = packet_tree(spark, sf_dir)
+    nodes, split = packet_tree(spark, sf_dir)
     kind = F.substring("node", 1, 1)
     fields = nodes.withColumns({
         "own_name": F.when(kind == "O", F.col("pos").cast("string")).otherwise(F.col("own_name")), "type": F.lit("text"),
     })
-    before = tree.qualified_names(fields.filter(F.col("leaf") | (kind != "O")))
+    before = tree.qualified_names(fields, split, LEVELS)
     scoped = F.when((kind == "C") & (F.col("own_name") == "BUILDING"), "scope").otherwise(F.col("own_name"))
-    after = tree.qualified_names(fields.withColumn("own_name", scoped))
-    changed = renamed(before, after)
-    return changed.filter(F.substring("node", 1, 1) == "O").select("packet_id", "node", "before", "after")
+    after = tree.qualified_names(fields.withColumn("own_name", scoped), split, LEVELS)
+    return renamed(before, after).select("packet_id", "node", "before", "after")
 
 
 @query("check_tree", statement(fx.FX8, """links AS (
