@@ -6,7 +6,7 @@ inserted before an item, 1 for the item itself).  ``split`` is passed through to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.limits import MAX_PAGE_INDEX, MAX_SIDE_POINTS, NUMBERED_KINDS, UNNUMBERED_LABEL
@@ -296,15 +296,8 @@ def _paginate_by_doubling(rows: DataFrame, usable: int, gap: int) -> DataFrame:
     return paged.select("packet_id", "pos", F.col("height").cast("bigint").alias("height"), F.col("page").cast("bigint").alias("page"))
 
 
-def page_map(parts: DataFrame) -> DataFrame:
-    """The trace table: one row per output page with its part, source page and label.
-
-    ``parts`` are placed, labelled and carry their ``ranges`` (null = the whole source).  The
-    ranges are unnested inside the packet's partition and pages appear in the last step only,
-    so the one shuffle by packet is followed by nothing but the spread of compact spans.
-    """
-    from quire.operators.ranges import expand_spans
-
+def _compact(parts: DataFrame) -> DataFrame:
+    """Output spans ``_first`` to ``_last`` of placed parts, with the source page ``_src`` of the first one."""
     key = ["packet_id", "pos", "band"]
     kept = [c for c in parts.columns if c != "ranges"]
     whole = F.array(F.struct(F.when(F.col("kind") == "source", F.lit(1)).cast("bigint").alias("first"),
@@ -314,10 +307,63 @@ def page_map(parts: DataFrame) -> DataFrame:
     # a group is the array of one row, so it fits a task
     offset = scan(rows, key, ["_ordinal"], [RunningSum("_offset", length, inclusive=False)], False)
     start = F.col("first_page") + F.col("_offset")
-    compact = offset.select(*kept, F.col("_r.first").alias("_src"), start.alias("_first"), (start + length - 1).alias("_last"))
-    pages = expand_spans(compact, "_first", "_last", "output_page", key)
+    return offset.select(*kept, F.col("_r.first").alias("_src"), start.alias("_first"), (start + length - 1).alias("_last"))
+
+
+def page_map(parts: DataFrame) -> DataFrame:
+    """The trace table: one row per output page with its part, source page and label.
+
+    ``parts`` are placed, labelled and carry their ``ranges`` (null = the whole source).  The
+    ranges are unnested inside the packet's partition and pages appear in the last step only,
+    so the one shuffle by packet is followed by nothing but the spread of compact spans.
+    """
+    from quire.operators.ranges import expand_spans
+
+    pages = expand_spans(_compact(parts), "_first", "_last", "output_page", ["packet_id", "pos", "band"])
     return pages.select(
         "packet_id", "output_page", "pos", "band", "kind", *[c for c in ("path", "ref") if c in parts.columns],
         (F.col("_src") + F.col("output_page") - F.col("_first")).alias("source_page"),
         label_at(F.col("output_page"), F.col("first_page"), F.col("label_start")).alias("label"),
     )
+
+
+def _cut_by_size(spans: DataFrame, runs: DataFrame) -> DataFrame:
+    """Spans cut where the size of their source changes, with that size; ``runs``: path, first, last, width, height.
+
+    Pages that no run covers stay, without a size.
+    """
+    order = Window.partitionBy("path").orderBy("first")
+    known = runs.select("path", "first", "last", "width", "height")
+    before = known.withColumn("_before", F.coalesce(F.lag("last").over(order), F.lit(0)) + 1)
+    blank = [F.lit(None).cast("double").alias(c) for c in ("width", "height")]
+    holes = before.filter("_before < first").select("path", F.col("_before").alias("first"), (F.col("first") - 1).alias("last"), *blank)
+    rest = known.groupBy("path").agg((F.max("last") + 1).alias("first")).select("path", "first", F.lit(MAX_PAGE_INDEX).cast("bigint").alias("last"), *blank)
+    whole = known.unionByName(holes).unionByName(rest).select(*[F.col(c).alias(f"_run_{c}") for c in known.columns])
+    end = F.col("_src") + F.col("_last") - F.col("_first")
+    meets = (F.col("path") == F.col("_run_path")) & (F.col("_run_first") <= end) & (F.col("_run_last") >= F.col("_src"))
+    joined = spans.join(whole, meets, "left")
+    start, stop = F.greatest("_src", "_run_first"), F.least(end, F.col("_run_last"))
+    shifted = {"_first": F.coalesce(F.col("_first") + start - F.col("_src"), F.col("_first")), "_last": F.coalesce(F.col("_first") + stop - F.col("_src"), F.col("_last")), "_src": F.when(F.col("_run_path").isNull(), F.col("_src")).otherwise(start)}
+    return joined.select(*[c for c in spans.columns if c not in shifted], *[v.alias(c) for c, v in shifted.items()], "_run_width", "_run_height")
+
+
+def page_trace(parts: DataFrame, runs: DataFrame, sections: DataFrame, levels: int, split: bool | None = None) -> DataFrame:
+    """The wide trace table: ``page_map`` with the occurrence of the source, the size and the innermost section.
+
+    ``parts`` additionally carry ``occurrence`` (the n-th use of the path, null without one) and the ``width`` and
+    ``height`` of generated pages.  ``runs`` hold the sizes of sources (see ``page_runs``), ``sections`` the spans
+    (section, depth, first_page, last_page) of nested sections that are made of whole parts, ``levels`` deep at most.
+    Sizes and sections are found for compact spans; pages appear in the last step only.
+    """
+    from quire.operators.ranges import expand_spans, innermost_at
+
+    spans = _cut_by_size(_compact(parts), runs)
+    spans = innermost_at(spans, sections, PACKET, "_first", "first_page", "last_page", "depth", ["section"], levels, split)
+    pages = expand_spans(spans, "_first", "_last", "output_page", ["packet_id", "pos", "band"])
+    source = F.col("kind") == "source"
+    return pages.select(
+        "packet_id", "output_page", "pos", "band", "kind", "path", "occurrence",
+        (F.col("_src") + F.col("output_page") - F.col("_first")).alias("source_page"),
+        label_at(F.col("output_page"), F.col("first_page"), F.col("label_start")).alias("label"),
+        *[F.when(source, F.col(f"_run_{c}")).when(F.col("kind") != "padding", F.col(c)).alias(c) for c in ("width", "height")], "section",
+    )

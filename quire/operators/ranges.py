@@ -163,6 +163,29 @@ def lookup_at(
     return points.join(found, [*keys, point], "left")
 
 
+def innermost_at(
+    points: DataFrame, spans: DataFrame, keys: list[str], point: str, first: str, last: str, depth: str, fields: list[str],
+    levels: int, split: bool | None = None,
+) -> DataFrame:
+    """The deepest span open at each point, or nulls; spans of a group are nested, those of one ``depth`` (0 to
+    ``levels`` - 1) do not overlap.
+
+    One ordered sweep over points and span starts carries the last start of every level; the deepest of these that has
+    not ended covers the point.
+    """
+    if split is None:
+        split = exceeds_group_limit(spans, keys) or exceeds_group_limit(points, keys)
+    payload = F.struct(F.col(last).alias("_last"), *[F.col(f).alias(f) for f in fields])
+    starts = spans.select(*keys, F.col(first).alias("_at"), F.lit(0).alias("_side"), F.col(depth).alias("_level"), payload.alias("_span"))
+    asks = points.select(*keys, F.col(point).alias("_at")).distinct().withColumns({
+        "_side": F.lit(1), "_level": F.lit(None).cast(starts.schema["_level"].dataType), "_span": F.lit(None).cast(starts.schema["_span"].dataType)})
+    carried = [CarryLast(f"_open{d}", F.when(F.col("_level") == d, F.col("_span"))) for d in range(levels)]
+    merged = scan(starts.unionByName(asks), keys, ["_at", "_side", "_level"], carried, split).filter(F.col("_side") == 1)
+    hit = F.coalesce(*[F.when(F.col(f"_open{d}._last") >= F.col("_at"), F.col(f"_open{d}")) for d in reversed(range(levels))])
+    found = merged.select(*keys, F.col("_at").alias(point), hit.alias("_hit")).select(*keys, point, *[F.col(f"_hit.{f}").alias(f) for f in fields])
+    return points.join(found, [*keys, point], "left")
+
+
 def partition_gaps(parts: DataFrame, keys: list[str], order: list[str], split: bool | None = None) -> DataFrame:
     """Places where parts do not follow each other exactly: expected and actual first page."""
     looked = scan(parts, keys, order, [Previous("_prev", F.col("last_page"))], split)

@@ -13,6 +13,8 @@ every chunk of the order is summed up as the stack it leaves behind (see ``scan`
 from __future__ import annotations
 
 import itertools
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -220,16 +222,59 @@ def sections(nodes: DataFrame, split: bool | None = None, levels: int | None = N
     )
 
 
+class Reach(NamedTuple):
+    """Nodes that a walk along the edges reaches from the roots (roots included), and all others."""
+
+    reached: DataFrame
+    unreachable: DataFrame
+
+
+def reach(nodes: DataFrame, edges: DataFrame, roots: DataFrame, scope: tuple = ()) -> Reach:
+    """Split ``nodes`` by whether a walk along ``edges`` (src, dst) leads there from the ``roots``.
+
+    With a ``scope`` (such as ``packet_id``) nodes are known by it and their id, and so are roots and edges.  Edges from
+    or to unknown nodes lead nowhere.
+
+    In every phase the nodes next to what was reached last are entries, every other node points to one of its
+    predecessors, and pointers are doubled: a node whose pointers lead to an entry is reached.  So chains and trees of
+    any depth take a logarithm of it in rounds, in one phase; a further phase is needed only where the chosen predecessors led
+    astray, and chooses others.  What is reached is only ever appended, and what still moves shrinks from round to round.
+    """
+    key = [*scope, "node"]
+    known = durable(nodes.select(*key).distinct())
+    named = lambda frame, name: frame.select(*scope, F.col("node").alias(name))
+    delta = durable(roots.select(*key).distinct().join(known, key, "left_semi"))
+    reached = [delta]
+    rest = durable(known.join(delta, key, "left_anti"))
+    phase = 0
+    while True:
+        entries = edges.join(named(delta, "src"), [*scope, "src"], "left_semi").select(*scope, F.col("dst").alias("node")).distinct()
+        entries = durable(entries.join(rest, key, "left_semi"))
+        if entries.isEmpty():
+            return Reach(reduce(DataFrame.unionByName, reached), rest)
+        waiting = rest.join(entries, key, "left_anti")
+        between = edges.join(named(rest, "src"), [*scope, "src"], "left_semi").join(named(waiting, "dst"), [*scope, "dst"], "left_semi")
+        chosen = between.groupBy(*scope, F.col("dst").alias("node")).agg(F.min_by("src", F.xxhash64("src", F.lit(phase))).alias("to"))
+        moving, done = durable(chosen), [entries]
+        while not moving.isEmpty():
+            settled = reduce(DataFrame.unionByName, done).select(*scope, F.col("node").alias("to"), F.lit(True).alias("_hit"), F.lit(None).cast(chosen.schema["to"].dataType).alias("_far"))
+            ahead = settled.unionByName(moving.select(*scope, F.col("node").alias("to"), F.lit(False).alias("_hit"), F.col("to").alias("_far")))
+            jumped = durable(moving.join(ahead, [*scope, "to"]).select(*key, "_hit", "_far"))  # dead ends drop out
+            hits = jumped.filter("_hit").select(*key)
+            if hits.isEmpty():
+                break
+            done.append(hits)
+            moving = jumped.filter(~F.col("_hit")).select(*key, F.col("_far").alias("to"))
+        delta = durable(reduce(DataFrame.unionByName, done))
+        reached.append(delta)
+        rest = durable(rest.join(delta, key, "left_anti"))
+        phase += 1
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes that a walk along the edges reaches from the roots; both frames are by id only."""
-    seen = durable(roots.select("node").distinct())
-    frontier = seen
-    while True:
-        step = edges.join(frontier.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = durable(step.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = durable(seen.union(frontier))
+    nodes = edges.select(F.col("dst").alias("node")).union(edges.select("src")).union(roots.select("node"))
+    return reach(nodes, edges, roots).reached
 
 
 def follow_chains(links: DataFrame) -> DataFrame:
@@ -262,8 +307,18 @@ def follow_chains(links: DataFrame) -> DataFrame:
 def resolve_aliases(links: DataFrame, standard: DataFrame | None = None) -> DataFrame:
     """Follow alias links to the terminal name: (name, terminal, status).
 
-    Names that lead into a cycle have no terminal.  ``standard`` lists the admissible ends.
+    Names that lead into a cycle have no terminal.  ``standard`` lists the admissible ends.  With a ``packet_id`` in
+    ``links``, names are known by packet and name (a standard name without a packet holds for all of them).
     """
+    if "packet_id" in links.columns:
+        within = lambda c: F.struct("packet_id", F.col(c).alias("id"))
+        found = follow_chains(links.select(within("name").alias("name"), within("target").alias("target")))
+        flat = found.select("name.packet_id", F.col("name.id").alias("name"), F.col("terminal.id").alias("terminal"), "cyclic")
+        keys = ["packet_id", "terminal"] if standard is not None and "packet_id" in standard.columns else ["terminal"]
+        known = None if standard is None else standard.withColumnRenamed("name", "terminal").select(*keys, F.lit(True).alias("_known")).distinct()
+        joined = flat.withColumn("_known", F.lit(True)) if known is None else flat.join(known, keys, "left")
+        status = F.when(F.col("cyclic"), "cycle").when(F.col("_known").isNull(), "not_standard").otherwise("ok")
+        return joined.select("packet_id", "name", F.when(~F.col("cyclic"), F.col("terminal")).alias("terminal"), status.alias("status"))
     joined = follow_chains(links)
     cyclic = F.col("cyclic")
     if standard is None:

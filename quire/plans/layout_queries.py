@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import layout, ranges
+from quire.operators.scan import RunningSum, scan
 from quire.plans import fixtures as fx
 from quire.plans.registry import query, statement
 
@@ -377,6 +378,45 @@ def full_page_map(spark, sf_dir):
     return layout.page_map(labelled.select(*PART, "kind", "path", "ref", "pages", "ranges", "first_page", "last_page", "label_start"))
 
 
+TRACE_SECTIONS = """spans AS (
+  SELECT packet_id, 0 AS depth, 'a/' || (pos - 1) // 4 AS section, min(first_page) AS first_page, max(last_page) AS last_page FROM labelled WHERE band = 1 GROUP BY ALL
+  UNION ALL
+  SELECT packet_id, 1, 'b/' || (pos - 1) // 2, min(first_page), max(last_page) FROM labelled WHERE band = 1 AND (pos - 1) // 2 % 2 = 0 GROUP BY ALL)"""
+
+
+@query("page_trace", statement(CHOSEN_FX2, CHOSEN, fx.FX2_FOLD, LABELLED, RANGES, MERGED, SPANNED, fx.PART_PAGES, TRACE_SECTIONS, """uses AS (
+  SELECT packet_id, pos, row_number() OVER (PARTITION BY packet_id, path ORDER BY pos) AS occurrence FROM fx2 WHERE path IS NOT NULL),
+traced AS MATERIALIZED (
+  SELECT packet_id, pos, band, kind, unnest(range(first_page, last_page + 1)) AS page, NULL::BIGINT AS source_page, NULL::VARCHAR AS path FROM labelled WHERE kind <> 'source'
+  UNION ALL
+  SELECT l.packet_id, l.pos, l.band, l.kind, unnest(range(out_first, out_first + src_last - src_first + 1)), unnest(range(src_first, src_last + 1)), f.path
+  FROM labelled l JOIN spanned s ON s.packet_id = l.packet_id AND s.pos = l.pos AND l.kind = 'source' JOIN fx2 f ON f.packet_id = l.packet_id AND f.pos = l.pos),
+within AS MATERIALIZED (
+  SELECT t.packet_id, t.page, arg_max(section, depth) AS section FROM traced t JOIN spans s ON s.packet_id = t.packet_id AND page BETWEEN first_page AND last_page GROUP BY ALL)""", recursive=True, body="""
+SELECT t.packet_id, t.pos, t.band::BIGINT AS band, t.kind, occurrence, section, count(*) AS pages, sum(t.page)::BIGINT AS page_sum, sum(t.source_page * t.page)::BIGINT AS source_sum,
+       sum(CASE WHEN t.kind = 'source' THEN p.width WHEN t.kind = 'page' THEN f.width END) AS width_sum, sum(CASE WHEN t.kind = 'source' THEN p.height WHEN t.kind = 'page' THEN f.height END) AS height_sum
+FROM traced t LEFT JOIN uses u ON u.packet_id = t.packet_id AND u.pos = t.pos AND t.band = 1 LEFT JOIN part_pages p ON p.path = t.path AND p.page = t.source_page
+LEFT JOIN within w ON w.packet_id = t.packet_id AND w.page = t.page JOIN fx2 f ON f.packet_id = t.packet_id AND f.pos = t.pos GROUP BY ALL"""))
+def page_trace(spark, sf_dir):
+    """The wide trace table with two levels of sections, digested per part and section."""
+    parts, split = selected_parts(spark, sf_dir)
+    labelled = layout.label_pages(parts, split=split)
+    sizes = fx.part_pages(spark, sf_dir)
+    same = ranges.page_runs(sizes.select("path", "page", F.col("width").alias("source_w"), F.col("height").alias("source_h"), F.col("width").alias("output_w"), F.col("height").alias("output_h")), ["path"], False)
+    runs = same.select("path", "first", "last", F.col("source_w").alias("width"), F.col("source_h").alias("height"))
+    own = labelled.filter("band = 1").withColumn("_i", F.col("pos") - 1)
+    outer = own.select("packet_id", F.lit(0).alias("depth"), F.concat(F.lit("a/"), F.expr("cast(_i div 4 as string)")).alias("section"), "first_page", "last_page")
+    inner = own.filter("_i div 2 % 2 = 0").select("packet_id", F.lit(1).alias("depth"), F.concat(F.lit("b/"), F.expr("cast(_i div 2 as string)")).alias("section"), "first_page", "last_page")
+    spans = outer.unionByName(inner).groupBy("packet_id", "depth", "section").agg(F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"))
+    used = scan(labelled, ["packet_id", "path"], ["pos", "band"], [RunningSum("_use", F.when(F.col("kind") == "source", 1).otherwise(0))], split)
+    carried = used.withColumn("occurrence", F.when(F.col("kind") == "source", F.col("_use")).cast("bigint"))
+    columns = [*PART, "kind", "path", "pages", "ranges", "first_page", "last_page", "label_start", "occurrence", "width", "height"]
+    pages = layout.page_trace(carried.select(*columns), runs, spans, 2, split)
+    return pages.groupBy(*PART, "kind", "occurrence", "section").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("output_page").alias("page_sum"), F.sum(F.col("source_page") * F.col("output_page")).alias("source_sum"),
+        F.sum("width").alias("width_sum"), F.sum("height").alias("height_sum"))
+
+
 @query("part_at", statement(fx.FX2, fx.FX2_FOLD, recursive=True, body="""
 SELECT packet_id, pos, kind, first_page, last_page FROM parts WHERE first_page <= 10 AND last_page >= 10"""))
 def part_at(spark, sf_dir):

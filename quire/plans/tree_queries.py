@@ -264,8 +264,25 @@ def check_tree_counts(spark, sf_dir):
 SELECT node, node IN (SELECT node FROM walk) AS reached FROM fx8"""))
 def reachable(spark, sf_dir):
     nodes, edges, _ = fx.part_graph(spark, sf_dir)
-    reached = tree.reachable(edges, nodes.filter(F.col("node") == 0)).withColumn("reached", F.lit(True))
-    return nodes.select("node").join(reached, "node", "left").select("node", F.coalesce("reached", F.lit(False)).alias("reached"))
+    found = tree.reach(nodes, edges, nodes.filter(F.col("node") == 0))
+    return found.reached.withColumn("reached", F.lit(True)).unionByName(found.unreachable.withColumn("reached", F.lit(False)))
+
+
+@query("reach_packets", statement(fx.FX8, """walk(packet_id, node) AS (
+  SELECT p, r FROM (VALUES (0, 0::BIGINT), (1, 0), (1, 7)) t(p, r)
+  UNION
+  SELECT w.packet_id, f.node FROM walk w JOIN fx8 f ON (f.parent = w.node OR (f.node // 3 = w.node AND f.p_size % 4 = 0)) AND f.node <> w.node WHERE f.p_size > 5 + 10 * w.packet_id)""", recursive=True, body="""
+SELECT p::BIGINT AS packet_id, node, (p, node) IN (SELECT (packet_id, node) FROM walk) AS reached FROM fx8, (VALUES (0), (1)) t(p)"""))
+def reach_packets(spark, sf_dir):
+    """Two packets over the same part ids; nodes may have two predecessors, and few edges hold in the second packet."""
+    parts = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_size")
+    packets = parts.withColumn("packet_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))))
+    held = packets.filter(F.col("p_size") > 5 + 10 * F.col("packet_id"))
+    halves = held.select("packet_id", F.expr("node div 2").alias("src"), F.col("node").alias("dst"))
+    thirds = held.filter(F.col("p_size") % 4 == 0).select("packet_id", F.expr("node div 3").alias("src"), F.col("node").alias("dst"))
+    roots = spark.createDataFrame([(0, 0), (1, 0), (1, 7)], "packet_id bigint, node bigint")
+    found = tree.reach(packets, halves.unionByName(thirds).filter("src <> dst"), roots, ("packet_id",))
+    return found.reached.withColumn("reached", F.lit(True)).unionByName(found.unreachable.withColumn("reached", F.lit(False)))
 
 
 @query("resolve_aliases", statement(fx.FX8, """walk(name, spot, steps) AS (
