@@ -25,11 +25,12 @@ def item_rules() -> list[tuple[str, str, Column]]:
     col = F.col
     source, page, contents, group = (col("kind") == kind for kind in fixed.ITEM_KINDS)
     declared = col("title").isNotNull() | col("dir").isNotNull() | col("start_on").isNotNull() | col("numbering").isNotNull()
+    grouped = col("start_on").isNotNull() | col("dir").isNotNull() | F.coalesce(col("divider"), F.lit(False))  # what only groups have
     shape = (
         ~F.coalesce(col("kind").isin(fixed.ITEM_KINDS), F.lit(False))
-        | (source & (col("path").isNull() | col("count").isNotNull()))
-        | (page & (col("path").isNotNull() | col("ranges").isNotNull()))
-        | (contents & (col("path").isNotNull() | col("ranges").isNotNull() | col("count").isNotNull()))
+        | (source & (col("path").isNull() | col("count").isNotNull() | col("text").isNotNull() | col("title").isNotNull() | grouped))
+        | (page & (col("path").isNotNull() | col("ranges").isNotNull() | col("title").isNotNull() | grouped))
+        | (contents & (col("path").isNotNull() | col("ranges").isNotNull() | col("count").isNotNull() | col("text").isNotNull() | grouped))
         | (group & (col("path").isNotNull() | col("ranges").isNotNull() | col("count").isNotNull() | ~declared))
         | (col("divider") & col("title").isNull())
     )
@@ -38,6 +39,8 @@ def item_rules() -> list[tuple[str, str, Column]]:
     return [
         ("shape", "plan_item_shape", shape),
         ("path", "path_invalid", source & ((F.length("path") == 0) | F.contains(col("path"), F.lit("\x00")))),
+        ("dir", "path_invalid", group & F.contains(col("dir"), F.lit("\x00"))),
+        ("text", "plan_value", page & (F.contains(col("text"), F.lit("\x00")) | (F.length("text") > fixed.MAX_FIELD_CHARACTERS))),
         ("count", "plan_value", page & (col("count") < 1)),
         ("count_limit", "plan_limit", page & (col("count") > fixed.MAX_GENERATED_PAGES)),
         ("ranges", "plan_value", source & col("ranges").isNotNull() & ~ranges_ok(col("ranges"))),
@@ -51,6 +54,8 @@ def item_rules() -> list[tuple[str, str, Column]]:
 def packet_rules() -> list[tuple[str, str, Column]]:
     col = F.col
     texts = F.array("title", "author", "subject", "language")
+    fitted = col("fit_width").isNotNull() | col("fit_height").isNotNull() | col("fit_tolerance").isNotNull()
+    tolerated = F.coalesce(~F.isnan("fit_tolerance") & (col("fit_tolerance") >= 0) & (col("fit_tolerance") <= fixed.MAX_SIDE_POINTS), F.lit(True))
     kinds = col("number_kinds")
     bad_kinds = kinds.isNotNull() & (
         (F.size(F.array_except(kinds, F.array(*[F.lit(k) for k in fixed.NUMBERED_KINDS]))) > 0)
@@ -62,12 +67,25 @@ def packet_rules() -> list[tuple[str, str, Column]]:
         ("timestamp", "plan_value", (col("timestamp") < 0) | (col("timestamp") > fixed.MAX_TIMESTAMP)),
         ("structure", "plan_value", col("structure").isNotNull() & ~col("structure").isin(fixed.STRUCTURE_POLICIES)),
         ("number_mode", "plan_value", col("number_mode").isNotNull() & ~col("number_mode").isin(fixed.NUMBERING_MODES)),
-        ("number_start", "plan_value", col("number_start") < 1),
+        ("paths", "path_invalid", F.contains(col("output"), F.lit("\x00")) | F.contains(col("dir"), F.lit("\x00"))),
+        ("fitting", "plan_value", fitted & ~F.coalesce(side_ok(col("fit_width")) & side_ok(col("fit_height")) & tolerated, F.lit(False))),
+        ("number_start", "plan_value", col("number_start") < 1),  # a long has no start past the largest page
+        ("number_size", "plan_value", col("number_size").isNotNull() & ~F.coalesce(side_ok(col("number_size")), F.lit(False))),
+        ("number_margin", "plan_value", F.isnan("number_margin") | (col("number_margin") < 0) | (col("number_margin") > fixed.MAX_SIDE_POINTS)),
         ("number_kinds", "plan_value", bad_kinds),
         ("number_position", "plan_value", col("number_position").isNotNull() & ~col("number_position").isin(fixed.NUMBER_POSITIONS)),
     ]
 
 
+#: Columns that rules look at and that tables may lack: they are then absent from every row.
+OPTIONAL_ITEM = {"text": "string", "dir": "string", "start_on": "string", "numbering": "boolean", "divider": "boolean", "divider_text": "string"}
+OPTIONAL_PACKET = {"output": "string", "dir": "string", "fit_width": "double", "fit_height": "double", "fit_tolerance": "double", "number_size": "double", "number_margin": "double"}
+
+
+def _with_absent(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in df.columns})
+
+
 def admit_items(items: DataFrame, packets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Split items into accepted rows and findings: (ok, findings).
 
@@ -75,10 +93,10 @@ def admit_items(items: DataFrame, packets: DataFrame | None = None) -> tuple[Dat
     the contents rules: at most one contents item, and none without a titled group.
     Accepted items are those without a finding of their own.
     """
-    findings = _broken(items, item_rules(), ["packet_id", "ref"])
+    findings = _broken(_with_absent(items, OPTIONAL_ITEM), item_rules(), ["packet_id", "ref"])
     ok = items.join(findings.select("packet_id", "ref").distinct(), ["packet_id", "ref"], "left_anti")
     if packets is not None:
-        own = _broken(packets.withColumn("ref", F.lit(None).cast("string")), packet_rules(), ["packet_id", "ref"])
+        own = _broken(_with_absent(packets, OPTIONAL_PACKET).withColumn("ref", F.lit(None).cast("string")), packet_rules(), ["packet_id", "ref"])
         shelf = items.groupBy("packet_id").agg(
             F.count(F.when(F.col("kind") == "contents", 1)).alias("_contents"),
             F.count(F.when((F.col("kind") == "group") & F.col("title").isNotNull(), 1)).alias("_sections"),

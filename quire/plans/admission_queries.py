@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import limits
 from quire.functions.rules import language_ok, parse_tolerance
 from quire.operators import admission, names
 from quire.plans import fixtures as fx
@@ -103,6 +104,52 @@ def admit_items(spark, sf_dir):
     return findings
 
 
+SHAPES = """shaped AS MATERIALIZED (
+  SELECT packet_id, ref, l_partkey % 12 AS d, CASE WHEN kind = 'source' AND l_suppkey % 7 = 0 THEN 'group' WHEN kind = 'page' AND l_suppkey % 5 = 0 THEN 'contents' ELSE kind END AS k FROM fx2),
+faults AS (
+  SELECT packet_id, ref, CASE
+    WHEN k IN ('source', 'page') AND d IN (0, 1, 2, 3) OR k = 'source' AND d = 4 OR k = 'contents' AND d IN (1, 2, 3, 4) THEN ['plan_item_shape', 'shape']
+    WHEN k = 'page' AND d IN (5, 6) THEN ['plan_value', 'text'] WHEN k = 'group' AND d = 5 THEN ['path_invalid', 'dir'] END AS f FROM shaped)"""
+
+
+@query("admit_shapes", statement(fx.FX2, SHAPES, body="SELECT packet_id, ref, f[1] AS code, f[2] AS rule FROM faults WHERE f IS NOT NULL"))
+def admit_shapes(spark, sf_dir):
+    """Items that have what only other kinds have, directories with NUL, and page texts with NUL or of 10,001 characters."""
+    items, _ = fx.order_items(spark, sf_dir)
+    d = F.col("l_partkey") % 12
+    kind = F.when((F.col("kind") == "source") & (F.col("l_suppkey") % 7 == 0), "group").when((F.col("kind") == "page") & (F.col("l_suppkey") % 5 == 0), "contents").otherwise(F.col("kind"))
+    rows = items.select("packet_id", "ref", kind.alias("kind"), d.alias("d"), F.coalesce("path", F.lit("x")).alias("_path"))
+    page, group = F.col("kind") == "page", F.col("kind") == "group"
+    text = F.when(page, F.when(F.col("d") == 5, F.lit("a\x00b")).when(F.col("d") == 6, F.repeat(F.lit("é"), 10001)).when(F.col("d") == 7, F.repeat(F.lit("é"), 10000))).when(F.col("d") == 4, "text")
+    shaped = rows.select(
+        "packet_id", "ref", "kind", F.when(F.col("kind") == "source", F.col("_path")).alias("path"), F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("ranges"),
+        F.lit(None).cast("bigint").alias("count"), F.lit(None).cast("double").alias("width"), F.lit(None).cast("double").alias("height"),
+        F.when(group | (F.col("d") == 0), F.lit("Title")).alias("title"), F.when(F.col("d") == 1, "odd").alias("start_on"), (F.col("d") == 2).alias("divider"),
+        F.when(F.col("d") == 3, "sub").when(group & (F.col("d") == 5), F.lit("a\x00b")).alias("dir"), F.when(~group, text).alias("text"))
+    return admission.admit_items(shaped)[1]
+
+
+@query("admit_packets", """
+SELECT o_orderkey AS packet_id, code, rule FROM orders, (VALUES ('path_invalid', 'paths'), ('plan_value', 'fitting'), ('plan_value', 'number_start'), ('plan_value', 'number_size'), ('plan_value', 'number_margin')) r(code, rule)
+WHERE CASE rule WHEN 'paths' THEN o_orderkey % 11 IN (0, 1) WHEN 'fitting' THEN o_custkey % 13 IN (0, 1, 2, 4) WHEN 'number_start' THEN o_custkey % 7 = 0
+  WHEN 'number_size' THEN o_orderkey % 17 IN (0, 1) ELSE o_orderkey % 19 IN (0, 1) END""")
+def admit_packets(spark, sf_dir):
+    """Output paths with NUL, fitting policies out of bounds or with one side, numbering past the limits."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    none = lambda kind: F.lit(None).cast(kind)
+    packets = fx.table(spark, sf_dir, "orders").select(
+        key.alias("packet_id"), *[none("string").alias(c) for c in ("title", "author", "subject", "language")], none("bigint").alias("timestamp"), none("string").alias("structure"),
+        F.lit("physical").alias("number_mode"), none("array<string>").alias("number_kinds"), none("string").alias("number_position"),
+        F.when(key % 11 == 0, F.lit("out\x00.pdf")).otherwise("out.pdf").alias("output"), F.when(key % 11 == 1, F.lit("\x00")).alias("dir"),
+        F.when(customer % 13 == 0, 0.5).when(customer % 13 == 2, None).when(customer % 13 < 5, 595.0).alias("fit_width"), F.when(customer % 13 == 1, 14401.0).when(customer % 13 < 5, 842.0).alias("fit_height"),
+        F.when(customer % 13 == 4, -0.25).when(customer % 13 == 3, 0.0).alias("fit_tolerance"),
+        F.when(customer % 7 == 0, F.lit(0)).otherwise(F.lit(limits.MAX_PAGE_INDEX)).cast("bigint").alias("number_start"),
+        F.when(key % 17 == 0, 0.5).when(key % 17 == 1, F.lit(float("nan"))).when(key % 17 == 2, 14400.0).alias("number_size"),
+        F.when(key % 19 == 0, -1.0).when(key % 19 == 1, F.lit(float("nan"))).when(key % 19 == 2, 0.0).alias("number_margin"))
+    items = packets.select("packet_id", F.lit("i").alias("ref"), F.lit("page").alias("kind"), *[none(t).alias(c) for c, t in (("path", "string"), ("ranges", "array<struct<first:bigint,last:bigint>>"), ("count", "bigint"), ("title", "string"), ("width", "double"), ("height", "double"))])
+    return admission.admit_items(items, packets)[1].select("packet_id", "code", "rule")
+
+
 @query("accepted_items", statement(fx.FX2, AUTHORED, body="""
 SELECT packet_id, ref, kind FROM authored WHERE ref NOT IN (SELECT ref FROM broken)"""))
 def accepted_items(spark, sf_dir):
