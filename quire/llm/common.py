@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,33 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let go of what no variable holds any more: shuffle files are deleted once their frames are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def released() -> None:
+    """Give memory that a Python worker has freed back to the machine; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """``run`` (a function of batches), with ``released`` after the last batch."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return wrapped
+
+
 def binary_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a binary column and the n + 1 positions between its rows, without copies."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

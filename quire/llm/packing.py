@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quire.llm.common import slices, stored
+from quire.llm.common import slices, stored, tidied
 from quire.llm.tokens import Chunks, read_ranks
 
 #: Tokens by which lengths are told apart in the linear program.
@@ -65,7 +65,7 @@ def tokenise(documents: DataFrame, ranks_path: str, special: dict[str, int], end
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     wanted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
-    return stored(wanted.mapInArrow(run, PIECES), "tokens")
+    return stored(wanted.mapInArrow(tidied(run), PIECES), "tokens")
 
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

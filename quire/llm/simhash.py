@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounds, chained, components, in_blocks, slices, spanning, stored, union_find, whole_groups
+from quire.llm.common import bounds, chained, components, dropped, in_blocks, slices, spanning, stored, swept, tidied, union_find, whole_groups
 
 #: Seed of the shingle hash.
 SEED = 42
@@ -137,7 +137,7 @@ def described(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], id: str, t
                 yield pa.RecordBatch.from_arrays(columns, ["id", "fingerprint", "shingles", "n", "prefix", "map"])
 
     schema = "id long, fingerprint binary, shingles binary, n int, prefix array<bigint>, map binary"
-    return rows.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return rows.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text")).mapInArrow(tidied(run), schema)
 
 
 def segments(bits: int, m: int) -> list[tuple[int, int]]:
@@ -308,7 +308,7 @@ def crossing(sets: DataFrame, threshold: float) -> DataFrame:
     keyed = sets.select("id", "component", "n", F.posexplode("prefix").alias("place", "key"))
     met = in_blocks(keyed, ["key"], "id", differing="component").join(sets.select("id", "map"), "id")
     dealt = met.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "id")
-    return dealt.select("key", "_i", "_j", "_own", "id", "component", "n", "place", "map").mapInArrow(_crossing(threshold), "a long, b long").distinct()
+    return dealt.select("key", "_i", "_j", "_own", "id", "component", "n", "place", "map").mapInArrow(tidied(_crossing(threshold)), "a long, b long").distinct()
 
 
 def similar(links: DataFrame, rows: DataFrame, threshold: float, id: str, text: str, words: int) -> DataFrame:
@@ -327,10 +327,12 @@ def similar(links: DataFrame, rows: DataFrame, threshold: float, id: str, text:
     links = stored(links, "candidates")
     needed = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     texts = rows.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text")).join(needed, "id", "left_semi")
-    sets = stored(texts.dropDuplicates(["id"]).mapInArrow(hashed, "id long, set array<bigint>"), "shingles")
+    sets = stored(texts.dropDuplicates(["id"]).mapInArrow(tidied(hashed), "id long, set array<bigint>"), "shingles")
     first = links.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     paired = first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").withColumn("_both", F.size(F.array_intersect("sa", "sb")))
-    return paired.where(F.col("_both") >= threshold * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b")
+    found = stored(paired.where(F.col("_both") >= threshold * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b"), "similar")
+    dropped(links, sets)
+    return found
 
 
 def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, tau: int = 4, m: int = 5, chain: int = 1, halves: bool = True, rings: int = 1, ring: int | None = None, similarity: float | None = None) -> DataFrame:
@@ -374,10 +376,17 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
     dealt = met.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "id")
     links = dealt.select("key", "_i", "_j", "_own", "id", "fingerprint").mapInArrow(_links(bits, ring or m, tau, similarity is not None), "a long, b long")
     if similarity is not None:
-        near = stored(similar(links.distinct(), rows, similarity, id, text, words), "near")
+        near = similar(links.distinct(), rows, similarity, id, text, words)
         known = classes.select("shingles", "id").join(components(near), "id", "left").select("shingles", "id", F.coalesce("component", "id").alias("component"))
         sets = stored(prints.join(known, ["shingles", "id"]).select("id", "component", "n", "prefix", "map"), "sets")
-        links = near.union(similar(crossing(sets, similarity), rows, similarity, id, text, words))
+        more = similar(crossing(sets, similarity), rows, similarity, id, text, words)
+        dropped(sets)
+        links = near.union(more)
     reached = components(links)
     named = classes.join(reached, "id", "left").select(same, F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, same, "left").select(F.col("id").alias(id), "fingerprint", "component_id")
+    found = prints.join(named, same, "left").select(F.col("id").alias(id), "fingerprint", "component_id")
+    if similarity is not None:  # the sets are large: nothing but the result is kept
+        found = stored(found, "duplicates")
+        dropped(prints, classes, near, more)
+        swept(spark)
+    return found

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary_rows, bounds, slices, stored, whole_groups
+from quire.llm.common import binary_rows, bounds, slices, stored, tidied, whole_groups
 
 #: Bytes of a gram; a window of ``size`` bytes holds ``size - GRAM + 1`` of them.
 GRAM = 20
@@ -410,7 +410,7 @@ def _frequent(answered: DataFrame, hot_from: int) -> np.ndarray:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<u4").astype(np.int64)), pa.array(np.frombuffer(counts, "<i8"))], ["key", "n"])
 
-    found = answered.where("_id IS NULL").select("keys", "counts").mapInArrow(unpack, "key long, n long")
+    found = answered.where("_id IS NULL").select("keys", "counts").mapInArrow(tidied(unpack), "key long, n long")
     limit = hot_from
     while len(rows := found.where(F.col("n") > limit).limit(MOST_HOT + 1).toPandas()) > MOST_HOT:
         limit *= 2
@@ -433,8 +433,8 @@ def repeated_spans(rows: DataFrame, id: str = "doc_id", text: str = "text", size
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // (16 << 20))
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
-    asked = docs.where(F.col("_id").isNotNull() & (F.length("_text") >= size)).select("_id", "_text").mapInArrow(_asks(size, buckets), "bucket long, keys binary, docs binary, runs binary, several binary")
-    answered = stored(asked.repartition(min(parts, 2 * buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_answers(hot), "_id long, keys binary, counts binary"), "minimizers")
+    asked = docs.where(F.col("_id").isNotNull() & (F.length("_text") >= size)).select("_id", "_text").mapInArrow(tidied(_asks(size, buckets)), "bucket long, keys binary, docs binary, runs binary, several binary")
+    answered = stored(asked.repartition(min(parts, 2 * buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_answers(hot)), "_id long, keys binary, counts binary"), "minimizers")
     keys = answered.where("_id IS NOT NULL").groupBy("_id").agg(F.collect_list("keys").alias("_keys")).withColumn("_same", F.lit(None).cast("array<bigint>"))
     # copies of a whole text need no strings: all but the first are covered from end to end
     prints = docs.where(F.col("_id").isNotNull() & (F.length("_text") >= size)).select("_id", "_h", F.xxhash64(F.lit(1), "_text").alias("_h2"), F.length("_text").alias("_n"))
@@ -445,9 +445,9 @@ def repeated_spans(rows: DataFrame, id: str = "doc_id", text: str = "text", size
     marked = docs.join(known, "_id", "left").select("_id", "_h", "_keys", F.array_contains("_same", F.col("_h")).alias("_copy"), "_text")
     marked = marked.withColumn("_text", F.when(F.col("_keys").isNotNull() | F.col("_copy"), F.col("_text")))
     packs = max(parts, total // (4 << 20))
-    strings = marked.mapInArrow(_strings(size, _frequent(answered, hot), packs), "bucket long, _id long, _h long, strings binary, spans binary")
-    decided = strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_decide(size), "_id long, _h long, spans binary")
+    strings = marked.mapInArrow(tidied(_strings(size, _frequent(answered, hot), packs)), "bucket long, _id long, _h long, strings binary, spans binary")
+    decided = strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_decide(size)), "_id long, _h long, spans binary")
     spans = decided.groupBy("_id").agg(F.collect_list(F.struct("_h", "spans")).alias("_spans"))
     joined = docs.join(spans, "_id", "left").select("_id", "_h", "_text", "_spans")
-    cut = joined.mapInArrow(_cut(characters), "_id long, _text binary, spans array<struct<first: int, last: int>>, kept binary")
+    cut = joined.mapInArrow(tidied(_cut(characters)), "_id long, _text binary, spans array<struct<first: int, last: int>>, kept binary")
     return cut.select(F.col("_id").alias(id), F.col("_text").alias(text), "spans", "kept")
