@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from quire.llm import langid
@@ -42,3 +44,33 @@ def test_nothing_or_one_language_learned(spark):
 def test_the_model_is_the_same_each_time(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert np.array_equal(langid.fit(docs).weights, langid.fit(docs.repartition(5)).weights)
+
+
+def scored(model, text):
+    """Language and score of one text, gram by gram and bit by bit."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    folded = [b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode()]
+    sums, used = [0.0] * model.code.shape[1], 0
+    for x, y, z in zip(folded, folded[1:], folded[2:]):
+        if y == 32 and 32 in (x, z):
+            continue
+        place = (x << 16 | y << 8 | z) * 2654435761 % 2**32 >> 18
+        used += 1
+        for bit in range(len(sums)):
+            sums[bit] += float(model.weights[place, bit])
+    outputs = [s / max(used, 1) + float(b) for s, b in zip(sums, model.bias)]
+    losses = [sum(float(t) * math.log1p(math.exp(-4 * min(8, max(-8, o * c)))) for o, c, t in zip(outputs, word, model.trust)) for word in model.code]
+    near = [math.exp(-4 * (loss - min(losses))) for loss in losses]
+    best = max(range(len(near)), key=lambda k: near[k])
+    return model.languages[best], near[best] / sum(near)
+
+
+def test_whole_texts_score_as_by_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r["text"] for r in docs.limit(60).collect()] + [None, "", "12 ..", "a", "ab", "Été!", "  x  y ", "ß" * 50, "MIXED und the le\nque"]
+    found = langid.identify(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), model).collect()
+    for r in found:
+        lang, score = scored(model, texts[r["k"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4, texts[r["k"]]
