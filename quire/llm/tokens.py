@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import sys
 from array import array
 
@@ -25,12 +26,17 @@ def little_endian(ids: list[int]) -> bytes:
     return found.tobytes()
 
 
+#: A space with white space before and after it (or the end): the pattern takes it together with its neighbours.
+#: Judged by single bytes of UTF-8, so some harmless spaces are found as well; their texts are encoded as a whole.
+INNER_SPACE = re.compile(rb" (?<=[\t-\r\x1c-\x20\x80-\x8a\x9f\xa0\xa8\xa9\xaf] )(?:[\t-\r\x1c-\x20\xc2\xe1-\xe3]|\Z)")
+
+
 class Chunks(dict):
     """Ids, as little-endian unsigned 32-bit bytes, of a chunk after a space.
 
-    The pattern of the tokenizers starts a new match at every single space between characters that are not
-    spaces, so the chunks of a text at its single spaces can be encoded one by one. A text with two spaces in a
-    row is encoded as a whole.
+    The pattern of the tokenizers starts a new match at every single space, unless other white space stands before and
+    after it, so the chunks of a text at its single spaces can be encoded one by one. A text with two spaces in a row,
+    or with a space inside other white space, is encoded as a whole.
     """
 
     def __init__(self, encode):
@@ -50,7 +56,7 @@ class Chunks(dict):
 
     def of(self, text: bytes) -> bytes:
         """Ids of a whole text."""
-        if b"  " in text:
+        if b"  " in text or INNER_SPACE.search(text):
             return self.ids(text)
         first, *rest = text.split(b" ")
         return self.ids(first) + b"".join(map(self.__getitem__, rest))

@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -55,3 +56,11 @@ def test_the_query_digests(spark, library):
         ids = library.encode_ordinary(texts[r["doc_id"]])
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_mixed_white_space(codec, library):
+    rng = np.random.default_rng(5)
+    signs = [" ", " ", "\xa0", "\n", "\r", "\t", "\u2003", "\u3000", "\x85", "\x1c", "a", "\u00e9", "\u201c", "b1", "!"]
+    for _ in range(5000):
+        text = "".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(1, 14)))
+        assert codec.encode(text.encode()).tolist() == library.encode_ordinary(text), repr(text)

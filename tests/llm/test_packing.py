@@ -69,3 +69,14 @@ def test_the_query_wastes_little(spark):
     ids = [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 1]
     part = np.array(ids[one["start"] : one["start"] + one["length"]], "<u4")
     assert zlib.crc32(part.tobytes()) == one["ids_crc32"] and len(ids) == one["doc_tokens"]
+
+
+def test_mixed_white_space_gets_the_ids_of_the_tokenizer(spark):
+    rng = np.random.default_rng(4)
+    signs = [" ", " ", "\xa0", "\n", "\t", "\u2003", "\u3000", "\x85", "\x1c", "a", "\u00e9", "\u201c", "b1", "!"]
+    texts = [" \xa0 \xa0", "\xa0 ", " \n", "a \n b", "x\xa0 y"] + ["".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(1, 14))) for _ in range(3000)]
+    found = packing.tokenise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, SPECIAL, END_ID).collect()
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(found) == len(texts)
+    for r in found:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*reference.encode(texts[r["doc_id"]], add_special_tokens=False).ids, END_ID], repr(texts[r["doc_id"]])
