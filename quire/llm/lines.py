@@ -38,7 +38,7 @@ def line_key(line: str):
 def drop_boilerplate(pages: DataFrame, id: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``pages`` with the boilerplate lines of their site removed from ``text``, and ``n_dropped``, how many went.
 
-    All rows and columns stay. A null text stays null; a page without a host belongs to no site and keeps all its
+    All rows and columns stay, whatever their names (an ``n_dropped`` is replaced). A null text stays null; a page without a host belongs to no site and keeps all its
     lines, as does a page none of whose lines are boilerplate. A page that consists of boilerplate alone gets an
     empty text. Repeated rows count as pages of their own. The boilerplate of a host is one array, bounded by the
     lines of an average page divided by the ratio; few lines are broadcast, more are joined by host.
@@ -47,9 +47,13 @@ def drop_boilerplate(pages: DataFrame, id: str = "doc_id", host: str = "source",
     per_host = lines.groupBy("_host").agg(F.collect_set("_line").alias("_drop"))
     if lines.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         per_host = F.broadcast(per_host)
-    split = F.split(text, "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains("_drop", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
-    joined = pages.drop("n_dropped").join(per_host, F.col(host) == F.col("_host"), "left").withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    less = F.coalesce(F.size(split) - F.size("_kept"), F.lit(0))
-    changed = joined.withColumn("n_dropped", F.when(F.col("_kept").isNull(), 0).otherwise(less).cast("long"))
-    return changed.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))).drop("_host", "_drop", "_kept")
+    kept = F.filter("_split", lambda x: ~F.array_contains("_drop", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
+    # the page's own columns are nested, so they may have any names
+    names = [c for c in pages.columns if c != "n_dropped"]
+    nested = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_page"), F.split(text, "\n").alias("_split"))
+    joined = nested.join(per_host, F.col("_page").getField(host) == F.col("_host"), "left").withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
+    less = F.coalesce(F.size("_split") - F.size("_kept"), F.lit(0))
+    changed = joined.withColumn("_n", F.when(F.col("_kept").isNull(), 0).otherwise(less).cast("long"))
+    field = lambda c: F.col("_page").getField(c)
+    less_text = F.when(F.col("_n") > 0, F.array_join("_kept", "\n")).otherwise(field(text))
+    return changed.select(*[(less_text if c == text else field(c)).alias(c) for c in names], F.col("_n").alias("n_dropped"))
