@@ -154,7 +154,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op10_warc", f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT *, strlen(html) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
   CASE WHEN n >= {warc.LEAST_SHARED} AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,

@@ -92,12 +92,17 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http), payload
 
 
+def index_key(url_key: str, page: int | None) -> tuple[str, bool, int]:
+    """Place of a capture in the index; those without an id come first under their url key."""
+    return url_key, page is not None, page or 0
+
+
 def write(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> Archive:
     """Write a record per row of ``pages`` and index the captures.
 
     Of rows with equal payloads of at least 100 bytes, the one with the smallest id is a response and the others revisit
-    it; all other rows are responses. A null payload is empty. A row without id is a response that no lookup by
-    id finds; rows that share an id and a payload are alike. Only ids and digests are shuffled to find equals.
+    it; all other rows are responses. A null payload is empty. A row without id is a response, found by its
+    url; rows that share an id and a payload are alike. Only ids and digests are shuffled to find equals.
     """
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
@@ -142,8 +147,8 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _index(spark: SparkSession, folder: str, captures: DataFrame) -> list[tuple[str, int, str]]:
     """Write the blocks and directories of all shards; their first keys are few enough to return."""
     parts = min(MOST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = captures.where("page_id IS NOT NULL").repartitionByRange(parts, "surt", "page_id").sortWithinPartitions("surt", "page_id", "file", "offset")
-    schema = "surt string, page_id long, file string"
+    ordered = captures.repartitionByRange(parts, "surt", "page_id").sortWithinPartitions("surt", "page_id", "file", "offset")
+    schema = "surt string, page_id long, file string"  # the key of a shard's first line, and its name
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _open(folder)
@@ -154,13 +159,13 @@ def _index(spark: SparkSession, folder: str, captures: DataFrame) -> list[tuple[
             out = out or system.open_output_stream(f"{path}/{name}.cdxj.gz", compression=None)
             data = zlib.compress("\n".join(json.dumps(x) for x in waiting).encode())
             out.write(data)
-            directory.append((waiting[0][0], waiting[0][1], at, len(data)))
+            directory.append((waiting[0][0], waiting[0][1], waiting[0][2], at, len(data)))
             at += len(data)
             waiting.clear()
 
         for batch in batches:
             for row in batch.to_pylist():
-                waiting.append((row["surt"], row["page_id"], {"file": row["file"], "offset": row["offset"], "length": row["length"], "type": row["record_type"], "digest": row["payload_digest"]}))
+                waiting.append((*index_key(row["surt"], row["page_id"]), {"file": row["file"], "offset": row["offset"], "length": row["length"], "type": row["record_type"], "digest": row["payload_digest"]}))
                 if len(waiting) == BLOCK_LINES:
                     block()
         if waiting:
@@ -169,9 +174,9 @@ def _index(spark: SparkSession, folder: str, captures: DataFrame) -> list[tuple[
             out.close()
             with system.open_output_stream(f"{path}/{name}.directory", compression=None) as file:
                 file.write("\n".join(map(json.dumps, directory)).encode())
-            yield _batch([(*directory[0][:2], name)], schema)
+            yield _batch([(directory[0][0], directory[0][2] if directory[0][1] else None, name)], schema)
 
-    return sorted(map(tuple, stored(ordered.mapInArrow(shard, schema), "shards").collect()))
+    return sorted(map(tuple, stored(ordered.mapInArrow(shard, schema), "shards").collect()), key=lambda r: index_key(*r[:2]))
 
 
 def lookup(archive: Archive, wanted: DataFrame, id: str = "page_id", url: str = "url") -> DataFrame:
@@ -179,14 +184,14 @@ def lookup(archive: Archive, wanted: DataFrame, id: str = "page_id", url: str =
 
     Wanted rows are dealt to the shards by their keys, and each task reads the directories and blocks it needs.
     """
-    firsts, names, folder = [(s, p) for s, p, _ in archive.shards], [n for _, _, n in archive.shards], archive.folder
+    firsts, names, folder = [index_key(s, p) for s, p, _ in archive.shards], [n for _, _, n in archive.shards], archive.folder
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [(surt(u), i) for u, i in zip(batch.column("url").to_pylist(), batch.column("page_id").to_pylist(), strict=True)]
-            found = [(max(0, bisect_right(firsts, k) - 1), *k) for k in keys]
+            found = [(max(0, bisect_right(firsts, index_key(*k)) - 1), *k) for k in keys]
             # equal keys may run over into the next shards
-            more = [(s, *k) for (at, *k) in found for s in range(at - 1, -1, -1) if s >= bisect_left(firsts, tuple(k)) - 1]
+            more = [(s, *k) for (at, *k) in found for s in range(at - 1, -1, -1) if s >= bisect_left(firsts, index_key(*k)) - 1]
             yield _batch([*found, *more] if firsts else [], "shard int, surt string, page_id long")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +207,22 @@ def lookup(archive: Archive, wanted: DataFrame, id: str = "page_id", url: str =
                     with system.open_input_stream(f"{path}/{name}.directory", compression=None) as stream:
                         directory = [tuple(json.loads(x)) for x in stream.read().decode().split("\n")]
                     file, current, number = system.open_input_file(f"{path}/{name}.cdxj.gz"), shard_number, -1
-                k = max(0, bisect_left(directory, (key, page)) - 1)
-                while k < len(directory) and directory[k][:2] <= (key, page):
+                wanted_key = index_key(key, page)
+                k = max(0, bisect_left(directory, wanted_key) - 1)
+                while k < len(directory) and directory[k][:3] <= wanted_key:
                     if k != number:
-                        lines, number = [json.loads(x) for x in zlib.decompress(file.read_at(directory[k][3], directory[k][2])).decode().split("\n")], k
-                    for place in range(bisect_left(lines, [key, page], key=lambda x: x[:2]), len(lines)):
-                        if lines[place][:2] != [key, page]:
+                        lines, number = [json.loads(x) for x in zlib.decompress(file.read_at(directory[k][4], directory[k][3])).decode().split("\n")], k
+                    for place in range(bisect_left(lines, list(wanted_key), key=lambda x: x[:3]), len(lines)):
+                        if lines[place][:3] != list(wanted_key):
                             break
-                        c = lines[place][2]
+                        c = lines[place][3]
                         found.append((key, page, c["file"], c["offset"], c["length"], c["type"], c["digest"]))
                     k += 1
             yield _batch(found, CAPTURE)
         if file:
             file.close()
 
-    asked = wanted.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url")).distinct()
+    asked = wanted.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url")).distinct()
     dealt = asked.mapInArrow(deal, "shard int, surt string, page_id long")
     return dealt.repartition("shard").sortWithinPartitions("shard", "surt", "page_id").mapInArrow(search, CAPTURE)
 
