@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators.scan import with_positions
+from quire.operators.scan import durable
 
 
 def two_way_index(owners: DataFrame, index: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -190,21 +190,31 @@ def tag_number(text: Column, letters: int = 6) -> Column:
     return F.when(text.rlike(f"^[A-Z]{{{letters}}}$"), total)
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Number all rows 1, 2, ... in a unique ``order``, without a group that holds them all.
+
+    Rows are sorted by range; the driver sees the row count of every range only.  The written table pins the ranges.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stamped = durable(ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    counts = stamped.groupBy("_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows")).orderBy("_part").collect()
+    starts, before = [], 0
+    for r in counts:
+        starts.append((r["_part"], before - r["_first"] + 1))
+        before += r["_rows"]
+    shifts = df.sparkSession.createDataFrame(starts, "_part int, _shift bigint")
+    return stamped.join(F.broadcast(shifts), "_part").select(*df.columns, (F.col("_row") + F.col("_shift")).alias(out))
+
+
 def assign_tags(wanted: DataFrame, reserved: DataFrame) -> DataFrame:
     """Sorted identities take the next free tags, skipping reserved ones.
 
     The i-th free number is i plus the reserved numbers before it.  A reserved number r with
-    j reserved ones below it lies before free number i exactly when r - j <= i, so the shift
-    is found by merging both ordered lists instead of by trying tags one after another.
+    j reserved ones below it lies before free number i exactly when r - j <= i, so both ordered lists are
+    merged, and the place of an identity in the merged list, counted from 0, is its number.
     """
-    from quire.operators.scan import RunningSum, scan
-
     taken = reserved.select(tag_number(F.col("tag")).alias("number")).filter("number is not null").distinct()
-    one = F.lit(1).alias("_all")
-    ranked = with_positions(taken.select("number", one), ["_all"], ["number"], "j")
-    marks = ranked.select("_all", (F.col("number") - F.col("j") + 1).alias("at"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("identity"))
-    placed = with_positions(wanted.select("identity", one).distinct(), ["_all"], ["identity"], "i")
-    asks = placed.select("_all", (F.col("i") - 1).alias("at"), F.lit(1).alias("side"), "identity")
-    merged = with_positions(marks.unionByName(asks), ["_all"], ["at", "side", "identity"], "line")
-    counted = scan(merged, ["_all"], ["line"], [RunningSum("_before", F.when(F.col("side") == 0, 1).otherwise(0))])
-    return counted.filter("side = 1").select("identity", tag_text(F.col("at") + F.col("_before")).alias("tag"))
+    marks = numbered(taken, ["number"], "j").select((F.col("number") - F.col("j") + 1).alias("at"), F.lit(0).alias("side"), F.col("number").cast("string").alias("identity"))
+    asks = numbered(wanted.select("identity").distinct(), ["identity"], "i").select((F.col("i") - 1).alias("at"), F.lit(1).alias("side"), "identity")
+    merged = numbered(marks.unionByName(asks), ["at", "side", "identity"], "line")
+    return merged.filter("side = 1").select("identity", tag_text(F.col("line") - 1).alias("tag"))

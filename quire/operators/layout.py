@@ -6,13 +6,19 @@ inserted before an item, 1 for the item itself).  ``split`` is passed through to
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.functions.limits import MAX_PAGE_INDEX, MAX_SIDE_POINTS, NUMBERED_KINDS, UNNUMBERED_LABEL
 from quire.operators.scan import (
-    CarryLast, GroupFirst, RunningSum, durable, exceeds_group_limit, group_limit, islands, large_groups,
-    scan, with_positions,
+    CarryLast, GroupFirst, RunningSum, durable, exceeds_group_limit, group_limit, islands,
+    scan,
 )
 
 PACKET = ["packet_id"]
@@ -228,72 +234,122 @@ def contents_rows(sections: DataFrame, labelled: DataFrame) -> DataFrame:
     )
 
 
-FOLD_ROWS = 2_000
+#: Rows of a packet that one transfer function sums up.
+FILL_ROWS = 4096
 
 
 def paginate_rows(rows: DataFrame, usable: int, gap: int) -> tuple[DataFrame, DataFrame]:
     """Fill pages with whole rows in order; a row too tall for an empty page is rejected.
 
-    Rows carry integral ``height``.  Packets of up to ``FOLD_ROWS`` rows are folded as one
-    array.  Larger ones are solved by pointer doubling: every row knows the row that would
-    start the next page, and the page starts are what row 1 reaches.  Returns (placed, rejected).
+    Rows carry integral ``height``.  They are sorted by range and filled in one pass: a packet inside a range is
+    settled there.  One that goes on elsewhere is cut into chunks with a transfer function each: by how full the page is at its
+    first row, the pages a chunk opens and how full it leaves the last one.  Only these functions are followed along the packet,
+    and then every chunk is filled from its known start.  Returns (placed, rejected).
     """
     rejected = rows.filter(F.col("height") > usable)
     whole = rows.join(rejected.select("packet_id").distinct(), "packet_id", "left_anti")
-    large = durable(large_groups(whole, PACKET, min(FOLD_ROWS, group_limit(rows.sparkSession))))
-    if large.isEmpty():
-        return _paginate_by_fold(whole, usable, gap), rejected
-    small = _paginate_by_fold(whole.join(large, "packet_id", "left_anti"), usable, gap)
-    return small.unionByName(_paginate_by_doubling(whole.join(large, "packet_id", "left_semi"), usable, gap)), rejected
-
-
-def _paginate_by_fold(whole: DataFrame, usable: int, gap: int) -> DataFrame:
-    heights = whole.groupBy("packet_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.col("height").cast("bigint").alias("height")))).alias("rows")
-    )
-    state = F.struct(
-        F.lit(0).cast("bigint").alias("page"), F.lit(0).cast("bigint").alias("used"),
-        F.array().cast("array<bigint>").alias("pages"),
-    )
-
-    def place(acc, row):
-        fits = (acc["page"] > 0) & (acc["used"] + row["height"] <= usable)
-        page = F.when(fits, acc["page"]).otherwise(acc["page"] + 1)
-        used = F.when(fits, acc["used"]).otherwise(F.lit(0)) + row["height"] + gap
-        return F.struct(page.alias("page"), used.alias("used"), F.concat(acc["pages"], F.array(page)).alias("pages"))
-
-    folded = heights.select("packet_id", F.arrays_zip("rows", F.aggregate("rows", state, place)["pages"].alias("page")).alias("r"))
-    flat = folded.select("packet_id", F.explode("r").alias("r"))
-    return flat.select("packet_id", F.col("r.rows.pos").alias("pos"), F.col("r.rows.height").alias("height"), F.col("r.page").alias("page"))
-
-
-def _paginate_by_doubling(rows: DataFrame, usable: int, gap: int) -> DataFrame:
-    """Page starts of packets too large for one task, in log2(pages) joins."""
-    dense = with_positions(rows, PACKET, ["pos"], "n", True)
-    summed = scan(dense, PACKET, ["n"], [RunningSum("top", F.col("height") + gap, inclusive=False)], True)
-    # Row m still fits on the page opened by row n iff top(m) + height(m) - top(n) <= usable,
-    # so the next start is the first row whose bottom edge passes top(n) + usable.
-    edges = durable(summed.select("packet_id", "pos", "n", "height", "top", (F.col("top") + F.col("height")).alias("bottom")))
-    asks = edges.select("packet_id", "n", (F.col("top") + usable).alias("edge"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("row"))
-    marks = edges.select("packet_id", "n", F.col("bottom").alias("edge"), F.lit(-1).alias("kind"), F.col("n").alias("row"))
-    # Count the bottoms at or below each edge: the answer is that count plus one.
-    line = with_positions(asks.unionByName(marks), PACKET, ["edge", "kind", "n"], "at", True)
-    counted = scan(line, PACKET, ["at"], [RunningSum("_fit", F.when(F.col("kind") == -1, 1).otherwise(0))], True)
-    jump = durable(counted.filter(F.col("kind") == 0).select("packet_id", F.col("n").alias("src"), (F.col("_fit") + 1).alias("dst")))
-    reached = durable(edges.filter(F.col("n") == 1).select("packet_id", "n"))
-    while True:
-        step = reached.join(jump, (reached.packet_id == jump.packet_id) & (reached.n == jump.src), "inner").select(
-            reached.packet_id, F.col("dst").alias("n")
-        )
-        grown = durable(reached.union(step).distinct())
-        if grown.count() == reached.count():
-            break
-        reached = grown
-        far = jump.select("packet_id", F.col("src").alias("dst"), F.col("dst").alias("far"))
-        jump = durable(jump.join(far, ["packet_id", "dst"], "left").select("packet_id", "src", F.coalesce("far", "dst").alias("dst")))
-    opened = edges.join(reached.withColumn("opens", F.lit(1)), ["packet_id", "n"], "left")
-    paged = scan(opened, PACKET, ["n"], [RunningSum("page", F.coalesce("opens", F.lit(0)))], True)
-    return paged.select("packet_id", "pos", F.col("height").cast("bigint").alias("height"), F.col("page").cast("bigint").alias("page"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("packet_id", "pos")}
+    most = min(FILL_ROWS, group_limit(rows.sparkSession))
+    ordered = whole.repartitionByRange("packet_id", "pos").sortWithinPartitions("packet_id", "pos")
+    light = ordered.select("packet_id", "pos", F.col("height").cast("bigint").alias("height"), F.monotonically_increasing_id().alias("_at"))
+    packed = f"packet_id {kinds['packet_id']}, chunk bigint, pos array<{kinds['pos']}>, height array<bigint>"
+    first = _arrow(f"{packed}, page array<bigint>, most array<bigint>, pages array<bigint>, used array<bigint>")
+    filled = durable(light.mapInArrow(lambda batches: _fill_range(batches, usable, gap, most, first[1]), first[0]))
+    steps = filled.filter(F.col("page").isNull()).select("packet_id", "chunk", "most", "pages", "used")
+    known = _arrow("chunk bigint, _page bigint, _used bigint")
+    starts = steps.repartition("packet_id").sortWithinPartitions("packet_id", "chunk").mapInArrow(lambda batches: _follow(batches, known[1]), known[0])
+    last = _arrow(f"packet_id {kinds['packet_id']}, pos array<{kinds['pos']}>, height array<bigint>, page array<bigint>")
+    rest = filled.filter(F.col("page").isNull()).select("packet_id", "chunk", "pos", "height").join(starts, "chunk")
+    rest = rest.mapInArrow(lambda batches: _fill_chunks(batches, usable, gap, last[1]), last[0])
+    done = filled.filter(F.col("page").isNotNull()).select("packet_id", "pos", "height", "page").unionByName(rest)
+    flat = done.select("packet_id", F.explode(F.arrays_zip("pos", "height", "page")).alias("r"))
+    return flat.select("packet_id", "r.pos", "r.height", "r.page"), rejected
+
+
+def _arrow(schema: str) -> tuple[StructType, pa.Schema]:
+    kind = StructType.fromDDL(schema)
+    return kind, to_arrow_schema(kind)
+
+
+def _fill(heights: list[int], usable: int, gap: int, page: int = 0, used: int = 0) -> list[int]:
+    """Page of every row, from a page filled up to ``used`` (page 0: none yet)."""
+    pages = []
+    for height in heights:
+        if not page or used + height > usable:
+            page, used = page + 1, 0
+        used += height + gap
+        pages.append(page)
+    return pages
+
+
+def _transfer(heights: list[int], usable: int, gap: int) -> dict:
+    """``most[k]``: how full the first page may be at most so that k rows still go there; with them, the ``pages`` opened
+    after it and how full the last one is (``used``; where no page is opened, what the rows add to the first)."""
+    n = len(heights)
+    tops = [0]
+    for height in heights:
+        tops.append(tops[-1] + height + gap)
+    opened, left, stop = [0] * (n + 1), [0] * (n + 1), n
+    for k in range(n - 1, -1, -1):  # a page that starts with row k ends before row ``stop``
+        while tops[stop - 1] + heights[stop - 1] - tops[k] > usable:
+            stop -= 1
+        opened[k], left[k] = (opened[stop] + 1, left[stop]) if stop < n else (1, tops[n] - tops[k])
+    most, k = [usable + gap], 0
+    while k < n and tops[k] + heights[k] <= usable:
+        most.append(usable - tops[k] - heights[k])
+        k += 1
+    return {"most": most, "pages": [opened[j] for j in range(len(most))], "used": [left[j] if j < n else tops[n] for j in range(len(most))]}
+
+
+def _fill_range(batches: Iterator[pa.RecordBatch], usable: int, gap: int, most: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Filled packets, and chunks with transfer functions of the first and last packet and of those over ``most`` rows."""
+    packet, opened, first, cut, rows, out = None, False, True, False, [], []
+
+    def piece(settled: bool) -> dict:
+        ats, positions, heights = zip(*rows)
+        facts = {"page": _fill(heights, usable, gap)} if settled else _transfer(heights, usable, gap)
+        return {"packet_id": packet, "chunk": ats[0], "pos": positions, "height": heights, **facts}
+
+    for batch in batches:
+        for own, *row in zip(*[batch.column(c).to_pylist() for c in ("packet_id", "_at", "pos", "height")]):
+            if opened and own != packet:
+                out.append(piece(not first and not cut))
+                first, cut, rows = False, False, []
+            elif len(rows) >= most:
+                out.append(piece(False))
+                cut, rows = True, []
+            packet, opened = own, True
+            rows.append(row)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+    if rows:
+        yield pa.RecordBatch.from_pylist([piece(False)], schema)
+
+
+def _follow(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Page and fill before every chunk, from the chunks' transfer functions in order."""
+    packet, page, used = None, 0, 0
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            if row["packet_id"] != packet:
+                packet, page, used = row["packet_id"], 0, 0
+            found.append({"chunk": row["chunk"], "_page": page, "_used": used})
+            # rows that still go to the open page; none is open before the first row
+            k = bisect_right(row["most"], -used, key=lambda m: -m) - 1 if page else 0
+            if row["pages"][k]:
+                page, used = page + row["pages"][k], row["used"][k]
+            else:
+                used += row["used"][k]
+        yield pa.RecordBatch.from_pylist(found, schema)
+
+
+def _fill_chunks(batches: Iterator[pa.RecordBatch], usable: int, gap: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            pages = _fill(row["height"], usable, gap, row["_page"], row["_used"])
+            yield pa.RecordBatch.from_pylist([{"packet_id": row["packet_id"], "pos": row["pos"], "height": row["height"], "page": pages}], schema)
 
 
 def _compact(parts: DataFrame) -> DataFrame:

@@ -269,8 +269,10 @@ def text_problem_runs(spark, sf_dir):
   SELECT page_id AS packet_id, 'output' AS role, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS path FROM pages WHERE page_id % 3 = 0
   UNION ALL SELECT page_id, 'report', upper(regexp_extract(url, '^([a-z]+://[^/]+)', 1)) FROM pages WHERE page_id % 3 = 1
   UNION ALL SELECT page_id, 'input', regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/' || page_id % 2 FROM pages WHERE page_id % 3 = 2
-  UNION ALL SELECT page_id, 'output', regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/' || page_id % 4 FROM pages WHERE page_id % 5 = 2),
-keyed AS (SELECT *, lower(path) AS key FROM roles),
+  UNION ALL SELECT page_id, 'output', regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/' || page_id % 4 FROM pages WHERE page_id % 5 = 2
+  UNION ALL SELECT page_id + 100000000, CASE page_id % 3 WHEN 0 THEN 'output' WHEN 1 THEN 'input' ELSE 'report' END, CASE WHEN page_id % 2 = 0 THEN upper(url) ELSE url END FROM pages
+  UNION ALL SELECT page_id + 200000000, 'output', url FROM pages WHERE page_id % 7 = 0),
+keyed AS (SELECT *, lower(regexp_replace(path, '/+$', '')) AS key FROM roles),
 grouped AS (
   SELECT key, count(*) FILTER (role <> 'input') AS writers, count(*) FILTER (role = 'input') AS readers,
          arg_min(packet_id || role || path, packet_id * 10 + CASE role WHEN 'output' THEN 1 ELSE 2 END) FILTER (role <> 'input') AS first_writer
@@ -280,7 +282,7 @@ SELECT packet_id, role, path, k.key, CASE WHEN role = 'output' AND readers > 0 T
 FROM keyed k JOIN grouped g ON g.key = k.key
 WHERE role <> 'input' AND (readers > 0 OR (writers > 1 AND packet_id || role || path <> first_writer))"""))
 def path_conflicts(spark, sf_dir):
-    """Hosts of the page urls as output, report and input paths in different spellings."""
+    """Hosts and whole urls of pages as output, report and input paths in different spellings."""
     pages = fx.table(spark, sf_dir, "pages")
     host, key = F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1), F.col("page_id")
     pick = lambda rows, role, path: rows.select(key.alias("packet_id"), F.lit(role).alias("role"), path.alias("path"))
@@ -289,4 +291,8 @@ def path_conflicts(spark, sf_dir):
         pick(pages.filter(key % 3 == 0), "output", host).unionByName(pick(pages.filter(key % 3 == 1), "report", F.upper(host)))
         .unionByName(pick(pages.filter(key % 3 == 2), "input", below(2))).unionByName(pick(pages.filter(key % 5 == 2), "output", below(4)))
     )
-    return names.path_conflicts(roles).drop("owner_path")
+    url, third = F.col("url"), key % 3
+    spelled = pages.select(
+        (key + 100000000).alias("packet_id"), F.when(third == 0, "output").when(third == 1, "input").otherwise("report").alias("role"), F.when(key % 2 == 0, F.upper(url)).otherwise(url).alias("path"))
+    again = pages.filter(key % 7 == 0).select((key + 200000000).alias("packet_id"), F.lit("output").alias("role"), url.alias("path"))
+    return names.path_conflicts(roles.unionByName(spelled).unionByName(again)).drop("owner_path")

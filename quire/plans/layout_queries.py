@@ -129,7 +129,7 @@ def page_totals_unknown(spark, sf_dir):
     return layout.page_totals(items.withColumn("pages", F.when(~unknown, F.col("pages"))))
 
 
-@query("inherit_sizes", statement(fx.FX2, fx.FX2_FOLD, """sized AS (
+SIZED = """sized AS (
   SELECT p.packet_id, p.pos, p.band, p.kind, i.width, i.height,
          CASE WHEN p.kind = 'source' THEN {'w': i.width, 'h': i.height} END AS src
   FROM parts p JOIN fx2 i USING (packet_id, pos)),
@@ -140,8 +140,10 @@ chosen AS (
                                first_value(src IGNORE NULLS) OVER (PARTITION BY packet_id ORDER BY pos, band ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) END AS size
   FROM sized),
 under AS (
-  SELECT *, last_value(size IGNORE NULLS) OVER (PARTITION BY packet_id ORDER BY pos, band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sheet FROM chosen)""",
-recursive=True, body="""
+  SELECT *, last_value(size IGNORE NULLS) OVER (PARTITION BY packet_id ORDER BY pos, band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sheet FROM chosen)"""
+
+
+@query("inherit_sizes", statement(fx.FX2, fx.FX2_FOLD, SIZED, recursive=True, body="""
 SELECT packet_id, pos, band::BIGINT AS band, kind, CASE WHEN kind = 'padding' THEN sheet ELSE size END.w AS size_w,
        CASE WHEN kind = 'padding' THEN sheet ELSE size END.h AS size_h FROM under"""))
 def inherit_sizes(spark, sf_dir):
@@ -178,14 +180,12 @@ def inherit_sizes_fitted(spark, sf_dir):
     return sized.select("packet_id", "pos", F.col("band").cast("bigint").alias("band"), "output_w", "output_h")
 
 
-@query("inherit_size_findings", statement(fx.FX2, body="""
-SELECT packet_id, pos, 'page_size_required' AS code FROM fx2
-WHERE kind = 'page' AND width IS NULL AND packet_id NOT IN (SELECT packet_id FROM fx2 WHERE kind = 'source')"""))
+@query("inherit_size_findings", statement(fx.FX2, fx.FX2_FOLD, SIZED, recursive=True, body="""
+SELECT packet_id, pos, band::BIGINT AS band, 'page_size_required' AS code FROM under WHERE CASE WHEN kind = 'padding' THEN sheet ELSE size END.w IS NULL"""))
 def inherit_size_findings(spark, sf_dir):
-    """Pages that inherit from nothing: their packet has no source at all."""
+    """Pages and blanks that inherit from nothing: no source and no sized sheet before them."""
     _, findings = layout.inherit_sizes(*sized_events(spark, sf_dir))
-    own = findings.filter(F.col("band") == 1)
-    return own.select("packet_id", "pos", "code")
+    return findings.select("packet_id", "pos", F.col("band").cast("bigint").alias("band"), "code")
 
 
 # --- ranges ---------------------------------------------------------------------------

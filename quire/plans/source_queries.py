@@ -431,14 +431,14 @@ def verify_links(spark, sf_dir):
 
 
 @query("canonical_digest", statement(fx.FX6, body="""
-SELECT seq, sha256('{"entries":[{"key":"items","value":"' || items[1] || items[2] || '"},{"key":"k","value":"' || regexp_extract(props, '([0-9]+)', 1) || '"}]}') AS digest FROM fx6"""))
+SELECT seq, sha256('{"entries":[{"key":"items","value":"' || items[1] || items[2] || '"},{"key":"k","value":"' || replace(replace(props, '\\', '\\\\'), '"', '\\"') || '"}]}') AS digest FROM fx6"""))
 def canonical_digest(spark, sf_dir):
     """Digest of a map built in an order that depends on the row; the digest must not."""
     events = fx.event_findings(spark, sf_dir)
-    number = F.regexp_extract(F.col("parameters")[0], "([0-9]+)", 1)
+    whole = F.col("parameters")[0]
     joined = F.array_join("items", "")
-    forth = F.create_map(F.lit("k"), number, F.lit("items"), joined)
-    back = F.create_map(F.lit("items"), joined, F.lit("k"), number)
+    forth = F.create_map(F.lit("k"), whole, F.lit("items"), joined)
+    back = F.create_map(F.lit("items"), joined, F.lit("k"), whole)
     rows = events.select("seq", F.when(F.col("seq") % 2 == 0, forth).otherwise(back).alias("entries"))
     return integrity.canonical_digest(rows, ["entries"]).select("seq", "digest")
 
