@@ -59,6 +59,28 @@ def manifest_rejects(spark, sf_dir):
     return rejects.select(F.when(F.length("packet_id") == 64, "unknown").otherwise(F.col("packet_id")).alias("packet_id"), "code")
 
 
+#: Last items of manifests, each with the code that refuses it (null: accepted).
+LAST_ITEMS = [
+    ('{"source":"x","pages":[[1,2],[4,4]]}', None), ('{"source":"x","pages":[[1,null]]}', "plan_null"), ('{"source":"x","pages":[[1,2,3]]}', "plan_type"),
+    ('{"source":"x","pages":[[1.0,2]]}', "plan_value"), ('{"source":"x","pages":[[1,2e0]]}', "plan_value"), ('{"source":"x","pages":[[1,9223372036854775808]]}', "plan_value"),
+    ('{"source":"x","pages":[[1,2],[2,3]]}', "plan_value"), ('{"source":"x","source":"y"}', "plan_duplicate_member"), ('{"page":{},"count":100001}', "plan_limit"),
+    ('{"page":{},"count":3.0}', "plan_value"), ('{"page":{"text":{"wrap":"anywhere"}}}', "plan_value"), ('{"page":{"text":{"wrap":true}}}', "plan_type"),
+    ('{"page":{"text":{"width":0}}}', "plan_value"), ('{"page":{"text":{"font":{}}}}', "plan_type"), ('{"title":"A","divider":{"text":{"value":"B"}},"items":[{"source":"x"}]}', "plan_value"),
+    ('{"source":""}', "path_invalid"), ('{"page":{"text":{"font":"default","x":"-5mm","color":"#abc"}}}', None), ('{"source":"x"}]} null [{', "plan_syntax"), ('{"contents":{}},{"contents":{}}', "plan_value"),
+]
+
+
+@query("manifest_faults", "SELECT doc_id::VARCHAR AS packet_id, c.code FROM documents JOIN (VALUES " + ", ".join(
+    f"({k}, {code!r})" for k, (_, code) in enumerate(LAST_ITEMS) if code) + f") c(k, code) ON doc_id % {len(LAST_ITEMS)} = c.k")
+def manifest_faults(spark, sf_dir):
+    """One manifest per document: a source for each thousand characters, then an item that may be faulty."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    last = F.element_at(F.array(*[F.lit(text) for text, _ in LAST_ITEMS]), (F.col("doc_id") % len(LAST_ITEMS) + 1).cast("int"))
+    sources = F.array_join(F.transform(F.sequence(F.lit(0), F.expr("n_chars div 1000").cast("int")), lambda i: F.concat(F.lit('{"source":"doc/'), i.cast("string"), F.lit('"},'))), "")
+    texts = docs.select(F.col("doc_id").cast("string").alias("packet_id"), F.concat(F.lit('{"version":8,"items":['), sources, last, F.lit("]}")).alias("manifest"))
+    return manifests.parse_manifests(texts).rejects.select("packet_id", "code")
+
+
 @query("scan_blobs", statement(body="""SELECT 'page/' || page_id AS path, strlen(html) AS bytes, sha256(html) AS digest, contains(html, '<title>') AS recognised,
   CASE WHEN contains(html, '<title>') THEN strlen(split_part(html, '<title>', 1)) END AS header_at FROM pages
 UNION ALL SELECT 'doc/' || doc_id, strlen(text), sha256(text), contains(text, '<title>'), CASE WHEN contains(text, '<title>') THEN strlen(split_part(text, '<title>', 1)) END FROM documents""").replace("WITH \n", ""))

@@ -7,30 +7,22 @@ to use for millions of packets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.limits import MANIFEST_VERSION, MAX_MANIFEST_BYTES, MAX_NESTING
+from quire.functions.limits import MAX_MANIFEST_BYTES, MAX_NESTING
 from quire.operators.scan import durable
+from quire.sources import manifest_rules as rules
 
-# Fixed member names of the manifest format, with the type each must have.
-ROOT_MEMBERS = {
-    "version": "BIGINT", "items": "ARRAY", "output": "STRING", "dir": "STRING", "page_defaults": "OBJECT", "fitting": "OBJECT",
-    "page_numbers": "OBJECT", "metadata": "OBJECT", "timestamp": "BIGINT", "structure": "STRING", "$schema": "STRING",
-}
-ITEM_MEMBERS = {
-    "source": "STRING", "pages": "ARRAY", "page": "OBJECT", "count": "BIGINT", "contents": "OBJECT", "items": "ARRAY",
-    "dir": "STRING", "title": "STRING", "start_on": "STRING", "numbering": "BOOLEAN", "divider": "OBJECT",
-}
-
-
-NESTED_MEMBERS = {
-    "page": ["size", "background", "text"], "divider": ["size", "background", "text"], "contents": ["title", "size"],
-    "page_defaults": ["size", "background", "text"], "fitting": ["target", "tolerance"], "metadata": ["title", "author", "subject", "language"],
-    "page_numbers": ["mode", "start", "kinds", "position", "size", "margin"],
-}
+#: A surrogate escape without its other half.
+LONE_SURROGATE = (
+    r"(?<!\\)(?:\\\\)*(?:\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F][0-9a-fA-F]{2})"
+    r"|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2})"
+)
 
 
 class Manifests(NamedTuple):
@@ -47,89 +39,74 @@ def _member(name: str) -> Column:
     return F.try_variant_get(F.col("node"), f"$['{name}']", "variant")
 
 
-def _shape_fault(members: dict[str, str]) -> Column:
-    """The first thing wrong with an object: not an object, unknown member, null, wrong type."""
-    keys = F.json_object_keys(F.to_json("node"))
-    schema = F.schema_of_variant(F.col("node"))
-    wrong = F.lit(False)
-    for name, kind in members.items():
-        value = _member(name)
-        wrong = wrong | (value.isNotNull() & ~F.schema_of_variant(value).startswith(kind))
-    unknown = F.size(F.array_except(keys, F.array(*[F.lit(m) for m in members]))) > 0
-    return (
-        F.when(~schema.startswith("OBJECT"), "plan_type")
-        .when(unknown, "plan_unknown_member")
-        .when(schema.rlike(": VOID"), "plan_null")
-        .when(F.coalesce(wrong, F.lit(False)), "plan_type")
-    )
-
-
-def _nested_fault(members: dict[str, str]) -> Column:
-    """An unknown or null member one level down."""
-    checks = []
-    for name in [n for n in members if n in NESTED_MEMBERS]:
-        keys = F.json_object_keys(F.to_json(_member(name)))
-        unknown = F.size(F.array_except(keys, F.array(*[F.lit(m) for m in NESTED_MEMBERS[name]]))) > 0
-        checks += [F.when(unknown, "plan_unknown_member"), F.when(F.schema_of_variant(_member(name)).rlike(": VOID"), "plan_null")]
-    return F.coalesce(*checks)
-
-
-def _item_fault() -> Column:
-    """Members that do not make one item, and page selections that are not pairs."""
-    has = lambda name: _member(name).isNotNull()
-    members = F.size(F.json_object_keys(F.to_json("node"))) - F.when(has("numbering"), 1).otherwise(0)
-    single = lambda name, extra: has(name) & ((members == 1) | (has(extra) & (members == 2)))
-    useful = has("numbering") | has("dir") | has("title") | has("start_on")
-    foreign = has("source") | has("pages") | has("page") | has("count") | has("contents")
-    group = has("items") & useful & (~has("divider") | has("title")) & ~foreign
-    pairs = _get("pages", "array<variant>")
-    kind = lambda v: F.schema_of_variant(v)
-    return F.coalesce(
-        F.when(F.size(pairs) == 0, "plan_value"),
-        F.when(F.exists(pairs, lambda v: ~kind(v).isin("ARRAY<BIGINT>", "ARRAY<VOID>")), "plan_type"),
-        F.when(F.exists(pairs, lambda v: F.coalesce(F.size(F.try_variant_get(v, "$", "array<bigint>")) != 2, F.lit(True))), "plan_value"),
-        F.when(F.coalesce(kind(_member("items")) == "ARRAY<VOID>", F.lit(False)), "plan_value"),
-        F.when(~(single("source", "pages") | single("page", "count") | (has("contents") & (members == 1)) | group), "plan_item_shape"),
-    )
+@contextmanager
+def _as_written(spark: SparkSession) -> Iterator[None]:
+    """Stored variants keep the kinds of their numbers: columns inferred from them would turn integers beside reals into reals."""
+    name = "spark.sql.variant.inferShreddingSchema"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def parse_manifests(texts: DataFrame) -> Manifests:
-    """``texts``: packet_id, manifest (JSON text).  Rejected packets keep no items."""
+    """``texts``: packet_id, manifest (JSON text).  Rejected packets keep no items.
+
+    Each text is parsed once, between brackets and before a second element, so that data after the object is a fault of
+    syntax. A text that only a lenient reader takes repeats a member. ``rejects`` has one row per refused packet: the
+    first fault of the root's members in their order, else that of the first faulty item in document order; inside
+    nested objects members are judged in a fixed order, as their own is not kept. Null texts are faults of syntax; repeated texts and ids are
+    packets of their own only as far as their ids differ.
+    """
     spark = texts.sparkSession
-    parsed = texts.select("packet_id", F.octet_length("manifest").alias("_bytes"), F.try_parse_json("manifest").alias("node"))
+    body = F.regexp_replace("manifest", "^\ufeff", "")
+    read = texts.select("packet_id", F.octet_length("manifest").alias("_bytes"), body.alias("_body")).withColumn(
+        "_both", F.try_parse_json(F.concat(F.lit("["), "_body", F.lit("\n,0]"))))
+    parsed = read.select(
+        "packet_id", "_bytes", "_body", F.try_variant_get("_both", "$[0]", "variant").alias("node"), F.size(F.try_variant_get("_both", "$", "array<variant>")).alias("_parts"),
+        F.json_object_keys("_body").alias("_written"))
+    lenient = F.from_json("_body", "map<string,string>", {"allowSingleQuotes": "false"})
+    twice = F.col("_parts").isNull() & F.col("_written").isNotNull() & lenient.isNotNull() & F.try_parse_json("_body").isNull()
+    sound = (F.col("_parts") == 2) & ~F.col("_body").rlike(LONE_SURROGATE)
     fault = (
         F.when(F.col("_bytes") > MAX_MANIFEST_BYTES, "plan_too_large")
-        .when(F.col("node").isNull(), "plan_syntax")
-        .otherwise(F.coalesce(
-            _shape_fault(ROOT_MEMBERS), _nested_fault(ROOT_MEMBERS),
-            F.when(F.coalesce(_get("version", "bigint") != MANIFEST_VERSION, F.lit(True)), "plan_version_unsupported"),
-            F.when(~F.coalesce(F.schema_of_variant(_member("items")).rlike("^ARRAY<(?!VOID)"), F.lit(False)), "plan_value"),
-        ))
-    )
-    roots = durable(parsed.withColumn("code", fault).drop("_bytes"))
-    rejects = roots.filter("code is not null").select("packet_id", F.lit("").alias("ref"), "code")
-    level = roots.filter("code is null").select(
-        "packet_id", F.lit(None).cast("string").alias("parent_ref"), F.lit("").alias("ref"), F.array().cast("array<bigint>").alias("ref_path"), "node"
+        .when(twice, "plan_duplicate_member")
+        .when(~F.coalesce(sound, F.lit(False)), "plan_syntax")
+        .otherwise(rules.root_fault(F.col("node"), F.coalesce("_written", F.array().cast("array<string>"))))
     )
-    levels = []
-    for depth in range(MAX_NESTING + 2):
-        children = level.withColumn("_items", _member("items")).filter(F.col("_items").isNotNull())
-        exploded = children.lateralJoin(spark.tvf.variant_explode(F.col("_items").outer()))
-        level = durable(
-            exploded.select(
+    with _as_written(spark):
+        roots = durable(parsed.select("packet_id", "node", fault.alias("code")))
+        refused = roots.filter("code is not null").select("packet_id", F.lit("").alias("ref"), "code")
+        level = roots.filter("code is null").select(
+            "packet_id", F.lit(None).cast("string").alias("parent_ref"), F.lit("").alias("ref"), F.array().cast("array<bigint>").alias("ref_path"), "node"
+        )
+        levels = []
+        for _ in range(MAX_NESTING + 2):
+            children = level.drop("pos").withColumn("_items", _member("items")).filter(F.col("_items").isNotNull())
+            exploded = children.lateralJoin(spark.tvf.variant_explode(F.col("_items").outer()))
+            level = durable(exploded.filter("pos is not null").select(
                 "packet_id", F.col("ref").alias("parent_ref"), F.concat("ref", F.lit("/items/"), F.col("pos").cast("string")).alias("ref"),
                 F.concat("ref_path", F.array(F.col("pos").cast("bigint"))).alias("ref_path"), F.col("pos").cast("bigint").alias("pos"),
                 F.col("value").alias("node"),
-            ).withColumn("code", F.when(F.lit(depth > MAX_NESTING), "plan_limit").otherwise(F.coalesce(_shape_fault(ITEM_MEMBERS), _nested_fault(ITEM_MEMBERS), _item_fault())))
-        )
-        if level.isEmpty():
-            break
-        levels.append(level)
-        rejects = rejects.unionByName(level.filter("code is not null").select("packet_id", "ref", "code"))
-        level = level.filter("code is null").drop("code", "pos")
-    rows = levels[0] if levels else level.withColumn("pos", F.lit(0).cast("bigint")).withColumn("code", F.lit(None).cast("string")).limit(0)
+            ))
+            levels.append(level)
+            if level.isEmpty():
+                break
+    rows = levels[0]
     for deeper in levels[1:]:
         rows = rows.unionByName(deeper)
+    too_deep = F.size("ref_path") > MAX_NESTING + 1
+    judged = durable(rows.select("packet_id", "ref", "ref_path", _member("contents").isNotNull().alias("contents"),
+                                 F.when(too_deep, "plan_limit").otherwise(rules.item_fault(F.col("node"))).alias("code")))
+    # a packet has at most one table of contents; the later ones are its faults
+    first = Window.partitionBy("packet_id").orderBy("ref_path")
+    again = judged.filter("contents and code is null").withColumn("_n", F.row_number().over(first)).filter("_n > 1")
+    faults = judged.filter("code is not null").select("packet_id", "ref_path", "ref", "code")
+    faults = faults.unionByName(again.select("packet_id", "ref_path", "ref", F.lit("plan_value").alias("code")))
+    earliest = faults.groupBy("packet_id").agg(F.min_by(F.struct("ref", "code"), "ref_path").alias("_f"))
+    rejects = refused.unionByName(earliest.select("packet_id", "_f.ref", "_f.code"))
     bad = rejects.select("packet_id").distinct()
     packets = roots.filter("code is null").select(
         "packet_id", _get("output", "string").alias("output"), _get("dir", "string").alias("dir"),
@@ -164,11 +141,12 @@ def scan_manifests(spark: SparkSession, path: str, layout: str = "files") -> Man
     if layout == "files":
         texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("packet_id"), F.col("value").alias("manifest"))
     elif layout == "lines":
-        lines = spark.read.text(path)
-        envelope = F.try_parse_json("value")
+        # the manifest's own text, with repeated members and spellings of numbers as written
+        envelope = F.from_json("value", "packet_id string, manifest string", {"allowSingleQuotes": "false"})
+        lines = spark.read.text(path).select("value", envelope.alias("_e"))
         texts = lines.select(
-            F.coalesce(F.try_variant_get(envelope, "$.packet_id", "string"), F.sha2(F.col("value").cast("binary"), 256)).alias("packet_id"),
-            F.to_json(F.try_variant_get(envelope, "$.manifest", "variant")).alias("manifest"),
+            F.coalesce("_e.packet_id", F.sha2(F.col("value").cast("binary"), 256)).alias("packet_id"),
+            F.col("_e.manifest").alias("manifest"),
         )
     else:
         raise ValueError("layout is files or lines")

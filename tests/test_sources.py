@@ -39,7 +39,7 @@ def test_manifest_files(spark, tmp_path):
     assert len(packet) == 1 and packet[0].number_kinds == [] and packet[0].timestamp == 5 and packet[0].structure == "preserve"
     codes = {r.packet_id.rsplit("/", 1)[1].removesuffix(".json"): r.code for r in got.rejects.collect()}
     assert codes == {
-        "syntax": "plan_syntax", "twice": "plan_syntax", "version": "plan_version_unsupported", "member": "plan_unknown_member", "null": "plan_null",
+        "syntax": "plan_syntax", "twice": "plan_duplicate_member", "version": "plan_version_unsupported", "member": "plan_unknown_member", "null": "plan_null",
         "type": "plan_type", "empty": "plan_value", "item": "plan_type", "list": "plan_type", "deep": "plan_unknown_member",
     }
 
