@@ -35,6 +35,7 @@ class Node(NamedTuple):
     vectors: np.ndarray  # of the leaf, or the children's pivots
     radii: np.ndarray | None
     children: list | None
+    rows: np.ndarray | None  # which row of the table each entry of a leaf is
 
 
 def _distances(a: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -46,25 +47,26 @@ def _central(vectors: np.ndarray) -> int:
     return int(_distances(vectors, vectors.mean(axis=0)).argmin())
 
 
-def _leaves(ids: np.ndarray, vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _leaves(places: np.ndarray, vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Halve by which of two distant vectors is nearer, until the halves fit a page; neighbours stay neighbours."""
-    if len(ids) <= PAGE:
-        return [(ids, vectors)]
+    if len(places) <= PAGE:
+        return [(places, vectors)]
     one = vectors[_distances(vectors, vectors[0]).argmax()]
     other = vectors[_distances(vectors, one).argmax()]
     order = np.argsort(_distances(vectors, one) - _distances(vectors, other), kind="stable")
-    half = len(ids) // 2
-    return [*_leaves(ids[order[:half]], vectors[order[:half]]), *_leaves(ids[order[half:]], vectors[order[half:]])]
+    half = len(places) // 2
+    return [*_leaves(places[order[:half]], vectors[order[:half]]), *_leaves(places[order[half:]], vectors[order[half:]])]
 
 
-def build(ids: np.ndarray, vectors: np.ndarray) -> Node:
-    """M-tree of at least one vector, loaded from the leaves up."""
+def build(ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> Node:
+    """M-tree of at least one vector, loaded from the leaves up. Rows that share an id are told apart by ``rows``."""
+    rows = ids if rows is None else rows
     level = []
-    for some_ids, some in _leaves(ids, vectors):
+    for places, some in _leaves(np.arange(len(ids)), vectors):
         pivot = some[_central(some)]
         d = _distances(some, pivot)
         order = np.argsort(d, kind="stable")
-        level.append((Node(pivot, float(d.max()), d[order], some_ids[order], some[order], None, None), some))
+        level.append((Node(pivot, float(d.max()), d[order], ids[places[order]], some[order], None, None, rows[places[order]]), some))
     while len(level) > 1:
         above = []
         for lo in range(0, len(level), FANOUT):
@@ -72,7 +74,7 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> Node:
             below = np.concatenate([v for _, v in group])
             pivots = np.stack([n.pivot for n, _ in group])
             pivot = pivots[_central(pivots)]
-            node = Node(pivot, float(_distances(below, pivot).max()), _distances(pivots, pivot), None, pivots, np.array([n.radius for n, _ in group]), [n for n, _ in group])
+            node = Node(pivot, float(_distances(below, pivot).max()), _distances(pivots, pivot), None, pivots, np.array([n.radius for n, _ in group]), [n for n, _ in group], None)
             above.append((node, below))
         level = above
     return level[0][0]
@@ -84,7 +86,7 @@ def _products(vectors: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray
 
 
 def search(root: Node, query: np.ndarray, own: int, k: int, exact: bool) -> list[tuple[int, int]]:
-    """The k best (score, id) for a query, ties to smaller ids, without the vector of the query's own id.
+    """The k best (score, id) for a query, ties to smaller ids, without the query's ``own`` row.
 
     Since q.o <= q.p + |q| d(o, p), the product with a pivot and the stored distance bound the product with an entry,
     and the covering radius bounds all below a node. Nodes are opened in the order of their bounds until none can
@@ -104,12 +106,12 @@ def search(root: Node, query: np.ndarray, own: int, k: int, exact: bool) -> list
         if node.children is None:
             chance = slice(int(np.searchsorted(reach, least - 1e-9 * abs(least) - 1e-6)), None) if least > -np.inf else slice(None)  # distances ascend
             scores = _products(node.vectors[chance], query, exact)
-            ids = node.ids[chance]
+            ids, rows = node.ids[chance], node.rows[chance]
             good = np.flatnonzero(scores >= least) if least > -np.inf else np.arange(len(scores))
             if len(good) > k:
                 good = good[np.lexsort((ids[good], -scores[good]))[: k + 1]]
             for i in good.tolist():
-                if ids[i] != own:
+                if rows[i] != own:
                     entry = (scores[i] if not exact else float(scores[i]), -int(ids[i]))
                     if len(best) < k:
                         heapq.heappush(best, entry)
@@ -135,7 +137,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, shard = table.column("_d").to_numpy(), table.column("_shard").to_numpy()
         edges = bounds(d, shard)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            root = build(table.column("id").slice(lo, hi - lo).to_numpy(), _matrix(table, lo, hi))
+            root = build(table.column("id").slice(lo, hi - lo).to_numpy(), _matrix(table, lo, hi), table.column("_row").slice(lo, hi - lo).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(d[lo : lo + 1]), pa.array(shard[lo : lo + 1]), pa.array([pickle.dumps(root, 5)], pa.binary())], ["_d", "_shard", "_tree"])
 
 
@@ -144,7 +146,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, block = table.column("_d").to_numpy(), table.column("_block").to_numpy()
         edges = bounds(d, block)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            held = pickle.dumps((table.column("id").slice(lo, hi - lo).to_numpy(), _matrix(table, lo, hi)), 5)
+            held = pickle.dumps((table.column("id").slice(lo, hi - lo).to_numpy(), table.column("_row").slice(lo, hi - lo).to_numpy(), _matrix(table, lo, hi)), 5)
             yield pa.RecordBatch.from_arrays([pa.array(d[lo : lo + 1]), pa.array(block[lo : lo + 1]), pa.array([held], pa.binary())], ["_d", "_block", "_queries"])
 
 
@@ -152,11 +154,11 @@ def _searched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tree, queries in zip(batch.column("_tree"), batch.column("_queries"), strict=True):
-                root, (ids, vectors) = pickle.loads(tree.as_py()), pickle.loads(queries.as_py())
+                root, (ids, rows, vectors) = pickle.loads(tree.as_py()), pickle.loads(queries.as_py())
                 most = float(np.abs(vectors).max()) * (float(np.abs(root.pivot.astype(np.float64)).max()) + root.radius) * vectors.shape[1]
-                found = [(int(q), i, s) for q, v in zip(ids, vectors, strict=True) for s, i in search(root, v, int(q), k, most < 2**52)]
-                columns = list(zip(*found, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                found = [(int(q), int(row), i, s) for q, row, v in zip(ids, rows, vectors, strict=True) for s, i in search(root, v, int(row), k, most < 2**52)]
+                columns = list(zip(*found, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "_asked", "vec_id", "score"])
 
     return run
 
@@ -165,8 +167,9 @@ def top_k(rows: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector: st
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the k best rows for every row that ``is_query`` selects.
 
     Components become floor(scale * x); the score is the integer inner product, ties go to the smaller id, and a row
-    never finds its own id. Vectors that are null, empty or hold null or non-finite components, and null ids, take
-    no part; vectors are compared with those of their own length. Repeated rows are entries of their own.
+    never finds itself. Vectors that are null, empty or hold null or non-finite components, and null ids, take
+    no part; vectors are compared with those of their own length. Every row has a number of its own, so rows that
+    share an id find each other, and each query row has its own ``rank``.
     Vectors are dealt to trees of about ``TREE_VECTORS`` and queries to blocks; each tree is searched for each
     block, in tasks of equal size, and only its k best per query are shuffled.
     """
@@ -174,18 +177,18 @@ def top_k(rows: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector: st
     finite = F.forall(x, lambda v: F.coalesce(v.between(-1.7976931348623157e308, 1.7976931348623157e308), F.lit(False)))
     sound = F.col(id).isNotNull() & F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
     whole = F.transform(F.col(vector), lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("long"))
-    taken = stored(rows.where(sound).select(F.col(id).cast("long").alias("id"), whole.alias("_x"), F.size(vector).alias("_d"), is_query.alias("_query")), "whole")
+    taken = stored(rows.where(sound).select(F.col(id).cast("long").alias("id"), F.monotonically_increasing_id().alias("_row"), whole.alias("_x"), F.size(vector).alias("_d"), is_query.alias("_query")), "whole")
     totals = taken.groupBy("_d").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_query"), 1)).alias("q")).limit(MOST_LENGTHS + 1).collect()
     if len(totals) > MOST_LENGTHS:
         raise ValueError(f"more than {MOST_LENGTHS} lengths of vectors")
     sizes = {r["_d"]: (-(-r["n"] // TREE_VECTORS), max(1, -(-r["q"] // BLOCK_QUERIES))) for r in totals} or {0: (1, 1)}
     shards, blocks = (F.create_map(*[F.lit(v) for d, s in sizes.items() for v in (d, s[k])])[F.col("_d")] for k in (0, 1))
-    dealt = taken.withColumn("_shard", F.pmod(F.xxhash64("id"), shards).cast("int")).select("_d", "_shard", "id", "_x")
-    trees = stored(dealt.repartition("_d", "_shard").sortWithinPartitions("_d", "_shard", "id").mapInArrow(_trees, "_d int, _shard int, _tree binary"), "trees")
-    asked = taken.where("_query").withColumn("_block", F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int")).select("_d", "_block", "id", "_x")
-    queries = stored(asked.repartition("_d", "_block").sortWithinPartitions("_d", "_block", "id").mapInArrow(_blocks, "_d int, _block int, _queries binary"), "queries")
+    dealt = taken.withColumn("_shard", F.pmod(F.xxhash64("_row"), shards).cast("int")).select("_d", "_shard", "id", "_row", "_x")
+    trees = stored(dealt.repartition("_d", "_shard").sortWithinPartitions("_d", "_shard", "id", "_row").mapInArrow(_trees, "_d int, _shard int, _tree binary"), "trees")
+    asked = taken.where("_query").withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(3)), blocks).cast("int")).select("_d", "_block", "id", "_row", "_x")
+    queries = stored(asked.repartition("_d", "_block").sortWithinPartitions("_d", "_block", "id", "_row").mapInArrow(_blocks, "_d int, _block int, _queries binary"), "queries")
     grid = trees.withColumn("_block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     other = queries.withColumn("_shard", F.explode(F.sequence(F.lit(0), (shards - 1).cast("int"))))
-    found = grid.join(other, ["_d", "_shard", "_block"]).select("_tree", "_queries").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = grid.join(other, ["_d", "_shard", "_block"]).select("_tree", "_queries").mapInArrow(_searched(k), "query_id long, _asked long, vec_id long, score long")
+    order = Window.partitionBy("_asked").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -68,3 +68,11 @@ def test_odd_rows(spark):
     assert [f for f in found if f[0] != 60 and f[2] != 60] == [e for e in expected if e[0] != 60 and e[2] != 60]
     assert not any(q == 40 for q, *_ in found)
     assert mtree.top_k(frame.limit(0), F.lit(True)).collect() == []
+
+
+def test_rows_that_share_an_id_find_each_other(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.0]), (40, [-1.0, 0.0]), (3, [0.25, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in mtree.top_k(frame, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank", "vec_id").collect()]
+    twin = [(20, 1, 20, 4096), (20, 2, 3, 2048), (20, 3, 3, 1024)]
+    assert found == sorted(twin + twin) + [(40, 1, 3, -1024), (40, 2, 3, -2048), (40, 3, 20, -4096)]
