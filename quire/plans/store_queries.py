@@ -25,8 +25,8 @@ def manifest_lines(spark, sf_dir):
     outer = lambda i: F.struct(F.concat(F.lit("Part "), text(i)).alias("title"), F.array(inner).alias("items"))
     groups = F.transform(F.sequence(F.lit(1), (1 + key % 2).cast("int")), outer)
     body = F.concat(
-        F.lit('{"version":'), text(F.when(key % 37 == 0, 7).otherwise(8)), F.lit(',"output":"out/'), text(key), F.lit('.pdf"'),
-        F.when(key % 41 == 0, ',"colour":1').otherwise(""), F.lit(',"items":['),
+        F.lit("{"), F.when(key % 41 == 0, '"colour":1,').otherwise(""),  # a foreign member comes first, so it is the first fault
+        F.lit('"version":'), text(F.when(key % 37 == 0, 7).otherwise(8)), F.lit(',"output":"out/'), text(key), F.lit('.pdf"'), F.lit(',"items":['),
         F.array_join(F.concat(F.array(F.to_json(blank)), F.transform(groups, lambda g: F.to_json(g))), ","), F.lit("]}"),
     )
     line = F.concat(F.lit('{"packet_id":"'), text(key), F.lit('","manifest":'), body, F.when(key % 43 == 0, "").otherwise("}"))
