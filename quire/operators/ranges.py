@@ -10,6 +10,8 @@ from quire.operators.scan import (
 )
 
 EXPAND_CHUNK = 10_000
+#: Pages of a source that ranges are compared with at once.
+SELECT_BLOCK = 256
 
 
 def explode_ranges(items: DataFrame, keys: list[str], whole: str | None = None, extra: tuple = ()) -> DataFrame:
@@ -111,14 +113,20 @@ def expand_pages(parts: DataFrame, keys: list[str]) -> DataFrame:
 def select_pages(ranges: DataFrame, source_pages: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
     """Original page rows that every occurrence keeps, with their selected ordinal.
 
-    Ranges are expanded and joined by (path, page): an equality join that spreads a popular
-    source over its pages instead of comparing every range with every page of it.
+    Ranges are cut where blocks of ``SELECT_BLOCK`` source pages end and meet the pages of their block: a popular source
+    spreads over its blocks, no range is compared with more pages than a block has, and only compact ranges are shuffled.
+    Both sides are sorted: how large exploded pages get cannot be told from the files they come from.
     """
     length = F.col("last") - F.col("first") + 1
     offset = scan(ranges, keys, ["ordinal"], [RunningSum("_offset", length, inclusive=False)], split)
-    pages = expand_spans(offset, "first", "last", "page", keys)
-    numbered = pages.withColumn("selected", F.col("_offset") + F.col("page") - F.col("first") + 1)
-    return numbered.drop("_offset", "first", "last").join(source_pages, ["path", "page"])
+    block = lambda page: (page - 1 - F.pmod(page - 1, F.lit(SELECT_BLOCK))) / SELECT_BLOCK
+    blocks = F.sequence(block(F.col("first")).cast("bigint"), block(F.col("last")).cast("bigint"))
+    cut = offset.filter(F.col("last") >= F.col("first")).withColumn("_block", F.explode(blocks)).withColumnRenamed("path", "_path")
+    pages = source_pages.withColumn("_of", block(F.col("page")).cast("bigint")).hint("merge")
+    held = (F.col("_path") == F.col("path")) & (F.col("_block") == F.col("_of")) & F.col("page").between(F.col("first"), F.col("last"))
+    kept = [c for c in ranges.columns if c not in ("path", "first", "last")]
+    rest = [c for c in source_pages.columns if c not in ("path", "page")]
+    return cut.join(pages, held).select("path", "page", *kept, (F.col("_offset") + F.col("page") - F.col("first") + 1).alias("selected"), *rest)
 
 
 def page_runs(pages: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
