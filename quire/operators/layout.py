@@ -390,11 +390,14 @@ def _cut_by_size(spans: DataFrame, runs: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("path").orderBy("first")
     known = runs.select("path", "first", "last", "width", "height")
-    before = known.withColumn("_before", F.coalesce(F.lag("last").over(order), F.lit(0)) + 1)
-    blank = [F.lit(None).cast("double").alias(c) for c in ("width", "height")]
-    holes = before.filter("_before < first").select("path", F.col("_before").alias("first"), (F.col("first") - 1).alias("last"), *blank)
-    rest = known.groupBy("path").agg((F.max("last") + 1).alias("first")).select("path", "first", F.lit(MAX_PAGE_INDEX).cast("bigint").alias("last"), *blank)
-    whole = known.unionByName(holes).unionByName(rest).select(*[F.col(c).alias(f"_run_{c}") for c in known.columns])
+    looked = known.withColumns({"_before": F.coalesce(F.lag("last").over(order), F.lit(0)) + 1, "_after": F.lead("first").over(order)})
+    run = lambda first, last, *size: F.struct(first.cast("bigint").alias("first"), last.cast("bigint").alias("last"), *[c.cast("double").alias(n) for c, n in zip(size, ("width", "height"))])
+    hole = F.when(F.col("_before") < F.col("first"), run(F.col("_before"), F.col("first") - 1, F.lit(None), F.lit(None)))
+    rest = F.when(F.col("_after").isNull(), run(F.col("last") + 1, F.lit(MAX_PAGE_INDEX), F.lit(None), F.lit(None)))
+    each = F.filter(F.array(hole, run(*[F.col(c) for c in known.columns[1:]]), rest), lambda r: r.isNotNull())
+    cover = looked.select("path", F.explode(each).alias("r")).select("path", "r.*")
+    # sorted, as what exploded pages amount to cannot be told from the files they come from
+    whole = cover.select(*[F.col(c).alias(f"_run_{c}") for c in known.columns]).hint("merge")
     end = F.col("_src") + F.col("_last") - F.col("_first")
     meets = (F.col("path") == F.col("_run_path")) & (F.col("_run_first") <= end) & (F.col("_run_last") >= F.col("_src"))
     joined = spans.join(whole, meets, "left")
@@ -409,12 +412,13 @@ def page_trace(parts: DataFrame, runs: DataFrame, sections: DataFrame, levels: i
     ``parts`` additionally carry ``occurrence`` (the n-th use of the path, null without one) and the ``width`` and
     ``height`` of generated pages.  ``runs`` hold the sizes of sources (see ``page_runs``), ``sections`` the spans
     (section, depth, first_page, last_page) of nested sections that are made of whole parts, ``levels`` deep at most.
-    Sizes and sections are found for compact spans; pages appear in the last step only.
+    Sections are found for parts and sizes for compact spans; pages appear in the last step only.
     """
     from quire.operators.ranges import expand_spans, innermost_at
 
-    spans = _cut_by_size(_compact(parts), runs)
-    spans = innermost_at(spans, sections, PACKET, "_first", "first_page", "last_page", "depth", ["section"], levels, split)
+    # a section holds whole parts, so it is found once per part and not for every cut of it
+    within = innermost_at(parts.filter(F.col("pages") > 0), sections, PACKET, "first_page", "first_page", "last_page", "depth", ["section"], levels, split)
+    spans = _cut_by_size(_compact(within), runs)
     pages = expand_spans(spans, "_first", "_last", "output_page", ["packet_id", "pos", "band"])
     source = F.col("kind") == "source"
     return pages.select(
