@@ -366,8 +366,8 @@ def _compact(parts: DataFrame) -> DataFrame:
     return offset.select(*kept, F.col("_r.first").alias("_src"), start.alias("_first"), (start + length - 1).alias("_last"))
 
 
-def page_map(parts: DataFrame) -> DataFrame:
-    """The trace table: one row per output page with its part, source page and label.
+def page_map(parts: DataFrame, keep: tuple = ()) -> DataFrame:
+    """The trace table: one row per output page with its part, source page and label; ``keep`` names further columns of the part.
 
     ``parts`` are placed, labelled and carry their ``ranges`` (null = the whole source).  The
     ranges are unnested inside the packet's partition and pages appear in the last step only,
@@ -379,7 +379,7 @@ def page_map(parts: DataFrame) -> DataFrame:
     return pages.select(
         "packet_id", "output_page", "pos", "band", "kind", *[c for c in ("path", "ref") if c in parts.columns],
         (F.col("_src") + F.col("output_page") - F.col("_first")).alias("source_page"),
-        label_at(F.col("output_page"), F.col("first_page"), F.col("label_start")).alias("label"),
+        label_at(F.col("output_page"), F.col("first_page"), F.col("label_start")).alias("label"), *keep,
     )
 
 

@@ -363,19 +363,20 @@ SELECT packet_id, kind, count(*) AS pages, sum(page)::BIGINT AS page_sum, sum((s
 FROM mapped GROUP BY packet_id, kind"""))
 def page_map(spark, sf_dir):
     """The full trace table, digested per packet and kind."""
-    pages = full_page_map(spark, sf_dir)
+    pages = full_page_map(spark, sf_dir, ("label_start", "first_page"))
+    # numbers as numbers: writing and reading every label as a text took most of the time
+    number = F.col("label_start") + F.col("output_page") - F.col("first_page")
     return pages.groupBy("packet_id", "kind").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("output_page").alias("page_sum"),
         F.sum(F.col("source_page") * F.col("output_page")).alias("source_sum"),
-        F.sum(F.expr("try_cast(label as bigint)")).alias("label_sum"),
-        F.count(F.when(F.col("label") == "—", 1)).alias("unlabelled"),
+        F.sum(number).alias("label_sum"), F.count(F.when(F.col("label_start").isNull(), 1)).alias("unlabelled"),
     )
 
 
-def full_page_map(spark, sf_dir):
+def full_page_map(spark, sf_dir, keep=()):
     parts, split = selected_parts(spark, sf_dir)
     labelled = layout.label_pages(parts, split=split)
-    return layout.page_map(labelled.select(*PART, "kind", "path", "ref", "pages", "ranges", "first_page", "last_page", "label_start"))
+    return layout.page_map(labelled.select(*PART, "kind", "path", "ref", "pages", "ranges", "first_page", "last_page", "label_start"), keep)
 
 
 TRACE_SECTIONS = """spans AS (
