@@ -231,7 +231,7 @@ def range_rejects(spark, sf_dir):
         F.when(F.col("p_partkey") % 9 == 0, size - 1).otherwise(size).alias("pages"),
         (F.col("p_size") % 4 == 0).alias("has_fields"),
     )
-    return ranges.range_rejects(rows, sources, ITEM, False).select("packet_id", "pos", "ordinal", "code")
+    return ranges.range_rejects(rows, fx.dealt_sources(spark, sf_dir, sources), ITEM, False).select("packet_id", "pos", "ordinal", "code")
 
 
 SELECTED = """picked AS (
