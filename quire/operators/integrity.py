@@ -19,20 +19,34 @@ def two_way_index(owners: DataFrame, index: DataFrame, keys: list[str]) -> tuple
     """
     if "claims" in owners.columns:
         owners = owners.filter(F.coalesce("claims", F.lit(False)))
-    claimed = owners.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_claims"), F.min("element").alias("_owner"), F.max("element").alias("_other")
-    )
-    entries = index.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_entries"), F.min("element").alias("_entry"), F.max("element").alias("_entry_other"),
-        F.bool_or("live").alias("_live"),
+    # null keys meet nothing of the other side
+    apart = lambda side: F.when(F.greatest(*[F.col(key).isNull() for key in keys]), F.lit(side)).alias("_apart")
+    yes, no = F.lit(True), F.lit(False)
+    rows = owners.select(*keys, apart(0), yes.alias("claims"), F.col("element").alias("claimed"), no.alias("lists"), F.lit(None).alias("listed"), F.lit(None).cast("boolean").alias("live"))
+    rows = rows.unionByName(index.select(*keys, apart(1), no.alias("claims"), F.lit(None).alias("claimed"), yes.alias("lists"), F.col("element").alias("listed"), "live"))
+    findings, repaired = index_faults(rows, [*keys, "_apart"])
+    return findings.drop("_apart"), repaired.drop("_apart")
+
+
+def index_faults(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``two_way_index`` over one table whose rows may both claim a key and be an entry: (findings, repaired index).
+
+    ``rows``: keys, claims and claimed (element), lists and listed (element), live.  Claims and entries of a key are
+    combined in one aggregation; nothing is joined.
+    """
+    entry = F.col("lists")
+    when = lambda side, value: F.when(F.col(side), F.col(value))
+    both = rows.filter(F.col("claims") | entry).groupBy(*keys).agg(
+        F.count(F.when(F.col("claims"), 1)).alias("_claims"), F.min(when("claims", "claimed")).alias("_owner"),
+        F.count(F.when(entry, 1)).alias("_entries"), F.min(when("lists", "listed")).alias("_entry"),
+        F.max(when("lists", "listed")).alias("_entry_other"), F.bool_or(when("lists", "live")).alias("_live"),
     )
-    both = claimed.join(entries, keys, "full_outer")
     agrees = (F.col("_entry") == F.col("_owner")) & (F.col("_entry") == F.col("_entry_other"))
     fault = (
         F.when(F.col("_claims") > 1, "duplicate_claim")
-        .when(F.col("_entries").isNull(), "missing_entry")
-        .when(F.col("_claims").isNull() & F.col("_live"), "stale_entry")
-        .when(F.col("_claims").isNull(), "unreferenced_entry")
+        .when(F.col("_entries") == 0, "missing_entry")
+        .when((F.col("_claims") == 0) & F.col("_live"), "stale_entry")
+        .when(F.col("_claims") == 0, "unreferenced_entry")
         .when(~agrees, "disagreeing_entry")
     )
     code = F.when(fault == "stale_entry", "source_structure_index_normalized").otherwise("source_unsupported")
