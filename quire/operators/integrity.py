@@ -20,7 +20,7 @@ def two_way_index(owners: DataFrame, index: DataFrame, keys: list[str]) -> tuple
     if "claims" in owners.columns:
         owners = owners.filter(F.coalesce("claims", F.lit(False)))
     # null keys meet nothing of the other side
-    apart = lambda side: F.when(F.greatest(*[F.col(key).isNull() for key in keys]), F.lit(side)).alias("_apart")
+    apart = lambda side: F.when(F.exists(F.array(*[F.col(key).isNull() for key in keys]), lambda null: null), F.lit(side)).alias("_apart")
     yes, no = F.lit(True), F.lit(False)
     rows = owners.select(*keys, apart(0), yes.alias("claims"), F.col("element").alias("claimed"), no.alias("lists"), F.lit(None).alias("listed"), F.lit(None).cast("boolean").alias("live"))
     rows = rows.unionByName(index.select(*keys, apart(1), no.alias("claims"), F.lit(None).alias("claimed"), yes.alias("lists"), F.col("element").alias("listed"), "live"))
