@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounds, chained, components, dropped, in_blocks, slices, spanning, stored, swept, tidied, union_find, whole_groups
+from quire.llm.common import bounds, chained, components, dropped, in_blocks, sifted, slices, spanning, stored, swept, tidied, union_find, whole_groups
 
 #: Seed of the shingle hash.
 SEED = 42
@@ -20,8 +20,10 @@ STEP = 1 << 14
 SAMPLE = 4000
 #: Most shingles with an estimate; all others count as rare.
 MOST_COMMON = 1 << 18
-#: Bits of the parity maps that bound the overlap of two sets.
+#: Bits of the parity maps that bound the overlap of two sets, at least; sets with more members have longer maps.
 MAP_BITS = 2048
+#: Bits of a key beyond those that number the rows: one row in 2 ** SPARE meets another by chance, however many there are.
+SPARE = 12
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -87,11 +89,29 @@ def prefix_size(n: int, threshold: float) -> int:
 
 
 def parity_map(unique: np.ndarray) -> bytes:
-    """``MAP_BITS`` bits, each the parity of the members that fall on it; two maps differ in no more bits than the sets in members."""
-    counts = np.bincount((_mixed(unique, 2) % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS)
+    """``MAP_BITS`` bits or, by doubling, at least one for each member, each the parity of the members that fall on it; two maps of one
+    length differ in no more bits than the sets in members. A map's halves give the map of half the length by exclusive or."""
+    bits = max(MAP_BITS, 1 << (len(unique) - 1).bit_length())
+    counts = np.bincount((_mixed(unique, 2) % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def map_distances(maps: list[bytes], a: np.ndarray, b: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
+    """Bits in which the maps at ``a`` and ``b`` differ, the longer map of a pair folded to the length of the other."""
+    words = np.frombuffer(b"".join(maps), np.uint64)
+    size = np.fromiter(map(len, maps), np.int64, len(maps)) // 8
+    first = np.cumsum(size) - size
+    out = np.zeros(len(a), np.int64)
+    for x, y in np.unique(np.stack([size[a], size[b]], axis=1), axis=0).tolist():
+        which = np.flatnonzero((size[a] == x) & (size[b] == y))
+        step = max(1, at_once // max(x, y))
+        for lo in range(0, len(which), step):
+            some = which[lo : lo + step]
+            own = [np.bitwise_xor.reduce(words[first[k[some], None] + np.arange(n)].reshape(len(some), -1, min(x, y)), axis=1) for k, n in ((a, x), (b, y))]
+            out[some] = np.bitwise_count(own[0] ^ own[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def common_shingles(rows: DataFrame, id: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, of shingles that at least three of about ``SAMPLE`` rows hold, and in how many."""
     every = max(1, rows.count() // SAMPLE)
@@ -166,19 +186,30 @@ def reordered(fps: np.ndarray, bits: int, ring: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.unpackbits(fps, axis=1)[:, order], axis=1))
 
 
-def ring_keys(fps: np.ndarray, bits: int, m: int, chain: int, halves: bool, rings: int = 1) -> np.ndarray:
+def key_bits(n: int) -> int:
+    """Bits that keys of ``n`` rows need so that the share of rows that meet by chance does not grow with ``n``."""
+    return max(n - 1, 0).bit_length() + SPARE
+
+
+def ring_keys(fps: np.ndarray, bits: int, m: int, chain: int, halves: bool, rings: int = 1, least: int = 0) -> np.ndarray:
     """One key for each start on the ring (twice as many with ``halves``): 64-bit hashes of the bits that must agree.
 
     Further ``rings`` lay the same bits out in other orders, for distances at which no chain is certain to agree.
 
     A pair within the distance has a start from which every chain of consecutive segments stays within its
     proportional budget, so the first segments of that chain, whose budget is below one, agree entirely. With
-    ``halves``, the next segment may differ in one bit, so one of its halves agrees as well.
+    ``halves``, the next segment may differ in one bit, so one of its halves agrees as well. Keys of fewer than ``least`` bits
+    take in the bits that follow, which asks more than the budgets do.
     """
     parts = segments(bits, m)
     ranges: list[list[tuple[int, int]]] = []
     for start in range(m):
         whole = [parts[(start + k) % m] for k in range(chain)]
+        short, at = min(least, bits) - sum(b - a for a, b in whole), start + chain
+        while short > 0:
+            a, b = parts[at % m]
+            whole.append((a, min(b, a + short)))
+            short, at = short - (b - a), at + 1
         a, b = parts[(start + chain) % m]
         ranges += [[*whole, (a, (a + b) // 2)], [*whole, ((a + b) // 2, b)]] if halves else [whole]
     keys = np.zeros((len(fps), rings * len(ranges)), np.uint64)
@@ -186,7 +217,7 @@ def ring_keys(fps: np.ndarray, bits: int, m: int, chain: int, halves: bool, ring
         if k % len(ranges) == 0:
             words = _words(reordered(fps, bits, k // len(ranges)))
         mask = np.bitwise_or.reduce(_masks(bits, ranges[k % len(ranges)]), axis=0)
-        key = np.full(len(fps), np.uint64(k + 1))
+        key = np.full(len(fps), _mixed(np.full(1, k + 1, np.uint64), 1)[0])  # apart from all keys of other starts and rings
         for w in np.flatnonzero(mask):
             key = _mixed(key ^ (words[:, w] & mask[w]), 1)
         keys[:, k] = key
@@ -270,7 +301,7 @@ def _crossing(threshold: float, most_pairs: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "_i", "_j"]):
             key, i, j, own, id, component, n, place = (table.column(c).to_numpy() for c in ("key", "_i", "_j", "_own", "id", "component", "n", "place"))
-            maps = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint8).reshape(len(id), MAP_BITS // 8).view(np.uint64)
+            maps = table.column("map").to_pylist()
             edges = bounds(key, i, j)
             sizes = np.diff(edges)
             found = [np.zeros((0, 2), np.int64)]
@@ -286,11 +317,8 @@ def _crossing(threshold: float, most_pairs: int = 1 << 16):
                     ok = (component[a] != component[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
                     ok &= np.minimum(n[a] - place[a], n[b] - place[b]) >= need
                     a, b, total, need = (v[ok] for v in (a, b, total, need))
-                    for at in range(0, len(a), most_pairs):
-                        some = slice(at, at + most_pairs)
-                        far = np.bitwise_count(maps[a[some]] ^ maps[b[some]]).sum(axis=1, dtype=np.int64)
-                        near = far <= total[some] - 2 * need[some]
-                        found.append(np.stack([id[a[some][near]], id[b[some][near]]], axis=1))
+                    near = map_distances(maps, a, b) <= total - 2 * need
+                    found.append(np.stack([id[a[near]], id[b[near]]], axis=1))
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -305,16 +333,20 @@ def crossing(sets: DataFrame, threshold: float) -> DataFrame:
     ordered from the rarest member on, so that what many texts hold is asked of few. A member whose sets all lie in
     one component is left out; the others are compared in bounded blocks.
     """
-    keyed = sets.select("id", "component", "n", F.posexplode("prefix").alias("place", "key"))
-    met = in_blocks(keyed, ["key"], "id", differing="component").join(sets.select("id", "map"), "id")
-    dealt = met.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "id")
-    return dealt.select("key", "_i", "_j", "_own", "id", "component", "n", "place", "map").mapInArrow(tidied(_crossing(threshold)), "a long, b long").distinct()
+    keyed = sets.select("id", "component", F.posexplode("prefix").alias("place", "key"))
+    met = stored(in_blocks(keyed, ["key"], "id", differing="component"), "met")
+    swept(sets.sparkSession)  # all members were shuffled, of which few met
+    dealt = met.join(sets.select("id", "component", "n", "map"), "id").repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "id")
+    pairs = dealt.select("key", "_i", "_j", "_own", "id", "component", "n", "place", "map").mapInArrow(tidied(_crossing(threshold)), "a long, b long")
+    found = stored(pairs.distinct(), "crossing")
+    dropped(met)
+    return found
 
 
 def similar(links: DataFrame, rows: DataFrame, threshold: float, id: str, text: str, words: int) -> DataFrame:
     """Links (``a``, ``b``) whose rows share at least ``threshold`` of the union of their shingles.
 
-    Only rows with links are hashed and shuffled. Sets hold 64-bit hashes of the shingles.
+    Only rows with links are hashed and, but for a few that ``sifted`` lets through, shuffled. Sets hold 64-bit hashes of the shingles.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,12 +358,13 @@ def similar(links: DataFrame, rows: DataFrame, threshold: float, id: str, text:
 
     links = stored(links, "candidates")
     needed = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    texts = rows.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text")).join(needed, "id", "left_semi")
+    needed = stored(needed, "needed")
+    texts = sifted(rows.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text")), "id", needed).join(needed, "id", "left_semi")
     sets = stored(texts.dropDuplicates(["id"]).mapInArrow(tidied(hashed), "id long, set array<bigint>"), "shingles")
     first = links.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     paired = first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").withColumn("_both", F.size(F.array_intersect("sa", "sb")))
     found = stored(paired.where(F.col("_both") >= threshold * (F.size("sa") + F.size("sb") - F.col("_both"))).select("a", "b"), "similar")
-    dropped(links, sets)
+    dropped(links, needed, sets)
     return found
 
 
@@ -341,7 +374,8 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
     Fingerprints that differ in at most ``tau`` bits are linked. Equal fingerprints form a class, and only one
     row per class is compared, so copies cost nothing. Candidates share the bits that ``ring_keys`` requires; with
     chain * tau < m (and, for ``halves``, (chain + 1) * tau < 2 * m) no pair is missed. A longer chain asks more of a
-    candidate than the budgets do: it finds a pair only if some chain of that length agrees entirely, in one of ``rings`` orders of the bits. The filter before the full comparison takes
+    candidate than the budgets do: it finds a pair only if some chain of that length agrees entirely, in one of ``rings`` orders of the bits. With ``similarity``,
+    where what they miss is completed, keys have at least ``key_bits`` bits for the number of classes. The filter before the full comparison takes
     ``ring`` segments (``m`` unless given). With ``similarity``, links stand only if the sets of shingles are that similar
     (Jaccard), whatever the fingerprints; classes are formed by equal sets of shingles, and what fingerprints did not connect
     is completed by ``crossing``, so that any two rows that similar share a component. A null text
@@ -361,13 +395,14 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
         same, prints = "shingles", stored(described(rows, common, id, text, words, bits, similarity), "fingerprints")
         classes = stored(prints.where("id IS NOT NULL").groupBy("shingles").agg(F.min("id").alias("id"), F.min_by("fingerprint", "id").alias("fingerprint")), "classes")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = key_bits(classes.count()) if similarity is not None else 0
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
                 fps = np.frombuffer(b"".join(some.column("fingerprint").to_pylist()), np.uint8).reshape(some.num_rows, bits // 8)
-                made = ring_keys(fps, bits, m, chain, halves, rings)
+                made = ring_keys(fps, bits, m, chain, halves, rings, least)
                 ids = np.repeat(some.column("id").to_numpy(), made.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(made.ravel()), pa.array(ids)], ["key", "id"])
 
@@ -377,10 +412,18 @@ def near_duplicates(rows: DataFrame, id: str = "doc_id", text: str = "text", wor
     links = dealt.select("key", "_i", "_j", "_own", "id", "fingerprint").mapInArrow(_links(bits, ring or m, tau, similarity is not None), "a long, b long")
     if similarity is not None:
         near = similar(links.distinct(), rows, similarity, id, text, words)
+        swept(spark)  # each part's shuffle files go before the next part writes its own
         known = classes.select("shingles", "id").join(components(near), "id", "left").select("shingles", "id", F.coalesce("component", "id").alias("component"))
         sets = stored(prints.join(known, ["shingles", "id"]).select("id", "component", "n", "prefix", "map"), "sets")
-        more = similar(crossing(sets, similarity), rows, similarity, id, text, words)
+        whole, prints = prints, stored(prints.select("id", "fingerprint", "shingles"), "prints")
+        dropped(whole)
+        swept(spark)
+        pairs = crossing(sets, similarity)
         dropped(sets)
+        swept(spark)
+        more = similar(pairs, rows, similarity, id, text, words)
+        dropped(pairs)
+        swept(spark)
         links = near.union(more)
     reached = components(links)
     named = classes.join(reached, "id", "left").select(same, F.coalesce("component", "id").alias("component_id"))
