@@ -1,4 +1,4 @@
-"""Exact top-k search by inner product with best-first search of M-trees."""
+"""Exact top-k search by inner product with best-first search of M-trees, for blocks of queries at once."""
 
 from __future__ import annotations
 
@@ -12,14 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounds, stored, whole_groups
+from quire.llm.common import bounds, stored, tidied, whole_groups
 
 #: Entries of a leaf page, and pages of an inner node.
 PAGE = 128
 FANOUT = 16
-#: Vectors of one tree, and queries of one block; a task searches one tree for one block.
+#: Vectors of one tree, and queries of one block; a task searches a group of trees for one block.
 TREE_VECTORS = 8192
-BLOCK_QUERIES = 512
+BLOCK_QUERIES = 2048
+#: Groups that the trees are dealt to, and trees from which there are more groups.
+TREE_GROUPS = 4
+GROUP_TREES = 64
+#: Candidates of a block that are held before its best are taken from them.
+HELD = 1 << 18
 #: Different lengths of vectors in a table.
 MOST_LENGTHS = 1000
 
@@ -128,8 +133,92 @@ def search(root: Node, query: np.ndarray, own: int, k: int, exact: bool) -> list
     return [(int(s), -i) for s, i in best]
 
 
+class Best:
+    """The k best (score, id) of every query of a block; ``least`` and ``last`` are those a candidate must beat."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.held, self.waiting = k, 0, []
+        self.scores = np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+        self.least, self.last = self.scores[:, -1], self.ids[:, -1]
+
+    def offer(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.waiting.append((who, scores.astype(np.float64), ids))
+        self.held += len(who)
+        if self.held >= HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.held:
+            return
+        asked = np.unique(np.concatenate([w for w, _, _ in self.waiting]))
+        who = np.concatenate([np.repeat(asked, self.k), *[w for w, _, _ in self.waiting]])
+        scores = np.concatenate([self.scores[asked].ravel(), *[s for _, s, _ in self.waiting]])
+        ids = np.concatenate([self.ids[asked].ravel(), *[i for _, _, i in self.waiting]])
+        order = np.lexsort((ids, -scores, who))
+        edges = bounds(who[order])
+        first = order[(edges[:-1, None] + np.arange(self.k)).ravel()]  # each has k at least, those it had
+        self.scores[asked], self.ids[asked] = scores[first].reshape(-1, self.k), ids[first].reshape(-1, self.k)
+        self.held, self.waiting = 0, []
+
+
+def _scan(leaf: Node, who: np.ndarray, at: np.ndarray, queries: np.ndarray, lengths: np.ndarray, own: np.ndarray, best: Best) -> None:
+    """Offer the entries of a leaf that may be among the best of the queries ``who``, whose products with its pivot are ``at``."""
+    least, size = best.least[who], lengths[who]
+    needed = np.divide(least - 1e-9 * np.abs(least) - 1e-6 - at, size, out=np.full(len(who), -np.inf), where=(size > 0) & (least > -np.inf))
+    chance = slice(int(np.searchsorted(leaf.distances, needed.min() * (1 - 1e-9) - 1e-9)), None)  # distances ascend
+    scores = queries[who] @ leaf.vectors[chance].T.astype(queries.dtype)
+    fresh = np.flatnonzero(least == -np.inf)
+    if len(fresh) and scores.shape[1] > best.k:  # one more than k, as the query itself may be among them
+        least[fresh] = np.partition(scores[fresh], -best.k - 1, axis=1)[:, -best.k - 1]
+    i, j = np.nonzero(scores >= least[:, None])
+    who, scores, ids, rows = who[i], scores[i, j], leaf.ids[chance][j], leaf.rows[chance][j]
+    better = (rows != own[who]) & ((scores > best.least[who]) | (ids < best.last[who]))
+    if better.any():
+        best.offer(who[better], scores[better], ids[better])
+
+
+def search_block(root: Node, queries: np.ndarray, own: np.ndarray, best: Best) -> None:
+    """``search`` for the rows of ``queries`` (real numbers in which all sums are exact), going on from their ``best``.
+
+    The queries go down together, each only where its bound reaches its k-th score so far. Each first opens the leaf with its highest
+    bound, which raises that score; then the leaves are opened for the queries that they may still serve.
+    """
+    lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+    bound = lambda at, size, reach: (b := at + size * reach) + 1e-9 * np.abs(b) + 1e-6  # noqa: E731  against rounding
+    everyone = np.arange(len(queries))
+    turn, leaves = [(root, everyone, (queries @ root.pivot.astype(queries.dtype)).astype(np.float64))], []
+    while turn:
+        node, who, at = turn.pop()
+        upper = bound(at, lengths[who], node.radius)
+        alive = upper >= best.least[who]
+        who, at, upper = who[alive], at[alive], upper[alive]
+        if not len(who):
+            continue
+        if node.children is None:
+            leaves.append((node, who, at, upper))
+            continue
+        products = (queries[who] @ node.vectors.T.astype(queries.dtype)).astype(np.float64)
+        for i, child in enumerate(node.children):
+            near = bound(at, lengths[who], node.distances[i] + node.radii[i]) >= best.least[who]
+            turn.append((child, who[near], products[near, i]))
+    highest, first = np.full(len(queries), -np.inf), np.full(len(queries), -1)
+    for n, (_, who, _, upper) in enumerate(leaves):
+        higher = upper > highest[who]
+        highest[who[higher]], first[who[higher]] = upper[higher], n
+    for later in (False, True):
+        for n, (leaf, who, at, upper) in enumerate(leaves):
+            now = (first[who] != n) & (upper >= best.least[who]) if later else first[who] == n
+            if now.any():
+                _scan(leaf, who[now], at[now], queries, lengths, own, best)
+        best.settle()
+
+
 def _matrix(table: pa.Table, lo: int, hi: int, column: str = "_x") -> np.ndarray:
-    return np.array(table.column(column).slice(lo, hi - lo).to_pylist(), np.int64)
+    """Vectors of equal length as whole numbers of as few bytes as hold them."""
+    values = table.column(column).slice(lo, hi - lo).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+    low, high = values.min(), values.max()
+    return values.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,17 +239,39 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(d[lo : lo + 1]), pa.array(block[lo : lo + 1]), pa.array([held], pa.binary())], ["_d", "_block", "_queries"])
 
 
+def _found(query: np.ndarray, asked: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (query, asked, ids, scores)], ["query_id", "_asked", "vec_id", "score"])
+
+
 def _searched(k: int):
+    """The best of each block of queries among the trees that follow each other for it."""
+
+    def taken(ids: np.ndarray, rows: np.ndarray, best: Best) -> pa.RecordBatch:
+        i, j = np.nonzero(best.scores > -np.inf)
+        return _found(ids[i], rows[i], best.ids[i, j], best.scores[i, j].astype(np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best = None, None
         for batch in batches:
-            for tree, queries in zip(batch.column("_tree"), batch.column("_queries"), strict=True):
-                root, (ids, rows, vectors) = pickle.loads(tree.as_py()), pickle.loads(queries.as_py())
-                most = float(np.abs(vectors).max()) * (float(np.abs(root.pivot.astype(np.float64)).max()) + root.radius) * vectors.shape[1]
-                found = [(int(q), int(row), i, s) for q, row, v in zip(ids, rows, vectors, strict=True) for s, i in search(root, v, int(row), k, most < 2**52)]
-                columns = list(zip(*found, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "_asked", "vec_id", "score"])
-
-    return run
+            for d, number, tree, queries in zip(*[batch.column(c) for c in ("_d", "_block", "_tree", "_queries")], strict=True):
+                if block != (d.as_py(), number.as_py()):
+                    if best is not None:
+                        yield taken(ids, rows, best)
+                    block = (d.as_py(), number.as_py())
+                    ids, rows, vectors = pickle.loads(queries.as_py())
+                    best, largest = Best(len(ids), k), float(np.abs(vectors.astype(np.float64)).max())
+                root = pickle.loads(tree.as_py())
+                most = largest * (float(np.abs(root.pivot.astype(np.float64)).max()) + root.radius) * vectors.shape[1]
+                if most < 2**52:  # every partial sum is a whole number that the type holds
+                    search_block(root, vectors.astype(np.float32 if most < 2**23 else np.float64), rows, best)
+                    continue
+                for q, row, v in zip(ids, rows, vectors, strict=True):
+                    found = search(root, v, int(row), k, False)
+                    yield _found([int(q)] * len(found), [int(row)] * len(found), [i for _, i in found], [s for s, _ in found])
+        if best is not None:
+            yield taken(ids, rows, best)
+
+    return tidied(run)
 
 
 def top_k(rows: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -170,8 +281,8 @@ def top_k(rows: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector: st
     never finds itself. Vectors that are null, empty or hold null or non-finite components, and null ids, take
     no part; vectors are compared with those of their own length. Every row has a number of its own, so rows that
     share an id find each other, and each query row has its own ``rank``.
-    Vectors are dealt to trees of about ``TREE_VECTORS`` and queries to blocks; each tree is searched for each
-    block, in tasks of equal size, and only its k best per query are shuffled.
+    Vectors are dealt to trees of about ``TREE_VECTORS`` and queries to blocks. Every block meets every group of trees in a task that
+    fetches both where they lie, so neither is copied or broadcast for it; only its k best per query are shuffled.
     """
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: F.coalesce(v.between(-1.7976931348623157e308, 1.7976931348623157e308), F.lit(False)))
@@ -187,8 +298,10 @@ def top_k(rows: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector: st
     trees = stored(dealt.repartition("_d", "_shard").sortWithinPartitions("_d", "_shard", "id", "_row").mapInArrow(_trees, "_d int, _shard int, _tree binary"), "trees")
     asked = taken.where("_query").withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(3)), blocks).cast("int")).select("_d", "_block", "id", "_row", "_x")
     queries = stored(asked.repartition("_d", "_block").sortWithinPartitions("_d", "_block", "id", "_row").mapInArrow(_blocks, "_d int, _block int, _queries binary"), "queries")
-    grid = trees.withColumn("_block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    other = queries.withColumn("_shard", F.explode(F.sequence(F.lit(0), (shards - 1).cast("int"))))
-    found = grid.join(other, ["_d", "_shard", "_block"]).select("_tree", "_queries").mapInArrow(_searched(k), "query_id long, _asked long, vec_id long, score long")
+    most = [max(s[k] for s in sizes.values()) for k in (0, 1)]
+    groups = min(most[0], max(TREE_GROUPS, -(-most[0] // GROUP_TREES)))
+    grid = trees.repartitionById(groups, F.col("_shard") % groups).withColumnRenamed("_d", "_length").drop("_shard")
+    asking = queries.repartitionById(most[1], F.col("_block")).hint("shuffle_replicate_nl")
+    found = asking.join(grid, F.col("_d") == F.col("_length")).select("_d", "_block", "_tree", "_queries").mapInArrow(_searched(k), "query_id long, _asked long, vec_id long, score long")
     order = Window.partitionBy("_asked").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -76,3 +76,36 @@ def test_rows_that_share_an_id_find_each_other(spark):
     found = [tuple(r) for r in mtree.top_k(frame, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank", "vec_id").collect()]
     twin = [(20, 1, 20, 4096), (20, 2, 3, 2048), (20, 3, 3, 1024)]
     assert found == sorted(twin + twin) + [(40, 1, 3, -1024), (40, 2, 3, -2048), (40, 3, 20, -4096)]
+
+
+@pytest.mark.parametrize(("spread", "copies", "kind"), [(2, 40, np.float32), (40, 1, np.float64)])
+def test_blocks_of_queries_find_what_single_ones_do(spread, copies, kind):
+    rng = np.random.default_rng(spread)
+    vectors = np.repeat(rng.integers(-spread, spread + 1, (1200 // copies, 6)), copies, axis=0)
+    vectors = vectors[rng.permutation(1200)]
+    ids, rows = rng.permutation(1200) // 2, np.arange(1200)  # two rows share an id
+    trees = [mtree.build(ids[t::3], vectors[t::3], rows[t::3]) for t in range(3)]
+    asked = np.arange(0, 1200, 7)
+    best = mtree.Best(len(asked), 20)
+    for root in trees:
+        mtree.search_block(root, vectors[asked].astype(kind), rows[asked], best)
+    for n, q in enumerate(asked):
+        expected = sorted((-int(s), int(i)) for s, i, row in zip(vectors @ vectors[q], ids, rows, strict=True) if row != q)[:20]
+        assert [(-int(s), int(i)) for s, i in zip(best.scores[n], best.ids[n], strict=True)] == expected
+
+
+def test_neither_queries_nor_trees_are_copied_or_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE_VECTORS", 16)
+    monkeypatch.setattr(mtree, "BLOCK_QUERIES", 4)
+    rng = np.random.default_rng(3)
+    vectors = [rng.integers(-4, 5, 3 + i % 2).tolist() for i in range(300)]
+    vectors[40] = [2.0**30, 2.0**25, -1.0]  # too large for real numbers
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = mtree.top_k(frame, F.col("vec_id") % 20 == 0, k=5, scale=1.0)
+    plan = found._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+    expected = []
+    for q in range(0, 300, 20):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(vectors[q], v, strict=True)), i) for i, v in enumerate(vectors) if i != q and len(v) == len(vectors[q]))
+        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    assert [tuple(r) for r in found.orderBy("query_id", "rank").collect()] == expected
