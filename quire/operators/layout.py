@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from quire.functions.limits import MAX_PAGE_INDEX, MAX_SIDE_POINTS, NUMBERED_KINDS, UNNUMBERED_LABEL
 from quire.operators.scan import (
     CarryLast, GroupFirst, RunningSum, durable, exceeds_group_limit, group_limit, islands,
-    scan,
+    scan, spread,
 )
 
 PACKET = ["packet_id"]
@@ -383,43 +383,60 @@ def page_map(parts: DataFrame, keep: tuple = ()) -> DataFrame:
     )
 
 
-def _cut_by_size(spans: DataFrame, runs: DataFrame) -> DataFrame:
+def _cut_by_size(spans: DataFrame, runs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Spans cut where the size of their source changes, with that size; ``runs``: path, first, last, width, height.
 
-    Pages that no run covers stay, without a size.
+    Both are cut where blocks of ``SELECT_BLOCK`` source pages end and meet by path and block, over ``tasks`` tasks, so a long source
+    spreads over its blocks. Spans without a source are cut to ``EXPAND_CHUNK`` pages and lie anywhere. Pages that no run covers stay,
+    without a size.
     """
-    order = Window.partitionBy("path").orderBy("first")
-    known = runs.select("path", "first", "last", "width", "height")
-    looked = known.withColumns({"_before": F.coalesce(F.lag("last").over(order), F.lit(0)) + 1, "_after": F.lead("first").over(order)})
+    from quire.operators.ranges import EXPAND_CHUNK, SELECT_BLOCK, block_of
+
+    start, stop = F.col("_of") * SELECT_BLOCK + 1, (F.col("_of") + 1) * SELECT_BLOCK
+    blocks = lambda first, last: F.explode(F.sequence(block_of(first), block_of(last)))
+    known = runs.select("path", "first", "last", "width", "height", blocks(F.col("first"), F.col("last")).alias("_of"))
+    known = spread(known, tasks, "path", "_of").withColumns({"first": F.greatest("first", start), "last": F.least("last", stop)})
+    order = Window.partitionBy("path", "_of").orderBy("first")
+    looked = known.withColumns({"_before": F.coalesce(F.lag("last").over(order) + 1, start), "_after": F.lead("first").over(order)})
     run = lambda first, last, *size: F.struct(first.cast("bigint").alias("first"), last.cast("bigint").alias("last"), *[c.cast("double").alias(n) for c, n in zip(size, ("width", "height"))])
     hole = F.when(F.col("_before") < F.col("first"), run(F.col("_before"), F.col("first") - 1, F.lit(None), F.lit(None)))
-    rest = F.when(F.col("_after").isNull(), run(F.col("last") + 1, F.lit(MAX_PAGE_INDEX), F.lit(None), F.lit(None)))
-    each = F.filter(F.array(hole, run(*[F.col(c) for c in known.columns[1:]]), rest), lambda r: r.isNotNull())
-    cover = looked.select("path", F.explode(each).alias("r")).select("path", "r.*")
+    rest = F.when(F.col("_after").isNull() & (F.col("last") < stop), run(F.col("last") + 1, stop, F.lit(None), F.lit(None)))
+    each = F.filter(F.array(hole, run(*[F.col(c) for c in ("first", "last", "width", "height")]), rest), lambda r: r.isNotNull())
+    cover = looked.select("path", "_of", F.explode(each).alias("r")).select("path", "_of", "r.*")
     # sorted, as what exploded pages amount to cannot be told from the files they come from
-    whole = cover.select(*[F.col(c).alias(f"_run_{c}") for c in known.columns]).hint("merge")
-    end = F.col("_src") + F.col("_last") - F.col("_first")
-    meets = (F.col("path") == F.col("_run_path")) & (F.col("_run_first") <= end) & (F.col("_run_last") >= F.col("_src"))
-    joined = spans.join(whole, meets, "left")
-    start, stop = F.greatest("_src", "_run_first"), F.least(end, F.col("_run_last"))
-    shifted = {"_first": F.coalesce(F.col("_first") + start - F.col("_src"), F.col("_first")), "_last": F.coalesce(F.col("_first") + stop - F.col("_src"), F.col("_last")), "_src": F.when(F.col("_run_path").isNull(), F.col("_src")).otherwise(start)}
+    whole = cover.select(*[F.col(c).alias(f"_run_{c}") for c in cover.columns]).hint("merge")
+
+    sourced, length = F.col("path").isNotNull() & F.col("_src").isNotNull(), F.col("_last") - F.col("_first")
+    pieces = F.when(sourced, F.sequence(block_of(F.col("_src")), block_of(F.col("_src") + length))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.floor(length / EXPAND_CHUNK)))
+    cut = spans.filter(F.col("_last") >= F.col("_first")).withColumn("_of", F.explode(pieces))
+    low = F.when(sourced, F.greatest(start - F.col("_src"), F.lit(0))).otherwise(F.col("_of") * EXPAND_CHUNK)
+    high = F.least(length, F.when(sourced, stop - F.col("_src")).otherwise((F.col("_of") + 1) * EXPAND_CHUNK - 1))
+    moved = {"_src": F.col("_src") + low, "_first": F.col("_first") + low, "_last": F.col("_first") + high}
+    cut = cut.select(*[c for c in spans.columns if c not in moved], *[v.alias(c) for c, v in moved.items()])
+
+    anywhere = F.xxhash64(*[c for c in ("packet_id", "pos", "band") if c in spans.columns], "_first")
+    at, end = F.when(sourced, block_of(F.col("_src"))).otherwise(anywhere), F.col("_src") + F.col("_last") - F.col("_first")
+    meets = (F.col("path") == F.col("_run_path")) & (at == F.col("_run__of")) & (F.col("_run_first") <= end) & (F.col("_run_last") >= F.col("_src"))
+    joined = cut.join(whole, meets, "left")
+    begin, until = F.greatest("_src", "_run_first"), F.least(end, F.col("_run_last"))
+    shifted = {"_first": F.coalesce(F.col("_first") + begin - F.col("_src"), F.col("_first")), "_last": F.coalesce(F.col("_first") + until - F.col("_src"), F.col("_last")), "_src": F.when(F.col("_run_path").isNull(), F.col("_src")).otherwise(begin)}
     return joined.select(*[c for c in spans.columns if c not in shifted], *[v.alias(c) for c, v in shifted.items()], "_run_width", "_run_height")
 
 
-def page_trace(parts: DataFrame, runs: DataFrame, sections: DataFrame, levels: int, split: bool | None = None) -> DataFrame:
+def page_trace(parts: DataFrame, runs: DataFrame, sections: DataFrame, levels: int, split: bool | None = None, tasks: int | None = None) -> DataFrame:
     """The wide trace table: ``page_map`` with the occurrence of the source, the size and the innermost section.
 
     ``parts`` additionally carry ``occurrence`` (the n-th use of the path, null without one) and the ``width`` and
     ``height`` of generated pages.  ``runs`` hold the sizes of sources (see ``page_runs``), ``sections`` the spans
     (section, depth, first_page, last_page) of nested sections that are made of whole parts, ``levels`` deep at most.
-    Sections are found for parts and sizes for compact spans; pages appear in the last step only.
+    Sections are found for parts and sizes for compact spans, which are dealt over ``tasks`` tasks; pages appear in the last step only.
     """
-    from quire.operators.ranges import expand_spans, innermost_at
+    from quire.operators.ranges import innermost_at
 
     # a section holds whole parts, so it is found once per part and not for every cut of it
     within = innermost_at(parts.filter(F.col("pages") > 0), sections, PACKET, "first_page", "first_page", "last_page", "depth", ["section"], levels, split)
-    spans = _cut_by_size(_compact(within), runs)
-    pages = expand_spans(spans, "_first", "_last", "output_page", ["packet_id", "pos", "band"])
+    # their cuts are short and spread by source and block already
+    pages = _cut_by_size(_compact(within), runs, tasks).withColumn("output_page", F.explode(F.sequence("_first", "_last")))
     source = F.col("kind") == "source"
     return pages.select(
         "packet_id", "output_page", "pos", "band", "kind", "path", "occurrence",

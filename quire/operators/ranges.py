@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +113,11 @@ def expand_pages(parts: DataFrame, keys: list[str]) -> DataFrame:
     return expand_spans(parts.filter(F.col("pages") > 0), "first_page", "last_page", "output_page", keys)
 
 
+def block_of(page: Column) -> Column:
+    """Number of the block of ``SELECT_BLOCK`` pages, from page 1 on, that holds a page."""
+    return ((page - 1 - F.pmod(page - 1, F.lit(SELECT_BLOCK))) / SELECT_BLOCK).cast("bigint")
+
+
 def select_pages(ranges: DataFrame, source_pages: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
     """Original page rows that every occurrence keeps, with their selected ordinal.
 
@@ -119,10 +127,9 @@ def select_pages(ranges: DataFrame, source_pages: DataFrame, keys: list[str], sp
     """
     length = F.col("last") - F.col("first") + 1
     offset = scan(ranges, keys, ["ordinal"], [RunningSum("_offset", length, inclusive=False)], split)
-    block = lambda page: (page - 1 - F.pmod(page - 1, F.lit(SELECT_BLOCK))) / SELECT_BLOCK
-    blocks = F.sequence(block(F.col("first")).cast("bigint"), block(F.col("last")).cast("bigint"))
+    blocks = F.sequence(block_of(F.col("first")), block_of(F.col("last")))
     cut = offset.filter(F.col("last") >= F.col("first")).withColumn("_block", F.explode(blocks)).withColumnRenamed("path", "_path")
-    pages = source_pages.withColumn("_of", block(F.col("page")).cast("bigint")).hint("merge")
+    pages = source_pages.withColumn("_of", block_of(F.col("page"))).hint("merge")
     held = (F.col("_path") == F.col("path")) & (F.col("_block") == F.col("_of")) & F.col("page").between(F.col("first"), F.col("last"))
     kept = [c for c in ranges.columns if c not in ("path", "first", "last")]
     rest = [c for c in source_pages.columns if c not in ("path", "page")]
@@ -179,19 +186,19 @@ def innermost_at(
     ``levels`` - 1) do not overlap.
 
     One ordered sweep over points and span starts carries the last start of every level; the deepest of these that has
-    not ended covers the point.
+    not ended covers the point. Points go through the sweep with all their columns, so nothing is joined to them afterwards.
     """
     if split is None:
         split = exceeds_group_limit(spans, keys) or exceeds_group_limit(points, keys)
-    payload = F.struct(F.col(last).alias("_last"), *[F.col(f).alias(f) for f in fields])
+    payload = F.struct(F.col(last).alias("_last"), *[F.col(f).alias(f"_span_{f}") for f in fields])
     starts = spans.select(*keys, F.col(first).alias("_at"), F.lit(0).alias("_side"), F.col(depth).alias("_level"), payload.alias("_span"))
-    asks = points.select(*keys, F.col(point).alias("_at")).distinct().withColumns({
-        "_side": F.lit(1), "_level": F.lit(None).cast(starts.schema["_level"].dataType), "_span": F.lit(None).cast(starts.schema["_span"].dataType)})
+    asks = points.withColumns({
+        "_at": F.col(point), "_side": F.lit(1), "_level": F.lit(None).cast(starts.schema["_level"].dataType), "_span": F.lit(None).cast(starts.schema["_span"].dataType)})
     carried = [CarryLast(f"_open{d}", F.when(F.col("_level") == d, F.col("_span"))) for d in range(levels)]
-    merged = scan(starts.unionByName(asks), keys, ["_at", "_side", "_level"], carried, split).filter(F.col("_side") == 1)
-    hit = F.coalesce(*[F.when(F.col(f"_open{d}._last") >= F.col("_at"), F.col(f"_open{d}")) for d in reversed(range(levels))])
-    found = merged.select(*keys, F.col("_at").alias(point), hit.alias("_hit")).select(*keys, point, *[F.col(f"_hit.{f}").alias(f) for f in fields])
-    return points.join(found, [*keys, point], "left")
+    merged = scan(asks.unionByName(starts, allowMissingColumns=True), keys, ["_at", "_side", "_level"], carried, split).filter(F.col("_side") == 1)
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])  # a group without a key has no spans
+    hit = F.coalesce(*[F.when(known & (F.col(f"_open{d}._last") >= F.col("_at")), F.col(f"_open{d}")) for d in reversed(range(levels))])
+    return merged.withColumn("_hit", hit).select(*points.columns, *[F.col(f"_hit._span_{f}").alias(f) for f in fields])
 
 
 def partition_gaps(parts: DataFrame, keys: list[str], order: list[str], split: bool | None = None) -> DataFrame:

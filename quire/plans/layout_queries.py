@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import layout, ranges
-from quire.operators.scan import RunningSum, scan
+from quire.operators.scan import RunningSum, scan, task_count
 from quire.plans import fixtures as fx
 from quire.plans.registry import query, statement
 
@@ -406,13 +406,15 @@ def page_trace(spark, sf_dir):
     same = ranges.page_runs(sizes.select("path", "page", F.col("width").alias("source_w"), F.col("height").alias("source_h"), F.col("width").alias("output_w"), F.col("height").alias("output_h")), ["path"], False)
     runs = same.select("path", "first", "last", F.col("source_w").alias("width"), F.col("source_h").alias("height"))
     own = labelled.filter("band = 1").withColumn("_i", F.col("pos") - 1)
-    outer = own.select("packet_id", F.lit(0).alias("depth"), F.concat(F.lit("a/"), F.expr("cast(_i div 4 as string)")).alias("section"), "first_page", "last_page")
-    inner = own.filter("_i div 2 % 2 = 0").select("packet_id", F.lit(1).alias("depth"), F.concat(F.lit("b/"), F.expr("cast(_i div 2 as string)")).alias("section"), "first_page", "last_page")
-    spans = outer.unionByName(inner).groupBy("packet_id", "depth", "section").agg(F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"))
+    section = lambda depth, letter, size: F.struct(F.lit(depth).alias("depth"), F.concat(F.lit(f"{letter}/"), F.expr(f"cast(_i div {size} as string)")).alias("section"))
+    outer, inner = F.array(section(0, "a", 4)), F.array(section(1, "b", 2))
+    held = own.select("packet_id", F.explode(F.when(F.expr("_i div 2 % 2 = 0"), F.concat(outer, inner)).otherwise(outer)).alias("s"), "first_page", "last_page")
+    spans = held.groupBy("packet_id", "s.depth", "s.section").agg(F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"))
     used = scan(labelled, ["packet_id", "path"], ["pos", "band"], [RunningSum("_use", F.when(F.col("kind") == "source", 1).otherwise(0))], split)
     carried = used.withColumn("occurrence", F.when(F.col("kind") == "source", F.col("_use")).cast("bigint"))
     columns = [*PART, "kind", "path", "pages", "ranges", "first_page", "last_page", "label_start", "occurrence", "width", "height"]
-    pages = layout.page_trace(carried.select(*columns), runs, spans, 2, split)
+    tasks = task_count(spark, fx.table(spark, sf_dir, "lineitem").count())
+    pages = layout.page_trace(carried.select(*columns), runs, spans, 2, split, tasks)
     return pages.groupBy(*PART, "kind", "occurrence", "section").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("output_page").alias("page_sum"), F.sum(F.col("source_page") * F.col("output_page")).alias("source_sum"),
         F.sum("width").alias("width_sum"), F.sum("height").alias("height_sum"))
